@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import stored, table
+from lodestone.llm.decontaminate import without_leaks
 from lodestone.llm.mixing import mix_documents
 from lodestone.llm.simhash import keep_one
 from lodestone.llm.tokens_out import op6_token_output
 
 STAGES = [
     ("SimHash near-dedup", lambda spark, docs, sf_dir: keep_one(docs)),
+    ("benchmark decontamination", lambda spark, docs, sf_dir: without_leaks(docs, table(spark, sf_dir, "benchmark"))),
     ("mixing sources to target weights", lambda spark, docs, sf_dir: mix_documents(docs)),
     ("token-ID / binary output", lambda spark, docs, sf_dir: op6_token_output(docs)),
 ]

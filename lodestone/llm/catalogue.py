@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, sharding, simhash, tokens_out
+from lodestone.llm import decontaminate, mixing, sharding, simhash, tokens_out
 from lodestone.llm.common import table
 
 QUERIES = {
     "op1_sharding": lambda spark, sf_dir: sharding.op1_sharding(table(spark, sf_dir, "documents")),
     "op3_simhash": lambda spark, sf_dir: simhash.op3_simhash(table(spark, sf_dir, "documents")),
     "op6_token_output": lambda spark, sf_dir: tokens_out.op6_token_output(table(spark, sf_dir, "documents")),
+    "op8_decontaminate": lambda spark, sf_dir: decontaminate.op8_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(table(spark, sf_dir, "documents")),
 }
 
 ORACLE = {
     "op1_sharding": sharding.oracle(),
+    "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }
