@@ -9,8 +9,10 @@ from lodestone.llm.decontaminate import without_leaks
 from lodestone.llm.mixing import mix_documents
 from lodestone.llm.simhash import keep_one
 from lodestone.llm.tokens_out import op6_token_output
+from lodestone.llm.toxicity import without_toxic
 
 STAGES = [
+    ("toxicity", lambda spark, docs, sf_dir: without_toxic(docs, table(spark, sf_dir, "labels"))),
     ("SimHash near-dedup", lambda spark, docs, sf_dir: keep_one(docs)),
     ("benchmark decontamination", lambda spark, docs, sf_dir: without_leaks(docs, table(spark, sf_dir, "benchmark"))),
     ("mixing sources to target weights", lambda spark, docs, sf_dir: mix_documents(docs)),

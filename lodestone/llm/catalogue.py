@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, licenses, mixing, sharding, simhash, tokens_out
+from lodestone.llm import decontaminate, licenses, mixing, sharding, simhash, tokens_out, toxicity
 from lodestone.llm.common import table
 
 QUERIES = {
     "op1_sharding": lambda spark, sf_dir: sharding.op1_sharding(table(spark, sf_dir, "documents")),
     "op3_simhash": lambda spark, sf_dir: simhash.op3_simhash(table(spark, sf_dir, "documents")),
     "op4_licenses": lambda spark, sf_dir: licenses.op4_licenses(table(spark, sf_dir, "documents")),
+    "op5_toxicity": lambda spark, sf_dir: toxicity.op5_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_token_output": lambda spark, sf_dir: tokens_out.op6_token_output(table(spark, sf_dir, "documents")),
     "op8_decontaminate": lambda spark, sf_dir: decontaminate.op8_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(table(spark, sf_dir, "documents")),
