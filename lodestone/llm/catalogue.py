@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, licenses, mixing, sharding, simhash, tokens_out, toxicity
+from lodestone.llm import decontaminate, licenses, mixing, sharding, simhash, tokens_out, topk, toxicity
 from lodestone.llm.common import table
 
 QUERIES = {
     "op1_sharding": lambda spark, sf_dir: sharding.op1_sharding(table(spark, sf_dir, "documents")),
+    "op2_topk": lambda spark, sf_dir: topk.op2_topk(table(spark, sf_dir, "embeddings")),
     "op3_simhash": lambda spark, sf_dir: simhash.op3_simhash(table(spark, sf_dir, "documents")),
     "op4_licenses": lambda spark, sf_dir: licenses.op4_licenses(table(spark, sf_dir, "documents")),
     "op5_toxicity": lambda spark, sf_dir: toxicity.op5_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_sharding": sharding.oracle(),
+    "op2_topk": topk.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }
