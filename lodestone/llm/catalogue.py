@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, html_text, licenses, mixing, sharding, simhash, tokens_out, topk, toxicity
+from lodestone.llm import chat, decontaminate, html_text, licenses, mixing, sharding, simhash, tokens_out, topk, toxicity
 from lodestone.llm.common import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_licenses": lambda spark, sf_dir: licenses.op4_licenses(table(spark, sf_dir, "documents")),
     "op5_toxicity": lambda spark, sf_dir: toxicity.op5_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_token_output": lambda spark, sf_dir: tokens_out.op6_token_output(table(spark, sf_dir, "documents")),
+    "op7_chat": lambda spark, sf_dir: chat.op7_chat(table(spark, sf_dir, "conversations")),
     "op8_decontaminate": lambda spark, sf_dir: decontaminate.op8_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op9_html": lambda spark, sf_dir: html_text.op9_html(table(spark, sf_dir, "pages")),
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(table(spark, sf_dir, "documents")),
