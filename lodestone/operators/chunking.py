@@ -79,7 +79,7 @@ class Cutter:
 
     def split(self, data: bytes) -> list[dict]:
         ends = self.cuts(data)
-        return [{"ordinal": k, "offset": a, "size": b - a, "data": data[a:b], "hash": hashlib.sha256(data[a:b]).hexdigest()} for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
+        return [{"ordinal": k, "offset": a, "size": b - a, "data": data[a:b], "hash": hashlib.sha256(data[a:b]).hexdigest()} for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
 
 
 def content_chunks(text: Column, least: int = 0, average: int = 0, most: int = 0) -> Column:

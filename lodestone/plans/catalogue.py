@@ -356,14 +356,14 @@ def _near_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.conversation_items(spark, sf_dir).select(F.col("seq").alias("id"), "seq", "text")
 
 
-@query(f"{_NEAR} SELECT q, c, similarity FROM j WHERE similarity >= 0.5")
+@query(f"{_NEAR} SELECT q, c, similarity FROM j WHERE similarity >= 0.6")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.pairs(_near_rows(spark, sf_dir), 0.5)
+    return similar.pairs(_near_rows(spark, sf_dir), 0.6)
 
 
-@query(f"{_NEAR} SELECT q, c, similarity FROM j WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, c) = 1")
+@query(f"{_NEAR} SELECT q, c, similarity FROM j WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, c) = 1")
 def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.nearest(similar.pairs(_near_rows(spark, sf_dir), 0.5))
+    return similar.nearest(similar.pairs(_near_rows(spark, sf_dir), 0.6))
 
 
 @query(f"WITH {_sql_grams('item_id', 'text', 'benchmark')} SELECT q, c, similarity FROM j QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, c) = 1")
@@ -377,10 +377,10 @@ def most_similar_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def shadow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.conversation_items(spark, sf_dir).select(F.col("seq").alias("id"), "seq", "text", "model")
-    found = similar.nearest(similar.pairs(rows, 0.5))
+    found = similar.nearest(similar.pairs(rows, 0.6))
     wanted = found.select(F.col("q").alias("id")).union(found.select("c")).distinct()
     v = rows.join(wanted, "id", "left_semi").select("id", mock.embed(F.col("model"), F.col("text"), 64).alias("v"))
-    return similar.sweep(similar.shadow(found, v), [0.5, 0.6, 0.7])
+    return similar.sweep(similar.shadow(found, v), [0.6, 0.7, 0.8])
 
 
 @query()

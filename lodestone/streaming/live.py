@@ -25,8 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as a stream of its files."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A Parquet table, a folder or a single file, as a stream of its files."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        folder, _, name = path.rpartition("/")
+        return stream.option("pathGlobFilter", name).parquet(folder)
+    return stream.parquet(path)
 
 
 def first_seen(items: DataFrame, at: str | None = None, delay: str | None = None) -> DataFrame:
