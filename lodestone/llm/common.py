@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +60,11 @@ def count_words(text: Column) -> Column:
 def maybe_broadcast(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only while n_rows * row_bytes stays under BROADCAST_BYTES; else leave a shuffle join."""
     return F.broadcast(df) if n_rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def give_back_memory() -> None:
+    """Returns what a worker process has freed to the system; workers live on, and the next task may be another's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

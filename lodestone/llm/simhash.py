@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import give_back_memory, stored
 
 SHINGLE = 3
 SEED = 42
@@ -76,6 +76,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts = batch.column(1)
         found = np.fromiter((simhash(t.as_py() or b"") for t in texts), np.uint64, len(texts)).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+        give_back_memory()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -35,12 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir
+from lodestone.llm.common import give_back_memory, shared_dir
 
 NULL_ID = np.iinfo(np.int64).min
 END_ID = 1
-CHUNK_BYTES = 8 << 20  # of text that is encoded at once
-KEEP_WORDS = 400_000  # words that a worker remembers
+CHUNK_BYTES = 2 << 20  # of text that is encoded at once
+KEEP_WORDS = 200_000  # words that a worker remembers
 
 PARTS = "part int, name string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -199,6 +199,7 @@ def _writer(uri: str, vocabulary: str):
                 lengths.append(n)
                 doc_ids.append(pc.fill_null(chunk.column(0), NULL_ID).to_numpy(zero_copy_only=False).astype("<i8"))
                 total += int(n.sum())
+            give_back_memory()
         if encoder is None:
             return
         out.close()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.boosting import BoostedTrees, Isotonic
-from lodestone.llm.common import stored
+from lodestone.llm.common import give_back_memory, stored
 
 SAMPLE = 12_000  # most labelled documents that a model is fitted on
 LEXICON = 400  # most units of a learnt lexicon
@@ -210,6 +210,7 @@ def _scorer(model: Model, text_at: int):
                 own = batch.slice(k, 500)
                 texts = [t or "" for t in own.column(text_at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(model.scores(texts), pa.float64())], names=[*own.schema.names, "_score"])
+            give_back_memory()
 
     return score
 
