@@ -76,9 +76,7 @@ def let(value: Column, body) -> Column:
 
 def preview(text: Column, most: int = 60) -> Column:
     """Collapsed text; beyond `most` bytes, whole characters of the first most - 3 bytes and three dots."""
-    flat = collapse(text)
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(flat, "utf-8"), 1, most - 3), "utf-8"), "�+$", "") if False else _cut(flat, most - 3)
-    return F.when(F.octet_length(flat) > most, F.concat(cut, F.lit("..."))).otherwise(flat)
+    return let(collapse(text), lambda flat: F.when(F.octet_length(flat) > most, F.concat(_cut(flat, most - 3), F.lit("..."))).otherwise(flat))
 
 
 def _cut(text: Column, size: int) -> Column:

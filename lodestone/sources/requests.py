@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 KNOWN = ("input", "model", "encoding_format", "dimensions", "user")
 ENVELOPES = ("body", "request", "payload", "kwargs", "request_kwargs", "json_data", "json", "data")
 
-REQUEST = "model string, input string, dimensions int, encoding_format string, user string, params map<string,string>"
-
 
 def read_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines of one or more logs with a seq that follows file and line order; blank lines are left out."""
