@@ -377,10 +377,10 @@ def most_similar_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def shadow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.conversation_items(spark, sf_dir).select(F.col("seq").alias("id"), "seq", "text", "model")
-    found = similar.nearest(similar.pairs(rows, 0.6))
+    found = similar.nearest(similar.pairs(rows, 0.4))
     wanted = found.select(F.col("q").alias("id")).union(found.select("c")).distinct()
     v = rows.join(wanted, "id", "left_semi").select("id", mock.embed(F.col("model"), F.col("text"), 64).alias("v"))
-    return similar.sweep(similar.shadow(found, v), [0.6, 0.7, 0.8])
+    return similar.sweep(similar.shadow(found, v), [0.4, 0.5, 0.6])
 
 
 @query()
