@@ -49,6 +49,7 @@ NEAR = 3
 
 _WORD = re.compile(r"[^\W_]+")
 _MASKED = re.compile(r"(?=[^\s]*[^\W\d_])[\w@$*!.\-]*[^\W_][@$*!0-9.\-]+[^\W_][\w@$*!]*")
+_MAY_BE_MASKED = re.compile(r"[@$*!0-9.\-](?=[^\W_])")  # every match of _MASKED holds one of this
 _UNMASK = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "-": None})
 _KINDS = {w: k for k, own in enumerate(WRITTEN.values()) for w in own.split()}
 _RUNS = re.compile(r"([!?])\1+")
@@ -67,10 +68,11 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     counts = Counter(words)
     kinds = [0] * len(WRITTEN)
     weights: dict[str, float] = {}
+    weight = lexicon.get
     for w, c in counts.items():
         if w in _KINDS:
             kinds[_KINDS[w]] += c
-        best = max((lexicon[u] for u in (w + "$", w[:3], w[:4], w[:5], w[:6]) if u in lexicon), default=0.0) if lexicon else 0.0
+        best = max(weight(w + "$", 0.0), weight(w[:3], 0.0), weight(w[:4], 0.0), weight(w[:5], 0.0), weight(w[:6], 0.0))
         if best:
             weights[w] = best
     hits = sum(counts[w] for w in weights)
@@ -80,7 +82,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
         spots = [i for i, w in enumerate(words) if w in SECOND_PERSON]
         close = {j for i in spots for j in range(i - NEAR, i + NEAR + 1)}
         near = sum(1 for j in close if 0 <= j < len(words) and words[j] in marked)
-    masked = [m.lower() for m in _MASKED.findall(text)] if any(c in text for c in "@$*!0134578.-") else []
+    masked = [m.lower() for m in _MASKED.findall(text)] if _MAY_BE_MASKED.search(text) else []
     undone = sum(1 for m in masked if (w := "".join(_WORD.findall(m.translate(_UNMASK)))) in _KINDS or w + "$" in lexicon)
     upper = sum(map(str.isupper, text)) if not text.islower() else 0
     shouted = sum(1 for w in text.split() if len(w) > 2 and w.isupper()) if upper else 0
