@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from lodestone.llm.common import BROADCAST_BYTES, count_words, maybe_broadcast, stored
+from lodestone.llm.common import count_words, maybe_broadcast, stored
 
 MAX_PATTERNS = 100_000
 HASH_DIGITS = 3  # hexadecimal digits of the prefix histogram: 4096 bins for each pattern
