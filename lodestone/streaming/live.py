@@ -52,12 +52,10 @@ def windowed_spending(items: DataFrame, at: str, seconds: int, delay: str, by: s
 
 
 def expiring(items: DataFrame, ttl_ms: int) -> DataFrame:
-    """items (key, seq, t_ms) with hit: entries live ttl_ms from computation and are dropped from the state after it."""
+    """items (key, seq, t_ms) with hit: entries live ttl_ms from computation. The state is one time for each key; there is no
+    timeout, since a processing-time one asks for batches without end when a stream is drained."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         since = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["t_ms", "seq"])
         hits = []
@@ -66,10 +64,9 @@ def expiring(items: DataFrame, ttl_ms: int) -> DataFrame:
             since = since if hit else int(t)
             hits.append(hit)
         state.update((since,))
-        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"key": key[0], "seq": rows["seq"], "hit": hits})
 
-    return items.groupBy("key").applyInPandasWithState(run, "key string, seq long, hit boolean", "since long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return items.groupBy("key").applyInPandasWithState(run, "key string, seq long, hit boolean", "since long", "append", GroupStateTimeout.NoTimeout)
 
 
 def append_new(items: DataFrame, path: str, checkpoint: str):
