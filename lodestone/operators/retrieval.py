@@ -11,50 +11,62 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 QUERY_BYTES = 64 << 20  # largest block of queries that is sent to every task
+SCORES = 1 << 20  # scores that a task holds at once
 
 
-def _block_scores(k: int, ids: np.ndarray, block: np.ndarray):
-    """The best k rows of each batch of candidates for every query of a block, by cosine (0 where a norm is 0)."""
+def _block_scores(k: int, ids: np.ndarray, block: np.ndarray, others: bool):
+    """The best k rows of each batch of candidates for every query of a block, by cosine (0 where a norm is 0); without
+    the row of the query's own id if `others`."""
     scale = np.linalg.norm(block, axis=1)
     unit = np.divide(block, scale[:, None], out=np.zeros_like(block), where=scale[:, None] > 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame({"qid": [], "id": [], "score": []})
+        best = pd.DataFrame({"qid": [], "id": [], "score": [], "by": []})
         for pdf in batches:
             pdf = pdf[[v is not None and len(v) == block.shape[1] for v in pdf["v"]]]
             if not len(pdf):
                 continue
             m = np.array(pdf["v"].tolist(), np.float64)
             norms = np.linalg.norm(m, axis=1)
-            scores = unit @ np.divide(m, norms[:, None], out=np.zeros_like(m), where=norms[:, None] > 0).T
+            m = np.divide(m, norms[:, None], out=np.zeros_like(m), where=norms[:, None] > 0).T
             own = pdf["id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(own, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-            found = pd.DataFrame({"qid": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-            best = pd.concat([best, found]).sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid").head(k)
+            found = [best]
+            step = max(1, SCORES // len(own))
+            for at in range(0, len(ids), step):
+                qids, scores = ids[at : at + step], unit[at : at + step] @ m
+                by = np.round(scores, 12)
+                if others:
+                    by[qids[:, None] == own] = -np.inf
+                order = np.lexsort((np.broadcast_to(own, by.shape), -by), axis=1)[:, :k]
+                some = pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel(), "by": np.take_along_axis(by, order, 1).ravel()})
+                found.append(some[some["by"] > -np.inf])
+            best = pd.concat(found).sort_values(["qid", "by", "id"], ascending=[True, False, True]).groupby("qid").head(k)
         if len(best):
-            yield best.astype({"qid": "int64", "id": "int64"})
+            yield best.drop(columns="by").astype({"qid": "int64", "id": "int64"})
 
     return run
 
 
-def rank(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+def rank(queries: DataFrame, corpus: DataFrame, k: int, others: bool = False) -> DataFrame:
     """(qid, id, score, rank): the k best rows (id, v) of the corpus for each query (qid, v), score falling, then id; null
-    vectors and those of another dimension are skipped. Queries go to the corpus in blocks of a fixed size, each a pass."""
+    vectors and those of another dimension are skipped, and with `others` the row whose id is the query's own. Queries go to
+    the corpus in blocks of a fixed size, each a pass."""
     first = queries.where(F.col("v").isNotNull()).select("qid", "v")
     dim_row = first.select(F.size("v").alias("d")).first()
     if dim_row is None:
         return corpus.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
     dim = dim_row.d
     held = first.where(F.size("v") == dim).orderBy("qid").toLocalIterator(prefetchPartitions=True)
-    per_block = max(1, QUERY_BYTES // (8 * dim))
+    per_block = max(1, QUERY_BYTES // (8 * max(dim, 4 * k)))  # a task also holds k rows of four numbers for each query
     found, ids, block = None, [], []
 
     def meet() -> DataFrame:
-        return corpus.select(F.col("id").cast("long").alias("id"), "v").mapInPandas(_block_scores(k, np.array(ids), np.array(block, np.float64)), "qid long, id long, score double")
+        run = _block_scores(k, np.array(ids), np.array(block, np.float64), others)
+        return corpus.select(F.col("id").cast("long").alias("id"), "v").mapInPandas(run, "qid long, id long, score double")
 
     for r in held:
         ids.append(r.qid)
-        block.append(r.v)
+        block.append(np.array(r.v, np.float64))
         if len(ids) == per_block:
             found, ids, block = meet() if found is None else found.unionByName(meet()), [], []
     if ids:
@@ -92,6 +104,28 @@ def recall(ranking: DataFrame, qrels: DataFrame, k: int = 100) -> DataFrame:
     return found.join(relevant, "qid", "left").select("qid", F.when(F.coalesce("all", F.lit(0)) > 0, F.col("found") / F.col("all")).otherwise(0.0).alias("recall"))
 
 
+def _labelled(ranking: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(qid, dcg, ranked, found, all) where the rows (id, label) of a query's own label, but itself, are relevant: judged from
+    the ranked rows and the sizes of labels, without a row for each pair of one label."""
+    one, sizes = labels.select("id", "label"), labels.groupBy("label").agg((F.count("*") - 1).alias("all"))
+    own = one.join(sizes, "label", "left").select(F.col("id").alias("qid"), F.col("label").alias("_q"), "all")
+    rows = ranking.join(one, "id", "left").join(own, "qid", "left").withColumn("_r", F.coalesce(F.col("label") == F.col("_q"), F.lit(False)) & (F.col("rank") <= k))
+    gain = F.when(F.col("_r"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
+    return rows.groupBy("qid").agg(F.sum(gain).alias("dcg"), F.max("rank").alias("ranked"), F.count_if("_r").alias("found"), F.coalesce(F.max("all"), F.lit(0)).alias("all"))
+
+
+def labelled_ndcg(ranking: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
+    """ndcg() with the judgements of _labelled."""
+    rows = _labelled(ranking, labels, k).withColumn("_n", F.least("all", F.lit(k), "ranked").cast("int"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.col("_n")), F.lit(0.0), lambda a, at: a + 1 / F.log2(at + 1))
+    return rows.select("qid", F.when(F.col("_n") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"))
+
+
+def labelled_recall(ranking: DataFrame, labels: DataFrame, k: int = 100) -> DataFrame:
+    """recall() with the judgements of _labelled."""
+    return _labelled(ranking, labels, k).select("qid", F.when(F.col("all") > 0, F.col("found") / F.col("all")).otherwise(0.0).alias("recall"))
+
+
 def evaluate(ranking: DataFrame, qrels: DataFrame, k_ndcg: int = 10, k_recall: int = 100) -> DataFrame:
     """Means over the ranked queries that have judgements."""
     has = qrels.select(F.col("query_id").alias("qid")).distinct()

@@ -395,9 +395,10 @@ _COS = """v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FRO
 FROM v q JOIN v c ON q.id < 20 AND c.id >= 20), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rank FROM s)"""
 
 
-def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str, k: int, whole: bool = False) -> DataFrame:
     v = tables.vectors(spark, sf_dir)
-    return retrieval.rank(v.where("id < 20").select(F.col("id").alias("qid"), "v"), v.where("id >= 20").select("id", "v"), k)
+    queries, corpus = ("id % 100 = 0", "true") if whole else ("id < 20", "id >= 20")
+    return retrieval.rank(v.where(queries).select(F.col("id").alias("qid"), "v"), v.where(corpus).select("id", "v"), k, others=whole)
 
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,6 +436,41 @@ def ranking_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.same_ranking(_ranked(spark, sf_dir, 10), _ranked(spark, sf_dir, 50), 10)
 
 
+# The whole search: every hundredth row as a query, against all rows but its own. The five queries above keep the subset
+# that their SQL names.
+
+_COS_ALL = _COS.replace("q.id < 20 AND c.id >= 20", "q.id % 100 = 0 AND c.id <> q.id")
+
+
+def _whole_sql(name: str) -> str:
+    return ORACLE[name].replace(_COS, _COS_ALL)
+
+
+@query(_whole_sql("cosine_topk"))
+def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, 10, True).select("qid", "id", F.round("score", 9).alias("score"), "rank")
+
+
+@query(_whole_sql("cosine_argmax"))
+def cosine_argmax_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.argmax(_ranked(spark, sf_dir, 1, True)).select("qid", "id", F.round("score", 9).alias("score"))
+
+
+@query(_whole_sql("ndcg_at_10"))
+def ndcg_at_10_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.labelled_ndcg(_ranked(spark, sf_dir, 100, True), tables.vectors(spark, sf_dir), 10).select("qid", F.round("ndcg", 9).alias("ndcg"))
+
+
+@query(_whole_sql("recall_at_100"))
+def recall_at_100_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.labelled_recall(_ranked(spark, sf_dir, 100, True), tables.vectors(spark, sf_dir), 100).select("qid", F.round("recall", 9).alias("recall"))
+
+
+@query(_whole_sql("ranking_identity"))
+def ranking_identity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.same_ranking(_ranked(spark, sf_dir, 10, True), _ranked(spark, sf_dir, 50, True), 10)
+
+
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = tables.vectors(spark, sf_dir)

@@ -113,6 +113,18 @@ def test_retrieval_metrics(spark):
     assert retrieval.recall(ranking, qrels).first().recall == 0.5
 
 
+def test_search_sets_every_hundredth_row_against_all_others(spark, small):
+    from lodestone.plans.catalogue import QUERIES
+    from lodestone.sources import tables
+
+    ids = {r.id for r in tables.vectors(spark, small).select("id").collect()}
+    got = QUERIES["cosine_argmax_all"](spark, small).collect()
+    assert {r.qid for r in got} == {i for i in ids if i % 100 == 0} and all(r.qid != r.id for r in got)
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id int, v array<double>")
+    got = retrieval.rank(rows.select(F.col("id").alias("qid"), "v"), rows, 9, others=True).collect()
+    assert {(r.qid, r.id) for r in got} == {(q, i) for q in range(5) for i in range(5) if q != i}
+
+
 def plain_cuts(data, least, average, most):
     import hashlib
 
