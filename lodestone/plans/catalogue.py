@@ -153,13 +153,27 @@ _LOG = """log AS (SELECT doc_id AS seq, left(text, 200) AS head, 'embed-' || lan
 @query(f"""WITH {_LOG}, r AS (SELECT seq, model, unnest(CASE WHEN shape IN (0, 2) THEN [{{'pos': 0, 'text': head}}] ELSE [{{'pos': 0, 'text': head}}, {{'pos': 1, 'text': 'same'}}] END) AS i FROM log WHERE shape IS NOT NULL)
 SELECT seq, i.pos AS pos, model, {_filled(_KEY, model='model', text='i.text')} AS key FROM r""")
 def envelope_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = requests.parse(requests.extract(tables.request_log(spark, sf_dir)).where("request IS NOT NULL"))
+    return _envelope_items(tables.request_log(spark, sf_dir, 200))
+
+
+def _envelope_items(log: DataFrame) -> DataFrame:
+    found = requests.parse(requests.extract(log).where("request IS NOT NULL"))
     return requests.items(found).select("seq", "pos", "model", identity.text_key(F.col("model"), F.col("text")).alias("key"))
 
 
+# The log with whole texts. The queries on the first 200 characters keep the subset that their SQL names.
+
+_LOG_ALL = _LOG.replace("left(text, 200)", "text")
+
+
+@query(ORACLE["envelope_items"].replace(_LOG, _LOG_ALL))
+def envelope_items_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _envelope_items(tables.request_log(spark, sf_dir))
+
+
 @query(f"WITH {_LOG} SELECT seq, CASE WHEN shape IS NULL OR shape = 1 THEN 400 ELSE 200 END AS status, CAST(CASE WHEN shape IS NULL THEN 0 WHEN shape IN (0, 2) THEN 1 ELSE 2 END AS INTEGER) AS n_items FROM log WHERE shape IS NULL OR shape < 3")
 def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = tables.request_log(spark, sf_dir).where("seq % 10 = 9 OR seq % 4 < 3").withColumn("request", requests.enveloped(F.col("value")))
+    log = tables.request_log(spark, sf_dir, 200).where("seq % 10 = 9 OR seq % 4 < 3").withColumn("request", requests.enveloped(F.col("value")))
     return requests.status(log, most_items=1).select("seq", "status", F.coalesce("n_items", F.lit(0)).alias("n_items"))
 
 

@@ -31,9 +31,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
 
 
-def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq and value: documents as log lines in four envelopes by seq, and junk for every tenth."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring("text", 1, 200).alias("head"))
+def request_log(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """seq and value: documents as log lines in four envelopes by seq, and junk for every tenth. Whole texts, or their first
+    `most` characters."""
+    head = F.col("text") if most is None else F.substring("text", 1, most)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", head.alias("head"))
     body = F.to_json(F.struct(F.concat(F.lit("embed-"), "lang").alias("model"), F.array("head", F.lit("same")).alias("input")))
     single = F.to_json(F.struct(F.concat(F.lit("embed-"), "lang").alias("model"), F.col("head").alias("input")))
     shapes = (

@@ -98,3 +98,19 @@ def test_encode_request(spark):
     df = spark.createDataFrame([("m", '["a"]', 0, "", "u", {"input_type": '"query"'})], "model string, input string, dimensions int, encoding_format string, user string, params map<string,string>")
     out = df.select(requests.encode_request("model", "input", "dimensions", "encoding_format", "user", "params")).first()[0]
     assert out == '{"input":["a"],"input_type":"query","model":"m","user":"u"}'
+
+
+def log_of(spark, folder, texts):
+    docs = [(i, t, "en") for i, t in texts.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+
+
+def test_keys_are_of_whole_texts(spark, tmp_path):
+    from lodestone.plans.catalogue import QUERIES
+
+    log_of(spark, tmp_path, {0: "x" * 200 + "a", 1: "x" * 200 + "b", 4: 'y"\\\n' * 50_000, 3: "x" * 200 + "c"})
+    got = {(r.seq, r.pos): r.key for r in QUERIES["envelope_items_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(0, 0), (1, 0), (1, 1), (3, 0), (3, 1), (4, 0)}
+    assert len({got[k] for k in ((0, 0), (1, 0), (3, 0), (4, 0))}) == 4
+    want = spark.range(1).select(identity.text_key(F.lit("embed-en"), F.lit('y"\\\n' * 50_000))).first()[0]
+    assert got[4, 0] == want
