@@ -114,3 +114,11 @@ def test_keys_are_of_whole_texts(spark, tmp_path):
     assert len({got[k] for k in ((0, 0), (1, 0), (3, 0), (4, 0))}) == 4
     want = spark.range(1).select(identity.text_key(F.lit("embed-en"), F.lit('y"\\\n' * 50_000))).first()[0]
     assert got[4, 0] == want
+
+
+def test_nested_lines_get_a_status(spark, tmp_path):
+    from lodestone.plans.catalogue import QUERIES
+
+    log_of(spark, tmp_path, {i: "text" for i in range(10)})
+    got = {r.seq: (r.status, r.n_items) for r in QUERIES["request_status_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: (400, 0) if i == 9 else (400, 2) if i % 4 in (1, 3) else (200, 1) for i in range(10)}
