@@ -379,14 +379,18 @@ def _near_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.conversation_items(spark, sf_dir).select(F.col("seq").alias("id"), "seq", "text")
 
 
+def _numbered(found: DataFrame) -> DataFrame:
+    return found.select(*[tables.turn_number(F.col(side)).alias(side) for side in "qc"], "similarity")
+
+
 @query(f"{_NEAR} SELECT q, c, similarity FROM j WHERE similarity >= 0.6")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.pairs(_near_rows(spark, sf_dir), 0.6)
+    return _numbered(similar.pairs(_near_rows(spark, sf_dir), 0.6))
 
 
 @query(f"{_NEAR} SELECT q, c, similarity FROM j WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, c) = 1")
 def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.nearest(similar.pairs(_near_rows(spark, sf_dir), 0.6))
+    return _numbered(similar.nearest(similar.pairs(_near_rows(spark, sf_dir), 0.6)))
 
 
 @query(f"WITH {_sql_grams('item_id', 'text', 'benchmark')} SELECT q, c, similarity FROM j QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, c) = 1")

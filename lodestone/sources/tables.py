@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SENTENCE = "This sentence was inserted by an edit. "
@@ -24,7 +24,14 @@ def event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("role").alias("model"), "text")
+    return turns.select("conv_id", "turn", F.struct("conv_id", "turn").alias("seq"), F.col("role").alias("model"), "text")
+
+
+def turn_number(seq: Column) -> Column:
+    """A number for the seq of a turn: conv_id * 1000 + turn, and below 0 for turns from 1000 on, which would meet those of the
+    next conversation."""
+    conv, turn = seq["conv_id"], seq["turn"]
+    return F.when(turn < 1000, conv * 1000 + turn).otherwise(-(conv * F.lit(1 << 32) + turn))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

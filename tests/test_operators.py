@@ -95,6 +95,21 @@ def test_pairs_match_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+def long_conversations(spark, folder, rows):
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+
+
+def test_turns_beyond_a_thousand_keep_apart(spark, tmp_path):
+    from lodestone.plans.catalogue import QUERIES
+
+    same, other = "the lantern of the harbor is lit at night", "quartz and ember and saddle and timber"
+    long_conversations(spark, tmp_path, [(5, 0, "user", other), (5, 1000, "user", same), (6, 0, "user", same), (6, 1, "user", other)])
+    far = -(5 * 2**32 + 1000)
+    for name in ("near_duplicates", "nearest_neighbor"):
+        got = {(r.q, r.c): r.similarity for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {(6000, far): 1.0, (6001, 5000): 1.0}
+
+
 def test_nearest_and_active(spark):
     index = spark.createDataFrame([("a", "How do I reset my password"), ("b", "Weather in the mountains today")], "id string, text string")
     r = similar.most_similar(spark.createDataFrame([("q", "How do I reset my password?")], "id string, text string"), index).first()
