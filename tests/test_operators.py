@@ -110,6 +110,22 @@ def test_turns_beyond_a_thousand_keep_apart(spark, tmp_path):
         assert got == {(6000, far): 1.0, (6001, 5000): 1.0}
 
 
+def test_pairs_stay_within_a_model(spark):
+    rows = [(0, "m", "the lantern of the harbor is lit"), (1, "n", "the lantern of the harbor is lit!"), (2, "m", "the lantern of the harbor was lit"), (3, "n", "the lantern of the harbor is lit!"), (4, None, "the lantern of the harbor is lit"), (5, None, "the lantern of the harbor is lit"), (6, "m", None)]
+    df = spark.createDataFrame([(i, i, m, t) for i, m, t in rows], "id int, seq int, model string, text string")
+    assert {(r.q, r.c) for r in similar.nearest(similar.pairs(df, 0.6)).collect()} == {(2, 0), (3, 1), (5, 4)}
+    assert {(r.q, r.c) for r in similar.pairs(df, 0.6, by=None).collect()} == {(q, c) for q in range(6) for c in range(q)}
+
+
+def test_shadow_compares_vectors_of_one_model(spark, tmp_path):
+    from lodestone.plans.catalogue import QUERIES
+
+    same = "the lantern of the harbor is lit at night"
+    long_conversations(spark, tmp_path, [(1, 0, "user", same), (1, 1, "assistant", same), (2, 0, "user", same)])
+    got = QUERIES["shadow_summary"](spark, str(tmp_path)).collect()
+    assert len(got) == 3 and all(r.n == 1 and r.safe for r in got)
+
+
 def test_nearest_and_active(spark):
     index = spark.createDataFrame([("a", "How do I reset my password"), ("b", "Weather in the mountains today")], "id string, text string")
     r = similar.most_similar(spark.createDataFrame([("q", "How do I reset my password?")], "id string, text string"), index).first()
