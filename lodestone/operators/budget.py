@@ -1,8 +1,8 @@
 """Token budgets: fixed windows, the spending gate and the report.
 
 Within a window the gate is monotone: while it is open the running sum is what was really spent, and once the limit is reached
-nothing more is added. So the running sum before a request decides. The windowed form sums within (caller, window);
-`bucketed` pre-sums by time bucket so that a caller with very many requests is spread."""
+nothing more is added. So the running sum before a request decides. Running sums have two levels: sums of buckets of seq, summed
+over the buckets before, and then within each bucket, so that a caller with very many requests in one window is spread."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+BUCKET = 4096  # values of seq that are summed together
+
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a time's own clock, whatever the session's zone."""
@@ -28,15 +30,25 @@ def with_limits(rows: DataFrame, limits: DataFrame, default: int) -> DataFrame:
     return rows.join(own, F.col("caller") == F.col("_c"), "left").withColumn("token_limit", F.coalesce("_l", F.lit(default)).cast("long")).drop("_c", "_l")
 
 
+def _running(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows (caller, win, seq, _bucket) with the sum of a column over the rows of the caller and window before each, else 0."""
+    keys = ["caller", "win", "_bucket"]
+    sums = rows.groupBy(*keys).agg(F.sum(column).alias("_s"))
+    before = W.Window.partitionBy("caller", "win").orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"_b{k}") for k in keys], F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    within = W.Window.partitionBy(*keys).orderBy("seq").rowsBetween(W.Window.unboundedPreceding, -1)
+    on = [F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in keys]
+    rows = rows.withColumn("_within", F.coalesce(F.sum(column).over(within), F.lit(0))).join(sums, on, "left")
+    return rows.withColumn(name, F.col("_base") + F.col("_within")).drop("_within", "_base", *[f"_b{k}" for k in keys])
+
+
 def gate(rows: DataFrame) -> DataFrame:
     """rows (caller, win, seq, tokens, token_limit) with spent_before, allowed and spent. A limit of 0 or less never refuses;
     the request that crosses the limit is still served."""
-    before = W.Window.partitionBy("caller", "win").orderBy("seq").rowsBetween(W.Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_sum", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    rows = _running(rows.withColumn("_bucket", F.floor(F.col("seq") / BUCKET)), "tokens", "_sum")
     allowed = (F.col("token_limit") <= 0) | (F.col("_sum") < F.col("token_limit"))
     rows = rows.withColumns({"allowed": allowed, "spent": F.when(allowed, F.col("tokens")).otherwise(0)})
-    spent = W.Window.partitionBy("caller", "win").orderBy("seq").rowsBetween(W.Window.unboundedPreceding, -1)
-    return rows.withColumn("spent_before", F.coalesce(F.sum("spent").over(spent), F.lit(0))).drop("_sum")
+    return _running(rows, "spent", "spent_before").drop("_sum", "_bucket")
 
 
 def report(gated: DataFrame, limits: DataFrame, default: int, win: int | None = None) -> DataFrame:

@@ -46,6 +46,22 @@ def test_budget_gate_matches_sequential(spark):
         assert got[seq] is ok
 
 
+def test_budget_gate_spreads_one_caller(spark):
+    rng = random.Random(9)
+    rows = [(None if i % 7 == 0 else "hot", 0, i * 50, rng.randrange(1, 40)) for i in range(1000)]
+    df = budget.with_limits(spark.createDataFrame(rows, "caller string, win int, seq long, tokens long"), spark.createDataFrame([], "caller string, token_limit long"), 5000)
+    gated = budget.gate(df)
+    plan = gated._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "seq#" in line]
+    assert windows and all("_bucket" in line for line in windows)
+    spent = {}
+    for r in gated.orderBy("seq").collect():
+        before = spent.get(r.caller, 0)
+        assert (r.spent_before, r.allowed, r.spent) == (before, before < 5000, r.tokens if before < 5000 else 0)
+        spent[r.caller] = before + r.spent
+    assert len(gated.columns) == len(df.columns) + 3
+
+
 def test_expiry_forms_agree(spark):
     rng = random.Random(6)
     rows = [(rng.choice("abc"), float(t), t) for t in range(200)]
