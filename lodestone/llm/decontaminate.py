@@ -103,9 +103,11 @@ def op8_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that contain an item of the benchmark."""
-    leaks = stored(contained(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(maybe_broadcast(leaks, leaks.count(), 32), F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """docs without those that contain an item of the benchmark, decided row by row whatever their ids."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "leak-rows")
+    found = contained(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark)
+    leaks = stored(found.select(F.col("doc_id").alias("_row")).distinct(), "leaks")
+    return rows.join(maybe_broadcast(leaks, leaks.count(), 32), "_row", "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""

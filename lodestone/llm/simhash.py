@@ -28,7 +28,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from lodestone.llm.common import give_back_memory, stored
 
@@ -201,10 +200,9 @@ def op3_simhash(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class: that of the class's smallest doc_id, and the first by text where rows share the id. Rows
-    without an id stay where a class has no other, and are then told apart by text alone."""
-    found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg((F.count("*") > 1).alias("_repeats"))
-    found = stored(found, "simhash-kept")
-    alone = docs.join(found.where(~F.col("_repeats")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = docs.join(found.where("_repeats"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    first = W.Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return alone.unionByName(repeated.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+    without an id stay where a class has no other. Rows are told apart by a number of their own, not by their ids."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    found = classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "_row")
+    kept = rows.select("_row", "doc_id", "text").join(found, "_row").groupBy("component_id").agg(F.min(place)["_row"].alias("_row"))
+    return rows.join(stored(kept.select("_row"), "simhash-kept"), "_row", "left_semi").select(*docs.columns)

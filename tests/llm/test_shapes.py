@@ -47,6 +47,15 @@ def test_filters_keep_columns(odd_docs, no_docs, bench, labels):
     assert sorted(r.doc_id for r in simhash.keep_one(odd_docs).collect()) == [1, 2, 4, 5]
 
 
+def test_filters_decide_by_row(spark):
+    words = [f"{a}{b}" for a in ("river", "stone", "light", "paper", "winter") for b in ("ing", "ed", "ful", "less", "ward", "ling")]
+    first, second, third = (" ".join(words[at:] + words[:at][::-1] + [str(at) * 9] * 20) for at in (0, 11, 23))
+    docs = spark.createDataFrame([(1, first), (1, second), (None, third), (None, third), (2, second), (None, first)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(docs).collect()) == sorted([(1, first), (1, second), (0, third)])
+    items = spark.createDataFrame([("i", third)], "item_id string, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in decontaminate.without_leaks(docs, items).collect()) == sorted([(1, first), (1, second), (2, second), (0, first)])
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, 0), (None, None, "", 0), (2, "u", "<article><p>A &amp; b<p>c</article>", 1), (3, "u", "<", 2), (4, "u", "<p" * 5000, 2)], "page_id long, url string, html string, n_chars int")
     got = html_text.op9_html(pages).collect()
