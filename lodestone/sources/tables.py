@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan's rows, dealt out to all tasks where its files fill fewer than there are slots (as a file of one row group fills
+    one), so that work on each row uses them all. Large inputs are left where they lie."""
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    if rows._jdf.queryExecution().toRdd().getNumPartitions() > 4 * slots:
+        return rows
+    full = rows.select(F.spark_partition_id().alias("part")).distinct().count()
+    return rows if full >= slots else rows.repartition(3 * slots)
+
+
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("seq"), F.concat(F.lit("embed-"), "lang").alias("model"), "text", "lang")
