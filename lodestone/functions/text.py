@@ -39,8 +39,14 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
+#: The same white space as characters.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, rf"[{WHITE}]+", " "))
+    """Every run of white space as one space, none at the ends. Only runs of spaces meet a regular expression."""
+    spaced = F.translate(text, SPACES, " " * len(SPACES))
+    return F.trim(F.regexp_replace(spaced, "  +", " "))
 
 
 def parse_rules(spec: str) -> tuple[str, ...]:
@@ -54,8 +60,10 @@ def parse_rules(spec: str) -> tuple[str, ...]:
 def normalize(text: Column, rules: str | tuple[str, ...] = ()) -> Column:
     """Text in the form that identity is taken from; unchanged without rules."""
     apply = {"nfc": fold, "trim": trim, "collapse": collapse, "lowercase": F.lower}
-    for r in parse_rules(rules) if isinstance(rules, str) else rules:
-        text = apply[r](text)
+    named = parse_rules(rules) if isinstance(rules, str) else rules
+    for r in named:
+        if r != "trim" or "collapse" not in named:  # collapsing trims, too
+            text = apply[r](text)
     return text
 
 
@@ -69,6 +77,11 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.when(size == F.length(text), plain).otherwise(mixed)).cast("long")
 
 
+def estimate_token_items(tokens: Column) -> Column:
+    """Tokens of an input that is an array of token ids; at least 1."""
+    return F.greatest(F.lit(1), F.size(tokens)).cast("long")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, also where body uses it in a lambda (which would evaluate it for each element)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 # Fields of a request that are not provider parameters, and the fields that may wrap a request, in order.
 KNOWN = ("input", "model", "encoding_format", "dimensions", "user")
@@ -16,9 +17,19 @@ ENVELOPES = ("body", "request", "payload", "kwargs", "request_kwargs", "json_dat
 
 
 def read_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of one or more logs with a seq that follows file and line order; blank lines are left out."""
-    lines = spark.read.text(paths).withColumn("seq", F.monotonically_increasing_id())
-    return lines.where(F.regexp_replace("value", r"\s+", "") != "")
+    """Lines of one or more logs (value) with a seq that follows the order of the paths, of files by name and of lines; blank
+    lines are left out. Lines are numbered by the running number of lines in the parts of files before theirs, whatever order
+    the parts are read in."""
+    found = None
+    for place, path in enumerate([paths] if isinstance(paths, str) else paths):
+        lines = spark.read.text(path).select("value", F.lit(place).alias("_place"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_n"))
+        found = lines if found is None else found.unionByName(lines)
+    part = ["_place", "_file", "_start"]
+    parts = found.groupBy(*part).agg(F.min("_n").alias("_first"), F.count("*").alias("_lines"))
+    before = W.Window.orderBy(*part).rowsBetween(W.Window.unboundedPreceding, -1)  # a row for each part of a file
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
+    rows = found.join(parts, part).select("value", (F.col("_base") + F.col("_n") - F.col("_first")).alias("seq"))
+    return rows.where(F.regexp_replace("value", r"\s+", "") != "")
 
 
 def write_log(requests: DataFrame, path: str) -> None:
@@ -46,23 +57,35 @@ def encode_request(model: str, input_: str, dimensions: str, encoding: str, user
     return F.concat(F.lit("{"), body, F.lit("}"))
 
 
-def _object(text: Column) -> Column:
-    return F.from_json(text, "map<string,string>")
+def _members(text: Column) -> Column:
+    """The members of a JSON object as variants; null for anything else."""
+    return F.from_json(text, "map<string,variant>")
+
+
+def _kind(m: Column, name: str) -> Column:
+    return F.schema_of_variant(m[name])
 
 
 def _is_request(m: Column) -> Column:
-    """A non-empty string model and an input. from_json drops the quotes of strings, so null and absent look alike."""
-    return m.isNotNull() & (F.coalesce(m["model"], F.lit("")) != "") & F.map_contains_key(m, F.lit("input"))
+    """A non-empty string model and an input, and no known field of a wrong type; null counts as absent."""
+    typed = lambda name, kind: F.coalesce(_kind(m, name), F.lit("VOID")).isin("VOID", kind)
+    named = (_kind(m, "model") == "STRING") & (F.variant_get(m["model"], "$", "string") != "")
+    return F.coalesce(m.isNotNull() & F.map_contains_key(m, F.lit("input")) & named & typed("dimensions", "BIGINT") & typed("encoding_format", "STRING") & typed("user", "STRING"), F.lit(False))
 
 
 def enveloped(line: Column) -> Column:
-    """The request's JSON text: the line itself, or the first of the wrapping fields that holds one; else null."""
-    whole = _object(line)
-    found = [F.when(_is_request(whole), line)]
-    for name in ENVELOPES:
-        inner = whole[name]
-        found.append(F.when(_is_request(_object(inner)), inner))
-    return F.coalesce(*found)
+    """The request's JSON text: the line itself, or the first of the wrapping fields that holds one, as an object or as text;
+    else null."""
+    whole = _members(line)
+
+    def inside(m: Column) -> Column:
+        found = [F.when(_is_request(m), line)]
+        for name in ENVELOPES:
+            inner = F.when(_kind(m, name) == "STRING", F.variant_get(m[name], "$", "string")).otherwise(F.to_json(m[name]))
+            found.append(F.when(F.map_contains_key(m, F.lit(name)), F.get(F.transform(F.array(inner), lambda t: F.when(_is_request(_members(t)), t)), F.lit(0))))
+        return F.coalesce(*found)
+
+    return F.get(F.transform(F.array(whole), inside), F.lit(0))
 
 
 def _search(value) -> dict | None:
@@ -91,39 +114,49 @@ def nested(lines: pd.Series) -> pd.Series:
             found = _search(json.loads(line))
         except (TypeError, ValueError):
             return None
-        return None if found is None else json.dumps(found, ensure_ascii=False, sort_keys=True)
+        if found is None or not _holds_request({k: json.dumps(found[k]) for k in KNOWN if k in found}):
+            return None
+        return json.dumps(found, ensure_ascii=False, sort_keys=True)
 
     return lines.map(one)
 
 
 def extract(lines: DataFrame, value: str = "value") -> DataFrame:
     """lines with `request`, the JSON text of the request that they hold, or null. Only lines whose envelope is not among
-    the known ones are walked in Python."""
-    first = lines.withColumn("request", enveloped(F.col(value)))
-    walked = first.where(F.col("request").isNull()).withColumn("request", nested(F.col(value)))
-    return first.where(F.col("request").isNotNull()).unionByName(walked)
-
-
-def parse(requests: DataFrame, column: str = "request", ignore: tuple[str, ...] = ()) -> DataFrame:
-    """model, input (JSON text), dimensions, encoding_format, user and params of each request. `ignore` names fields of a
-    flat log line that are no provider parameters, such as time stamps."""
-    m = _object(F.col(column))
-    rows = requests.withColumn("_m", m)
+    the known ones are handed to Python to be walked."""
+    first = lines.withColumn("_first", enveloped(F.col(value)))
+    walked = first.withColumn("_nested", nested(F.when(F.col("_first").isNull(), F.col(value))))
+    return walked.withColumn("request", F.coalesce("_first", "_nested")).drop("_first", "_nested")
+
+
+def parse(requests: DataFrame, column: str = "request", ignore: tuple[str, ...] = (), line: str | None = None) -> DataFrame:
+    """model, input (JSON text), dimensions, encoding_format, user and params of each request; params maps the names of provider
+    parameters to the JSON text of their values, null if there are none. `ignore` names fields of a flat log line that
+    are no parameters, such as time stamps. Values are spelt as Spark writes JSON; with `line`, the column of the log line that
+    the request was found in, those of requests with parameters are read again, as they were spelt there."""
+    rows = requests.withColumn("_m", _members(F.col(column)))
+    text = lambda name: F.variant_get(F.col("_m")[name], "$", "string")
     skip = [*KNOWN, *ignore]
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
-            "model": F.col("_m")["model"],
-            "input": _raw_input(F.col(column)),
-            "dimensions": F.col("_m")["dimensions"].try_cast("int"),
-            "encoding_format": F.col("_m")["encoding_format"],
-            "user": F.col("_m")["user"],
-            "params": F.map_filter("_m", lambda k, v: ~k.isin(skip) & v.isNotNull()),
+            "model": text("model"),
+            "input": F.to_json(F.col("_m")["input"]),
+            "dimensions": F.try_variant_get(F.col("_m")["dimensions"], "$", "int"),
+            "encoding_format": text("encoding_format"),
+            "user": text("user"),
+            "params": F.transform_values(F.map_filter("_m", lambda k, v: ~k.isin(skip)), lambda k, v: F.to_json(v)),
         }
     ).drop("_m")
+    rows = rows.withColumn("params", F.when(F.size("params") > 0, F.col("params")))
+    if line is None:
+        return rows
+    has = F.col("params").isNotNull()
+    spelt = rows.withColumns({"_line": raw_params(F.when(has, F.col(line))), "_own": raw_params(F.when(has, F.col(column)))})
+    return spelt.withColumn("params", F.map_filter(F.coalesce("_line", "_own"), lambda k, v: ~k.isin(skip))).drop("_line", "_own")
 
 
 def _raw_input(request: Column) -> Column:
-    return F.to_json(F.variant_get(F.try_parse_json(request), "$.input", "variant"))
+    return F.to_json(_members(request)["input"])
 
 
 def items(requests: DataFrame, column: str = "input") -> DataFrame:
@@ -143,12 +176,17 @@ def items(requests: DataFrame, column: str = "input") -> DataFrame:
     return requests.select("*", F.posexplode(made).alias("pos", "_item")).select(*requests.columns, "pos", "_item.*")
 
 
+def n_items(input_: Column) -> Column:
+    """Number of items of an input (JSON text); null where it has none of the known shapes."""
+    v = F.try_parse_json(input_)
+    kind = F.schema_of_variant(v)
+    counted = F.when(kind.isin("STRING", "ARRAY<BIGINT>", "VOID"), 1).when(kind == "ARRAY<STRING>", F.size(F.variant_get(v, "$", "array<string>")))
+    return counted.when(kind == "ARRAY<ARRAY<BIGINT>>", F.size(F.variant_get(v, "$", "array<array<bigint>>")))
+
+
 def status(requests: DataFrame, most_items: int | None = None, most_bytes: int | None = None, body: str = "value") -> DataFrame:
     """requests (value, request) with n_items and the status that a server would answer before any work: 400 or 413, else 200."""
-    v = F.try_parse_json(_raw_input(F.col("request")))
-    kind = F.schema_of_variant(v)
-    n = F.when(kind.isin("STRING", "ARRAY<BIGINT>", "VOID"), 1).when(kind == "ARRAY<STRING>", F.size(F.variant_get(v, "$", "array<string>"))).when(kind == "ARRAY<ARRAY<BIGINT>>", F.size(F.variant_get(v, "$", "array<array<bigint>>")))
-    rows = requests.withColumn("n_items", n)
+    rows = requests.withColumn("n_items", n_items(_raw_input(F.col("request"))))
     code = F.lit(200)
     if most_items is not None:
         code = F.when(F.col("n_items") > most_items, 400).otherwise(code)
@@ -158,34 +196,71 @@ def status(requests: DataFrame, most_items: int | None = None, most_bytes: int |
     return rows.withColumn("status", code)
 
 
-def encode_inputs(rows: DataFrame, batch: str, position: str, text: str) -> DataFrame:
-    """The texts of each batch as a JSON array, in order."""
-    ordered = F.array_sort(F.collect_list(F.struct(position, text)))
-    return rows.groupBy(batch).agg(F.to_json(F.transform(ordered, lambda s: s[text])).alias("input"))
+def encode_inputs(rows: DataFrame, batch: str, position: str, text: str = "text", tokens: str | None = None) -> DataFrame:
+    """The texts of each batch as a JSON array, in order; with `tokens`, the token arrays of batches that have them."""
+    ordered = F.array_sort(F.collect_list(F.struct(position, text, *([tokens] if tokens else []))))
+    made = F.to_json(F.transform(ordered, lambda s: s[text]))
+    if tokens:
+        made = F.when(F.exists(ordered, lambda s: s[tokens].isNotNull()), F.to_json(F.transform(ordered, lambda s: F.coalesce(s[tokens], F.array().cast("array<bigint>"))))).otherwise(made)
+    return rows.groupBy(batch).agg(made.alias("input"))
 
 
-def _raw_members(line: str) -> dict[str, str]:
-    """Member names and the exact text of their values of a JSON object."""
-    decoder, at, found = json.JSONDecoder(), 1, {}
-    line = line.strip()
-    space = " \t\r\n"
+def _raw_members(text: str) -> dict[str, str]:
+    """Member names and the exact text of their values of a JSON object; nothing for anything else."""
+    decoder, found = json.JSONDecoder(), {}
+    text = text.strip()
+    if not isinstance(json.loads(text), dict):
+        return found
+    at, space = 1, " \t\r\n"
     while True:
-        while line[at] in space + ",":
+        while text[at] in space + ",":
             at += 1
-        if line[at] == "}":
+        if text[at] == "}":
             return found
-        name, at = decoder.raw_decode(line, at)
-        while line[at] in space + ":":
+        name, at = decoder.raw_decode(text, at)
+        while text[at] in space + ":":
             at += 1
         start = at
-        _, at = decoder.raw_decode(line, at)
-        found[name] = line[start:at]
+        _, at = decoder.raw_decode(text, at)
+        found[name] = text[start:at]
+
+
+def _holds_request(members: dict[str, str]) -> bool:
+    if "input" not in members or "model" not in members:
+        return False
+    known = {k: json.loads(members[k]) for k in ("model", "dimensions", "encoding_format", "user") if k in members}
+    whole = known.get("dimensions")
+    texts = all(known.get(k) is None or isinstance(known[k], str) for k in ("encoding_format", "user"))
+    return isinstance(known["model"], str) and known["model"] != "" and texts and (whole is None or isinstance(whole, int) and not isinstance(whole, bool))
+
+
+def _raw_request(line: str) -> dict[str, str] | None:
+    """The members of the request that a line is, or that one of the wrapping fields holds."""
+    whole = _raw_members(line)
+    if _holds_request(whole):
+        return whole
+    for name in ENVELOPES:
+        try:
+            value = whole.get(name, "")
+            inner = _raw_members(json.loads(value) if value[:1] == '"' else value)
+        except ValueError:
+            continue
+        if _holds_request(inner):
+            return inner
+    return None
 
 
 def _raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def one(line):
+        try:
+            found = _raw_request(line) if isinstance(line, str) else None
+        except ValueError:
+            return None
+        return None if found is None else {k: v for k, v in found.items() if k not in KNOWN}
+
     for lines in batches:
-        yield lines.map(lambda s: {k: v for k, v in _raw_members(s).items() if k not in KNOWN} if isinstance(s, str) else None)
+        yield lines.map(one)
 
 
 raw_params = F.pandas_udf(_raw, T.MapType(T.StringType(), T.StringType()))
-"""Provider parameters of a request with the exact text of their values, so that 1.50 and 1.5 differ."""
+"""Provider parameters of the request in a line with the exact text of their values, so that 1.50 and 1.5 differ."""

@@ -65,6 +65,41 @@ def request_log(spark: SparkSession, sf_dir: str, most: int | None = None) -> Da
     return docs.select(F.col("doc_id").alias("seq"), shapes.alias("value"))
 
 
+#: Models of the log of events: three with a price of their own, others without.
+MODELS = {"click": "text-embedding-3-small", "view": "text-embedding-3-large", "signup": "text-embedding-ada-002"}
+
+
+def event_model(kind: Column) -> Column:
+    model = kind
+    for name, own in MODELS.items():
+        model = F.when(kind == name, own).otherwise(model)
+    return model
+
+
+def api_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq and value: events as log lines, by event_id modulo 8: a text; texts with dimensions in an envelope; tokens with an
+    encoding, as JSON text in an envelope; token arrays, nested; a parameter in two spellings; a model of a wrong type; an
+    empty array; null."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.to_json(F.struct(event_model(F.col("event_type")).alias("m"))).alias("m"), F.to_json(F.struct("props")).alias("t"), (F.col("user_id") % 200).alias("a"), (F.col("event_id") % 7).alias("b"), F.expr("event_id div 8 % 2").alias("odd"))
+    bare = lambda c, n: F.expr(f"substring({c}, {n}, length({c}) - {n})")  # noqa: E731  the quoted value of {"name":value}
+    events = events.withColumns({"m": bare("m", 6), "t": bare("t", 10)})
+    tokens = F.format_string('{"model":%s,"input":[%d,%d],"encoding_format":"base64"}', "m", "a", "b")
+    lines = [
+        F.format_string('{"model":%s,"input":%s}', "m", "t"),
+        F.format_string('{"level":"info","body":{"model":%s,"input":[%s,"same"],"dimensions":256}}', "m", "t"),
+        F.to_json(F.struct(tokens.alias("request"), F.lit("t").alias("ts"))),
+        F.format_string('{"trace":[{"deep":{"model":%s,"input":[[%d],[%d,%d]],"user":"u"}}]}', "m", "a", "b", "a"),
+        F.format_string('{"model":%s,"input":"note %d","temperature":%s}', "m", "b", F.when(F.col("odd") == 1, "1.50").otherwise("1.5")),
+        F.format_string('{"model":5,"input":%s}', "t"),
+        F.format_string('{"model":%s,"input":[]}', "m"),
+        F.format_string('{"model":%s,"input":null,"user":null}', "m"),
+    ]
+    value = lines[0]
+    for k, line in enumerate(lines[1:], 1):
+        value = F.when(F.col("seq") % 8 == k, line).otherwise(value)
+    return events.select("seq", value.alias("value"))
+
+
 def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, before, after: a sentence is inserted after a third of every twentieth document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("before"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,15 +16,27 @@ from lodestone.functions.cost import cost
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder where it is unset."""
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary folder, if the session runs in one
+    process; on a cluster that is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place:
         return place.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return shared_dir.own
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
+def line_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a growing folder of logs."""
+    return spark.readStream.text(path).where(F.regexp_replace("value", r"\s+", "") != "")
+
+
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, a folder or a single file, as a stream of its files."""
     stream = spark.readStream.schema(spark.read.parquet(path).schema)

@@ -122,3 +122,52 @@ def test_nested_lines_get_a_status(spark, tmp_path):
     log_of(spark, tmp_path, {i: "text" for i in range(10)})
     got = {r.seq: (r.status, r.n_items) for r in QUERIES["request_status_all"](spark, str(tmp_path)).collect()}
     assert got == {i: (400, 0) if i == 9 else (400, 2) if i % 4 in (1, 3) else (200, 1) for i in range(10)}
+
+
+def test_known_fields_of_wrong_types_are_no_requests(spark):
+    lines = ['{"model":5,"input":"x"}', '{"model":"m","input":"x","dimensions":"abc"}', '{"model":"m","input":"x","dimensions":1.0}', '{"model":"m","input":"x","user":7}', '{"model":"m"}', '{"model":"","input":"x"}']
+    lines += ['{"body":{"model":5,"input":"x"}}', '{"a":{"model":"m","input":"x","encoding_format":1}}', '{"model":"m","input":"x","dimensions":null,"user":null}', '{"body":{"model":5,"input":"x"},"data":"{\\"model\\":\\"n\\",\\"input\\":[1]}"}']
+    got = {r.seq: r.request for r in requests.extract(spark.createDataFrame(list(enumerate(lines)), "seq int, value string")).collect()}
+    assert [i for i in got if got[i] is not None] == [8, 9] and json.loads(got[9])["model"] == "n"
+
+
+def test_parameters_are_spelt_as_they_were(spark):
+    rows = ['{"model":"m","input":"x","n":1}', '{"model":"m","input":"x","n":"1"}', '{"body":{"model":"m","input":"x","n": 1.50, "s":"a b"}}', '{"request":"{\\"model\\":\\"m\\",\\"input\\":\\"x\\",\\"n\\":1.5}"}']
+    found = requests.parse(requests.extract(spark.createDataFrame(list(enumerate(rows)), "seq int, value string")), line="value")
+    out = found.select("seq", "params", identity.params_digest(F.col("params")).alias("d"), requests.encode_request("model", "input", "dimensions", "encoding_format", "user", "params").alias("again")).orderBy("seq").collect()
+    assert [r.params for r in out] == [{"n": "1"}, {"n": '"1"'}, {"n": "1.50", "s": '"a b"'}, {"n": "1.5"}]
+    assert len({r.d for r in out}) == 4
+    assert all(json.loads(r.again)["n"] is not None for r in out) and '"s":"a b"' in out[2].again
+
+
+def test_lines_follow_the_order_of_the_logs(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join(f"a{i}" for i in range(3)) + "\n \n")
+    (tmp_path / "b.jsonl").write_text("\n".join(f"b{i}" * 50 for i in range(40_000)))
+    rows = requests.read_log(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")]).orderBy("seq").collect()
+    assert [r.value[: len(f"b{i}")] for i, r in enumerate(rows[3:])] == [f"b{i}" for i in range(40_000)]
+    assert [r.value for r in rows[:3]] == ["a0", "a1", "a2"] and [r.seq for r in rows] == [0, 1, 2, *range(4, 40_004)]
+
+
+def test_report_of_an_analysis(spark):
+    from lodestone.operators import analyze
+
+    one = {"model": "text-embedding-3-large", "input": ["hello  world", "hello  world", [1, 2][0:0] and None or "x"]}
+    lines = [json.dumps(one), json.dumps({"model": "m", "input": [[1, 2, 3], [1, 2, 3]]}), "junk", " "]
+    log = spark.createDataFrame([(i, s) for i, s in enumerate(lines) if s.strip()], "seq long, value string")
+    summary, models, top = analyze.analyze(log)
+    s = summary.first()
+    assert (s.requests, s.skipped, s["items"], s.unique_items, s.dup_items, s.total_tokens, s.wasted_tokens) == (2, 1, 5, 3, 2, 13, 6)
+    assert abs(s.total_usd - (7 * 0.13 + 6 * 0.02) / 1e6) < 1e-15 and abs(s.wasted_usd - (3 * 0.13 + 3 * 0.02) / 1e6) < 1e-15
+    assert {r.preview for r in top.collect()} == {"hello world", "<3 pre-tokenized tokens>"}
+    text_ = analyze.render(summary, top, models)
+    assert "requests          2 (and 1 lines that are none)" in text_ and "<3 pre-tokenized tokens>" in text_
+    whole = json.loads(analyze.as_json(summary, models, top).first().value)
+    assert whole["requests"] == 2 and len(whole["models"]) == 2 and [t["wasted_tokens"] for t in whole["top_duplicates"]] == [3, 3]
+
+
+def test_inputs_of_two_requests_with_other_dimensions_differ(spark):
+    from lodestone.operators import analyze
+
+    lines = [json.dumps({"model": "m", "input": "x"} | more) for more in ({}, {"dimensions": 8}, {"encoding_format": "base64"}, {"t": 1}, {"user": "u"})]
+    rows = analyze.items(analyze.parsed(spark.createDataFrame(list(enumerate(lines)), "seq long, value string")))
+    assert len({r.key for r in rows.collect()}) == 4
