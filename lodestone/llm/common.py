@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -25,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, if the session runs
+    in one process; on a cluster, a folder of one machine would lose rows, so that is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return shared_dir.own
@@ -39,7 +43,61 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where df has a column of that name already."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if n.lower() not in taken) for name in names]
+
+
+def _scanned(df: DataFrame) -> bool:
+    """Whether df is a scan of files with columns chosen or computed, so that file and place in it tell its rows apart."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.child()
+    return plan.nodeName() == "LogicalRelation" and "_metadata" not in df.columns
+
+
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with two columns that tell its rows apart, whichever tasks read them and however often: a hash of the file's path
+    and the row's place in it. What is no scan of files is stored first, since its rows have no place of their own."""
+    names = fresh(df, *(names or ("_file", "_at")))
+    if not _scanned(df):
+        df = stored(df, "rows")
+    return df.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Few rows with much to do for each, dealt out to all tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: A key of more rows than this, and than a 100,000th of all, is joined apart.
+HOT_ROWS = 4096
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows joined with a table of one row for each key. Keys of very many rows, at most 100,000, are joined by broadcast, so
+    that none gathers in one task."""
+    least = max(HOT_ROWS, n_rows // 100_000)
+    hot = stored(rows.groupBy(key).count().where(F.col("count") > least).select(F.col(key).alias("_hot")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(table, key)
+    few = table.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left_semi")
+    rest = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left_anti").join(table, key)
+    return rows.join(F.broadcast(stored(few, "hot-rows")), key).unionByName(rest)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -8,10 +8,15 @@ differs in at most one bit, so each fingerprint is looked up under the 33 values
 each segment, in a table keyed by segment and value, and complete distances are verified. The search runs over
 distinct fingerprints, so copies cost nothing. A crowded table key (more than CROWD fingerprints) would pair all that
 share it; for those, the other segment's parts extend the key, by the same pigeonhole argument, so no link is lost.
+For classes, a task passes on only those of its links that join what its earlier ones did not, so a dense cluster leaves
+about a link for each member and not one for each pair.
 
 Classes: smallest labels are spread over the links and pointers are shortcut in rounds until nothing changes; each round
 is a few joins and a min-aggregation over linked fingerprints, written to the shared folder. Neither links nor
-fingerprints reach the driver.
+fingerprints reach the driver. Documents meet their fingerprint's class by join_spread, so copies of one text, however
+many, are joined where they are.
+
+The filter reads texts where they lie and never shuffles them while the dropped rows' numbers are few enough to broadcast.
 
 Defined results: texts that are null, empty or white space have fingerprint 0 and are linked like any other; fewer than
 three words form one shingle; repeated rows share a class; a null doc_id gets a class id only from others; an empty
@@ -28,14 +33,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import give_back_memory, stored
+from lodestone.llm.common import dealt, give_back_memory, join_spread, maybe_broadcast, numbered, release, stored
+from lodestone.sources.tables import spread
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
 CROWD = 500
 CHUNK_SHINGLES = 1 << 16
+FOREST = 1 << 20  # fingerprints that a task remembers while it thins links
 
 
 # --- fingerprints -------------------------------------------------------------------------------------------
@@ -71,16 +79,18 @@ def simhash(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, the last column, gives way to its fingerprint."""
     for batch in batches:
-        texts = batch.column(1)
+        *keep, texts = batch.columns
         found = np.fromiter((simhash(t.as_py() or b"") for t in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(found)], names=[*batch.schema.names[:-1], "fp"])
         give_back_memory()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and the fingerprint of each text as a signed long."""
+    rows = spread(docs.select(*keep, F.col("text").cast("binary").alias("fp")))
+    return rows.mapInArrow(_fingerprints, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 # --- links --------------------------------------------------------------------------------------------------
@@ -117,27 +127,52 @@ def _tags(segment: int, values: Column) -> Column:
     return F.transform(values, lambda v: _tag(segment, v))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints `fp` that differ in at most RADIUS bits."""
+def links(fps: DataFrame, thin: bool = False) -> DataFrame:
+    """Pairs (a, b), a < b, of the distinct fingerprints `fp` that differ in at most RADIUS bits; `thin`: only as many as it
+    takes to join all that they join."""
     fp = F.col("fp")
     table = _rows(fps, [F.array(_tag(s, own)) for s, (own, _) in enumerate(_halves(fp))])
     crowded = table.groupBy("key").count().where(F.col("count") > CROWD).select("key")
     crowded = stored(crowded, "simhash-crowded")
-    probes = _rows(fps, [_tags(s, _ball(own, 32)) for s, (own, _) in enumerate(_halves(fp))])
+    probes = _rows(dealt(fps), [_tags(s, _ball(own, 32)) for s, (own, _) in enumerate(_halves(fp))])
     if crowded.isEmpty():
-        return _verified(probes, table)
+        return _verified(probes, table, thin=thin)
     # A key is crowded if many fingerprints share it; every pair meets under the key of the table's side.
-    calm = _verified(probes, table.join(crowded, "key", "left_anti"))
-    return calm.unionByName(_crowded_links(table.join(crowded, "key", "left_semi"), probes.join(crowded, "key", "left_semi"))).distinct()
+    calm = _verified(probes, table.join(crowded, "key", "left_anti"), thin=thin)
+    return calm.unionByName(_crowded_links(table.join(crowded, "key", "left_semi"), probes.join(crowded, "key", "left_semi"), thin)).distinct()
+
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those of a task's links that join what the ones before them did not."""
+    above: dict[int, int] = {}
 
-def _verified(probes: DataFrame, table: DataFrame, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        joins = []
+        for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            x, y = top(a), top(b)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                joins.append(k)
+        if len(above) > FOREST:
+            above.clear()
+        if joins:
+            yield batch.take(pa.array(joins))
+
+
+def _verified(probes: DataFrame, table: DataFrame, keys: tuple[str, ...] = ("key",), thin: bool = False) -> DataFrame:
     met = probes.withColumnRenamed("fp", "p").join(table.withColumnRenamed("fp", "t"), list(keys))
     a, b = F.least("p", "t"), F.greatest("p", "t")
-    return met.select(a.alias("a"), b.alias("b")).where(_close(F.col("a"), F.col("b"))).distinct()
+    found = met.select(a.alias("a"), b.alias("b")).where(_close(F.col("a"), F.col("b")))
+    return (found.mapInArrow(_forest, "a long, b long") if thin else found).distinct()
 
 
-def _crowded_links(table: DataFrame, probes: DataFrame) -> DataFrame:
+def _crowded_links(table: DataFrame, probes: DataFrame, thin: bool) -> DataFrame:
     """Links under crowded keys: where the key's segment is equal, the other segment differs in at most 3 bits, so one of
     its halves in at most 1; where it differs in one bit, the other differs in at most 2, so one of its thirds in none."""
     fp = F.col("fp")
@@ -152,8 +187,8 @@ def _crowded_links(table: DataFrame, probes: DataFrame) -> DataFrame:
     def one(value: Column, bits: int) -> Column:
         return F.array(value)
 
-    same = _verified(sub(probes.where(own == value), wide, _ball), sub(table, wide, one), ("key", "sub"))
-    near = _verified(sub(probes.where(own != value), third, one), sub(table, third, one), ("key", "sub"))
+    same = _verified(sub(probes.where(own == value), wide, _ball), sub(table, wide, one), ("key", "sub"), thin)
+    near = _verified(sub(probes.where(own != value), third, one), sub(table, third, one), ("key", "sub"), thin)
     return same.unionByName(near)
 
 
@@ -167,7 +202,7 @@ def components(edges: DataFrame) -> DataFrame:
     parents of its neighbours, and a parent learns of smaller ones from its children."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stored(both, "links")
-    state = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "roots")
+    state = old = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "roots")
     while True:
         up = state.select(F.col("node").alias("root"), F.col("root").alias("above"))
         lifted = state.join(up, "root").select("node", "root", "above")
@@ -177,32 +212,47 @@ def components(edges: DataFrame) -> DataFrame:
         offers = told.select("node", "best").unionByName(told.select(F.col("root").alias("node"), "best"))
         new = offers.groupBy("node").agg(F.min("best").alias("best"))
         new = stored(new.join(told.select("node", "root"), "node").select("node", F.col("best").alias("now"), F.col("root").alias("was")), "roots")
-        state = new.select("node", F.col("now").alias("root"))
+        release(told, old)
+        old, state = new, new.select("node", F.col("now").alias("root"))
         if new.where("now <> was").isEmpty():
+            release(both)
             return state
 
 
+def classified(rows: DataFrame, pick: Column) -> DataFrame:
+    """fp, n, first and root for every fingerprint of the rows (fp): how many rows have it, the least `pick` of them, and
+    the smallest fingerprint that its links reach."""
+    fps = stored(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(pick).alias("first")), "distinct-fingerprints")
+    found = stored(links(fps.select("fp"), thin=True), "simhash-links")
+    roots = components(found)
+    known = stored(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
+    release(fps, found)
+    return known
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that its links reach, for every row."""
-    rows = stored(fingerprints(docs), "fingerprints")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    found = stored(links(fps.select("fp")), "simhash-links")
-    roots = components(found)
-    known = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = stored(known, "fingerprint-roots")
+    rows = stored(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id"), "fingerprints")
+    known = classified(rows, F.col("doc_id"))
+    total = known.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     firsts = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(known.join(firsts, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = stored(join_spread(known.select("fp", "root"), firsts, "root", total[0]).select("fp", "component_id"), "fingerprint-classes")
+    return join_spread(rows, named, "fp", total[1]).select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:
-    return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return classes(docs.select("doc_id", "text")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class: that of the class's smallest doc_id, and the first by text where rows share the id. Rows
-    without an id stay where a class has no other. Rows are told apart by a number of their own, not by their ids."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
-    found = classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "_row")
-    kept = rows.select("_row", "doc_id", "text").join(found, "_row").groupBy("component_id").agg(F.min(place)["_row"].alias("_row"))
-    return rows.join(stored(kept.select("_row"), "simhash-kept"), "_row", "left_semi").select(*docs.columns)
+    """One row of each class: that of the class's smallest doc_id, the first by a hash of its text where rows share the id.
+    Rows without an id stay where a class has no other. Rows are told apart by their place, not by their ids."""
+    rows, (file, at) = numbered(docs)
+    own = rows.select(F.col(file).alias("file"), F.col(at).alias("at"), "doc_id", F.xxhash64("text").alias("digest"), "text")
+    prints = stored(fingerprints(own, "file", "at", "doc_id", "digest"), "fingerprints")
+    known = classified(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "file", "at"))
+    kept = known.groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.at")
+    dropped = stored(prints.select("file", "at").join(kept, ["file", "at"], "left_anti"), "simhash-dropped")
+    release(prints, known)
+    gone = maybe_broadcast(dropped.toDF(file, at), dropped.count(), 32)
+    return rows.join(gone, [file, at], "left_anti").select(*docs.columns)
