@@ -49,7 +49,7 @@ def drift(estimated: Column, real: Column) -> Column:
 def backoff_ms(attempt: Column, retry_after_s: Column | None = None) -> Column:
     """Wait before an attempt: what the server asks for, up to 5 s; else 250 ms doubling up to 4 s. Jitter is left out."""
     own = F.least(F.lit(4000.0), 250.0 * F.pow(F.lit(2.0), attempt - 1))
-    return own if retry_after_s is None else F.coalesce(F.least(retry_after_s * 1000.0, F.lit(5000.0)), own)
+    return own if retry_after_s is None else F.when(retry_after_s.isNotNull(), F.least(retry_after_s * 1000.0, F.lit(5000.0))).otherwise(own)
 
 
 def upstream_fault(status: Column) -> Column:

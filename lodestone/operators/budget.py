@@ -69,3 +69,11 @@ def report(gated: DataFrame, limits: DataFrame, default: int, win: int | None =
 def reset_seconds(now: Column, seconds: int, origin: int = 0) -> Column:
     """Seconds until the window of a time ends."""
     return (window_id(now, seconds, origin) + 1) * seconds + origin - F.floor(micros(now) / 1_000_000)
+
+
+def display(report: DataFrame, seconds: int, now: Column, origin: int = 0, caller: str = "caller") -> DataFrame:
+    """A report for display: callers by eight hexadecimal digits of their hash, the first by the whole hash where digits
+    clash, and the seconds until the window of `now` ends."""
+    rows = report.withColumns({"_hash": F.sha2(caller, 256), "resets_in": reset_seconds(now, seconds, origin)})
+    first = rows.groupBy(F.left("_hash", F.lit(8)).alias("shown")).agg(F.min(F.struct("_hash", *[c for c in rows.columns if c != "_hash"])).alias("r"))
+    return first.select(F.col("shown").alias(caller), *[f"r.{c}" for c in rows.columns if c not in ("_hash", caller)])

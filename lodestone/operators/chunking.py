@@ -109,10 +109,15 @@ def exploded(rows: DataFrame, chunks: Column, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode(chunks).alias("_c")).select(*keep, "_c.*")
 
 
+def line(hash_: Column, size: Column, data: Column) -> Column:
+    """A chunk as a JSON line of hash, size and text. A chunk may begin or end within a character; such bytes read as
+    replacement marks."""
+    return F.to_json(F.struct(hash_.alias("hash"), size.alias("size"), F.validate_utf8(F.make_valid_utf8(data.cast("string"))).alias("text")))
+
+
 def chunk_json(chunks: DataFrame) -> DataFrame:
-    """JSON lines of hash, size and text. A chunk may begin or end within a character; such bytes read as replacement marks."""
-    text = F.decode("data", "utf-8")
-    return chunks.select(F.to_json(F.struct("hash", "size", text.alias("text"))).alias("value"))
+    """JSON lines of chunks."""
+    return chunks.select(line(F.col("hash"), F.col("size"), F.col("data")).alias("value"))
 
 
 def difference(before: DataFrame, after: DataFrame, by: list[str] | None = None) -> DataFrame:

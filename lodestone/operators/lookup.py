@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +102,47 @@ def coalesced_within(items: DataFrame, latency: float, at: str = "t") -> DataFra
     own = F.col("seq") == F.col("_o.seq")
     outcome = F.when(own, "miss").when(F.col(at) <= F.col("_o")[at] + latency, "coalesced").otherwise("hit")
     return rows.withColumns({"owner": F.col("_o.seq"), "outcome": outcome}).drop("_o")
+
+
+def coalesced_calls(items: DataFrame, latency: float, timeout: float | None = None, failed: Column | None = None, at: str = "t") -> DataFrame:
+    """items (key, seq, at in seconds) with owner and outcome where computations may fail. An owner computes for `latency`
+    seconds, and arrivals meanwhile wait for it. A failed computation (`failed`, a condition on the owner's row) fails its
+    waiters, caches nothing, and the next arrival owns a new one. A waiter gives up if its owner takes more than `timeout`
+    seconds from its arrival. Outcomes: miss, failed, coalesced, gave_up, hit.
+
+    A fold over each key's arrivals, in order, as far as its first computation that succeeds; all later ones are hits."""
+    fails = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
+    rows = items.withColumn("_fails", fails)
+    # Only arrivals up to the end of the first computation of an owner that cannot fail matter to the fold.
+    sure = rows.where(~F.col("_fails")).groupBy("key").agg((F.min(at) + 2 * latency).alias("_until"))
+    rows = rows.join(sure, "key", "left")
+    early = rows.where(F.col("_until").isNull() | (F.col(at) <= F.col("_until")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        owner, since, bad, done, out = None, 0.0, False, None, []
+        pdf = pdf.sort_values(["t", "seq"])
+        for seq, t, fails_ in zip(pdf["seq"], pdf["t"], pdf["fails"], strict=True):
+            if done is not None and t > since + latency:
+                out.append((seq, done, "hit"))
+            elif owner is not None and t <= since + latency:
+                late = timeout is not None and since + latency - t > timeout
+                out.append((seq, owner, "gave_up" if late else "failed" if bad else "coalesced"))
+            else:
+                owner, since, bad = seq, t, bool(fails_)
+                done = None if bad else seq
+                out.append((seq, seq, "failed" if bad else "miss"))
+        return pd.DataFrame(out, columns=["seq", "owner", "outcome"]).assign(key=pdf["key"].iloc[0], done=done)
+
+    own = early.select("key", F.col("seq").cast("long").alias("seq"), F.col(at).cast("double").alias("t"), F.col("_fails").alias("fails"))
+    folded = own.groupBy("key").applyInPandas(run, "seq long, owner long, outcome string, key string, done long")
+    last = folded.groupBy("key").agg(F.max("done").alias("owner"))
+    late = rows.where(F.col("_until").isNotNull() & (F.col(at) > F.col("_until"))).join(last, "key")
+    return folded.select("key", "seq", "owner", "outcome").unionByName(late.select("key", F.col("seq").cast("long").alias("seq"), "owner", F.lit("hit").alias("outcome")))
+
+
+def serving(found: DataFrame, cache: DataFrame, now: Column | None = None) -> DataFrame:
+    """Nearest neighbours (q, c, similarity) with the entry that would be served: a neighbour whose entry was evicted or has
+    expired is a plain miss, and no second-best one is tried."""
+    entries = cache if now is None else cache.where(live(F.col("expires_at"), now))
+    entries = entries.select(F.col("key").alias("c"), "raw", F.lit(True).alias("_live"))
+    return found.join(entries, "c", "left").select("q", "c", "similarity", "raw", F.when(F.col("_live"), "semantic").otherwise("miss").alias("outcome"))

@@ -11,6 +11,7 @@ from collections import OrderedDict
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from lodestone.functions.cost import upstream_fault
 from lodestone.functions.identity import shard
@@ -176,7 +177,47 @@ def coupled_budget(rows: DataFrame) -> DataFrame:
     return own.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "seq long, caller string, outcome string")
 
 
+FLUSH_BUCKET = 4096  # positions whose flushes are looked up together
+
+
 def flushed(rows: DataFrame, flushes: DataFrame, at: str = "seq") -> DataFrame:
-    """rows with the epoch that they fall in: the number of flushes before them. A key is cached within an epoch only."""
-    times = [r[0] for r in flushes.select(at).distinct().orderBy(at).collect()]
-    return rows.withColumn("epoch", sum((F.when(F.col(at) > t, 1).otherwise(0) for t in times), F.lit(0)))
+    """rows with the epoch that they fall in: the number of flushes before them. A key is cached within an epoch only. Flushes
+    are counted by buckets of positions and, within a row's bucket, one by one."""
+    bucket = lambda c: F.floor(F.col(c) / FLUSH_BUCKET)
+    own = flushes.select(F.col(at).alias("_f")).distinct().withColumn("_b", bucket("_f"))
+    counts = own.groupBy("_b").agg(F.collect_list("_f").alias("_in"))  # no more than a bucket's positions
+    places = rows.select(bucket(at).alias("_b")).distinct().join(counts, "_b", "full_outer")
+    before = W.Window.orderBy("_b").rowsBetween(W.Window.unboundedPreceding, -1)  # a row for each bucket
+    bases = places.withColumn("_n", F.coalesce(F.size("_in"), F.lit(0))).withColumn("_base", F.coalesce(F.sum(F.greatest("_n", F.lit(0))).over(before), F.lit(0)))
+    rows = rows.withColumn("_b", bucket(at)).join(bases.select("_b", "_base", "_in"), "_b")
+    inside = F.size(F.filter(F.coalesce("_in", F.array().cast("array<bigint>")), lambda x: x < F.col(at)))
+    return rows.withColumn("epoch", (F.col("_base") + inside).cast("int")).drop("_b", "_base", "_in")
+
+
+def calls(attempts: DataFrame, most: int, threshold: int, cooldown: float, by: str = "upstream") -> DataFrame:
+    """attempts (by, call, attempt from 0, t, status) with how each call ends where faults are retried up to `most` times and a
+    breaker watches every attempt: outcome is ok, rejected (an answer that is an error but no fault), failed (retries used up)
+    or fast_fail (the breaker let it not through), with the number of attempts made. Sequential within an upstream."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        b, out = Breaker(threshold, cooldown), []
+        for call, own in pdf.sort_values(["start", "call", "attempt"]).groupby("call", sort=False):
+            made, outcome = 0, "failed"
+            for t, status, fault in zip(own["t"], own["status"], own["fault"], strict=True):
+                if made > most:
+                    break
+                if not b.admit(t):
+                    outcome = "fast_fail"
+                    break
+                made += 1
+                b.settle(bool(fault), t)
+                if not fault:
+                    outcome = "rejected" if status >= 400 else "ok"
+                    break
+            out.append((call, made, outcome))
+        return pd.DataFrame(out, columns=["call", "attempts", "outcome"]).assign(**{by: pdf[by].iloc[0]})
+
+    first = W.Window.partitionBy(by, "call")
+    own = attempts.select(by, F.col("call").cast("long").alias("call"), F.col("attempt").cast("long").alias("attempt"), F.col("t").cast("double").alias("t"), F.col("status").cast("double").alias("status"), upstream_fault(F.col("status")).alias("fault"))
+    own = own.withColumn("start", F.min("t").over(first))
+    return own.groupBy(by).applyInPandas(run, f"call long, attempts long, outcome string, {by} string")

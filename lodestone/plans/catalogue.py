@@ -295,7 +295,9 @@ def ttl_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
 
 
-@query()
+@query(f"""WITH {_EVENTS}, s AS (SELECT key, seq, xor(ascii(left(key, 1)), ascii(right(key, 1))) % 16 AS shard, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev FROM items),
+d AS (SELECT a.seq, count(DISTINCT b.key) AS between_ FROM s a LEFT JOIN s b ON b.shard = a.shard AND b.seq > a.prev AND b.seq < a.seq WHERE a.prev IS NOT NULL GROUP BY a.seq)
+SELECT key, count(*) AS n, count(*) FILTER (WHERE between_ < 8) AS hits FROM s LEFT JOIN d USING (seq) GROUP BY key""")
 def lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).withColumn("size", F.octet_length("text"))
     return replay.eviction(rows, most_entries=128).groupBy("key").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
@@ -307,14 +309,29 @@ def coalesce_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.coalesced_within(_timed(spark, sf_dir), 600.0).select("seq", "owner", "outcome")
 
 
-@query()
+_BREAKER_STEP = """CASE WHEN a.open AND x.t - a.opened < 1800 THEN {'t': x.t, 'fault': x.fault, 'open': true, 'opened': a.opened, 'failures': a.failures, 'out': list_append(a.out, {'seq': x.seq, 'admitted': false, 'state': 'open'}), 'seq': x.seq}
+WHEN NOT x.fault THEN {'t': x.t, 'fault': x.fault, 'open': false, 'opened': a.opened, 'failures': 0::BIGINT, 'out': list_append(a.out, {'seq': x.seq, 'admitted': true, 'state': 'closed'}), 'seq': x.seq}
+WHEN a.open OR a.failures + 1 >= 2 THEN {'t': x.t, 'fault': x.fault, 'open': true, 'opened': x.t, 'failures': a.failures + 1, 'out': list_append(a.out, {'seq': x.seq, 'admitted': true, 'state': 'open'}), 'seq': x.seq}
+ELSE {'t': x.t, 'fault': x.fault, 'open': false, 'opened': a.opened, 'failures': a.failures + 1, 'out': list_append(a.out, {'seq': x.seq, 'admitted': true, 'state': 'closed'}), 'seq': x.seq} END"""
+_BREAKER_ROW = "{'t': %s, 'fault': %s, 'open': false, 'opened': 0::DOUBLE, 'failures': 0::BIGINT, 'out': []::STRUCT(seq BIGINT, admitted BOOLEAN, state VARCHAR)[], 'seq': %s}"
+
+
+@query(f"""WITH {_EVENTS}, u AS (SELECT CAST(CAST(caller AS BIGINT) % 4 AS VARCHAR) AS upstream, list({_BREAKER_ROW % ("epoch_us(ts) / 1e6", "model = 'error'", "seq")} ORDER BY seq) AS l FROM items GROUP BY ALL),
+r AS (SELECT upstream, unnest(list_reduce(list_prepend({_BREAKER_ROW % ("0::DOUBLE", "false", "-1::BIGINT")}, l), lambda a, x: {_BREAKER_STEP}).out) AS o FROM u) SELECT upstream, o.seq AS seq, o.admitted AS admitted, o.state AS state FROM r""")
 def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("model") == "error", 503).when(F.col("model") == "click", 404).otherwise(200)
     attempts = _timed(spark, sf_dir).select((F.col("caller").cast("long") % 4).cast("string").alias("upstream"), "seq", "t", status.alias("status"))
     return replay.breaker(attempts, threshold=2, cooldown=1800.0)
 
 
-@query()
+_COUPLED_ROW = "{'seq': %s, 'k': %s, 'cw': %s, 'tok': %s, 'made': []::STRUCT(seq BIGINT, k BIGINT, cw BIGINT, tok BIGINT)[]}"
+
+
+@query(f"""WITH {_EVENTS}, n AS (SELECT *, CAST(dense_rank() OVER (ORDER BY key) AS BIGINT) AS k, CAST(dense_rank() OVER (ORDER BY caller, floor(epoch_us(ts) / {DAY * 1_000_000})) AS BIGINT) AS cw FROM items),
+f AS (SELECT list_reduce(list_prepend({_COUPLED_ROW % ("-1::BIGINT", "-1::BIGINT", "-1::BIGINT", "0::BIGINT")}, list({_COUPLED_ROW % ("seq", "k", "cw", "tok")} ORDER BY seq)),
+lambda a, x: CASE WHEN len(list_filter(a.made, lambda m: m.k = x.k)) > 0 OR coalesce(list_sum(list_transform(list_filter(a.made, lambda m: m.cw = x.cw), lambda m: m.tok)), 0) >= {LIMIT} THEN a
+ELSE {{'seq': x.seq, 'k': x.k, 'cw': x.cw, 'tok': x.tok, 'made': list_append(a.made, {{'seq': x.seq, 'k': x.k, 'cw': x.cw, 'tok': x.tok}})}} END).made AS made FROM n),
+m AS (SELECT unnest(made) AS m FROM f) SELECT n.seq, caller, CASE WHEN n.seq = m.seq THEN 'miss' WHEN n.seq > m.seq THEN 'hit' ELSE 'refused' END AS outcome FROM n LEFT JOIN (SELECT m.k AS k, m.seq AS seq FROM m) m USING (k)""")
 def coupled_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select("seq", "caller", budget.window_id(F.col("ts"), DAY).alias("win"), "key", F.col("est_tokens").alias("tokens"), F.lit(LIMIT).alias("token_limit"))
     return replay.coupled_budget(rows)
@@ -357,13 +374,24 @@ def most_similar_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.nearest(met.select("q", "c", (F.col("o") / (F.col("q_n") + F.col("c_n") - F.col("o"))).alias("similarity")))
 
 
+def _sql_shadow() -> str:
+    from lodestone.plans.services import sql_vectors
+
+    grams = _sql_grams("conv_id * 1000 + turn", "text", "conversations").replace("AS id, ' '", "AS id, role, ' '", 1).replace("SELECT DISTINCT id, CASE", "SELECT DISTINCT id, role, CASE").replace("(SELECT id, s, unnest", "(SELECT id, role, s, unnest").replace("USING (gram)", "USING (gram, role)")
+    vectors_ = sql_vectors("role", "text", 8, "conversations", "conv_id * 1000 + turn AS id").replace("unhex(d", "unhex(d")
+    return f"""WITH {grams}, b AS (SELECT * FROM j WHERE similarity >= 0.4 QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, c) = 1), {vectors_}, e AS (SELECT id, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS e FROM vectors),
+w AS (SELECT similarity, list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) AS cosine FROM b JOIN e x ON q = x.id JOIN e y ON c = y.id), t AS (SELECT unnest([0.4::DOUBLE, 0.5::DOUBLE, 0.6::DOUBLE]) AS threshold)
+SELECT threshold, count(*) AS n, round(avg(cosine), 9) AS mean_cosine, round(min(cosine), 9) AS min_cosine, min(cosine) >= 0.95 AS safe FROM w JOIN t ON similarity >= threshold GROUP BY threshold"""
+
+
 @query()
 def shadow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.conversation_items(spark, sf_dir).select(F.col("seq").alias("id"), "seq", "text", "model")
     found = similar.nearest(similar.pairs(rows, 0.4))
     wanted = found.select(F.col("q").alias("id")).union(found.select("c")).distinct()
     v = rows.join(wanted, "id", "left_semi").select("id", mock.embed(F.col("model"), F.col("text"), 64).alias("v"))
-    return similar.sweep(similar.shadow(found, v), [0.4, 0.5, 0.6])
+    swept = similar.sweep(similar.shadow(found, v), [0.4, 0.5, 0.6])
+    return swept.withColumns({c: F.round(c, 9) for c in ("mean_cosine", "min_cosine")})
 
 
 @query()
@@ -470,7 +498,8 @@ def result_dedup_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- chunking -----------------------------------------------------------------------------------------------
 
-_EDITED = f"SELECT doc_id, text AS before, CASE WHEN doc_id % 20 = 0 THEN left(text, length(text) // 3) || '{tables.SENTENCE}' || substring(text, length(text) // 3 + 1) ELSE text END AS after FROM documents"
+_EDITED = f"""SELECT doc_id, before, CASE WHEN doc_id % 20 = 0 THEN left(before, at) || '{tables.SENTENCE}' || substring(before, at + 1) ELSE before END AS after
+FROM (SELECT *, length(before) // 3 + greatest(strpos(substring(before, length(before) // 3 + 1), chr(10) || chr(10)) - 1, 0) AS at FROM (SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS before FROM documents))"""
 
 
 def _sql_fixed(id_: str, c: str, table: str) -> str:
@@ -564,4 +593,6 @@ def counter_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Modules that register queries of their own.
-from lodestone.plans import logs  # noqa: E402, F401
+from lodestone.plans import logs, services  # noqa: E402, F401
+
+ORACLE["shadow_summary"] = _sql_shadow()

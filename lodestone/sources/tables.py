@@ -101,8 +101,12 @@ def api_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, before, after: a sentence is inserted after a third of every twentieth document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("before"))
+    """doc_id, before, after: a sentence is inserted into every twentieth document at the first blank line after a third of
+    it, or there where it has none. Every fortieth has blank lines between its lines."""
+    text = F.when(F.col("doc_id") % 40 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("before"))
     third = F.floor(F.length("before") / 3).cast("int")
-    after = F.concat(F.substring(F.col("before"), F.lit(1), third), F.lit(SENTENCE), F.substring(F.col("before"), third + 1, F.length("before")))
-    return docs.withColumn("after", F.when(F.col("doc_id") % 20 == 0, after).otherwise(F.col("before")))
+    rest = F.substring(F.col("before"), third + 1, F.length("before"))
+    docs = docs.withColumn("at", third + F.greatest(F.instr(rest, "\n\n") - 1, F.lit(0)))
+    after = F.concat(F.substring(F.col("before"), F.lit(1), F.col("at")), F.lit(SENTENCE), F.substring(F.col("before"), F.col("at") + 1, F.length("before")))
+    return docs.select("doc_id", "before", F.when(F.col("doc_id") % 20 == 0, after).otherwise(F.col("before")).alias("after"))
