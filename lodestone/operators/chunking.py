@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 LEAST, AVERAGE, MOST, LEVEL = 200, 800, 2000, 2
 
 CHUNKS = "array<struct<ordinal:int,offset:bigint,size:int,data:binary,hash:string>>"
+PLACES = "array<struct<ordinal:int,offset:bigint,size:int,hash:string>>"
 
 
 def options(least: int = 0, average: int = 0, most: int = 0) -> tuple[int, int, int]:
@@ -77,20 +78,30 @@ class Cutter:
             at = cut
         return ends
 
+    def places(self, data: bytes) -> list[tuple[int, int, int, str]]:
+        """Ordinal, offset, size and hash of each chunk."""
+        ends, view = self.cuts(data), memoryview(data)
+        return [(k, a, b - a, hashlib.sha256(view[a:b]).hexdigest()) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
+
     def split(self, data: bytes) -> list[dict]:
         ends = self.cuts(data)
         return [{"ordinal": k, "offset": a, "size": b - a, "data": data[a:b], "hash": hashlib.sha256(data[a:b]).hexdigest()} for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
 
 
-def content_chunks(text: Column, least: int = 0, average: int = 0, most: int = 0) -> Column:
-    """The content-defined chunks of a text or of bytes; none for nothing."""
+def content_chunks(text: Column, least: int = 0, average: int = 0, most: int = 0, data: bool = False) -> Column:
+    """The content-defined chunks of a text or of bytes, as arrays of (ordinal, offset, size, hash); none for nothing. With
+    `data`, their bytes too, which are cut out of the text where it is and do not come back from Python."""
     cutter = Cutter(least, average, most)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda d: [] if d is None else cutter.split(bytes(d)))
+            yield s.map(lambda d: [] if d is None else cutter.places(bytes(d)))
 
-    return F.pandas_udf(run, CHUNKS)(F.when(text.isNotNull(), text.cast("binary")))
+    whole = F.when(text.isNotNull(), text.cast("binary"))
+    places = F.pandas_udf(run, PLACES)(whole)
+    if not data:
+        return places
+    return F.transform(places, lambda c: F.struct(c["ordinal"].alias("ordinal"), c["offset"].alias("offset"), c["size"].alias("size"), F.substring(whole, (c["offset"] + 1).cast("int"), c["size"]).alias("data"), c["hash"].alias("hash")))
 
 
 def fixed_chunks(text: Column, size: int = AVERAGE) -> Column:
@@ -128,6 +139,15 @@ def difference(before: DataFrame, after: DataFrame, by: list[str] | None = None)
     return rows.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(F.col("_old")).alias("unchanged"), F.count_if(F.col("_old").isNull()).alias("changed"))
 
 
+def difference_of(rows: DataFrame, *keep: str) -> DataFrame:
+    """The same for versions whose chunks stand in one row (before, after): counted there, without a join."""
+    hashes = F.transform("before", lambda c: c["hash"])
+    old = F.map_from_arrays(F.array_distinct(hashes), F.transform(F.array_distinct(hashes), lambda h: F.lit(True)))
+    known = F.aggregate("after", F.lit(0).cast("bigint"), lambda n, c: n + F.when(F.map_contains_key(F.col("_old"), c["hash"]), 1).otherwise(0))
+    counted = rows.withColumn("_old", old).select(*keep, F.size("after").cast("long").alias("total"), known.alias("unchanged")).where("total > 0")
+    return counted.withColumn("changed", F.col("total") - F.col("unchanged"))
+
+
 def delimited(text: Column, delimiter: str, least: int = 80, most: int = 1200) -> Column:
     """Parts between delimiters of at least `least` bytes, cut to `most` characters; each but the first keeps its delimiter's
     last word."""

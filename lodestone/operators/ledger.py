@@ -54,10 +54,12 @@ def top_duplicates(items: DataFrame, n: int = 10) -> DataFrame:
 
 
 def outcomes(items: DataFrame) -> DataFrame:
-    """items with outcome: miss for a key's first occurrence, hit for the rest, and the tokens saved or spent."""
-    order = W.Window.partitionBy("key").orderBy("seq")
-    first = F.row_number().over(order) == 1
-    return items.withColumns({"outcome": F.when(first, "miss").otherwise("hit"), "spent": F.when(first, F.col("est_tokens")).otherwise(0), "saved": F.when(first, 0).otherwise(F.col("est_tokens"))})
+    """items with outcome: miss for a key's first occurrence, hit for the rest, and the tokens saved or spent. A key's first
+    seq is aggregated and joined back, so that a frequent key's rows are never sorted in one task."""
+    firsts = items.groupBy("key").agg(F.min("seq").alias("_first"))
+    first = F.col("seq") == F.col("_first")
+    rows = items.join(firsts, "key").select(*[items[c] for c in items.columns], "_first")
+    return rows.withColumns({"outcome": F.when(first, "miss").otherwise("hit"), "spent": F.when(first, F.col("est_tokens")).otherwise(0), "saved": F.when(first, 0).otherwise(F.col("est_tokens"))}).drop("_first")
 
 
 def usage(ledger: DataFrame, by: str, prices: dict[str, float] | None = None) -> DataFrame:

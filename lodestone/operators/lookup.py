@@ -110,34 +110,32 @@ def coalesced_calls(items: DataFrame, latency: float, timeout: float | None = No
     waiters, caches nothing, and the next arrival owns a new one. A waiter gives up if its owner takes more than `timeout`
     seconds from its arrival. Outcomes: miss, failed, coalesced, gave_up, hit.
 
-    A fold over each key's arrivals, in order, as far as its first computation that succeeds; all later ones are hits."""
+    A fold over each key's arrivals, in order."""
+    from lodestone.operators.replay import in_order
+
+    def start():
+        owner, since, bad, done = None, 0.0, False, None
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal owner, since, bad, done
+            out = []
+            for seq, t, fails in zip(pdf["seq"], pdf["t"], pdf["fails"], strict=True):
+                if owner is not None and t <= since + latency:
+                    late = timeout is not None and since + latency - t > timeout
+                    out.append((owner, "gave_up" if late else "failed" if bad else "coalesced"))
+                elif done is not None:
+                    out.append((done, "hit"))
+                else:
+                    owner, since, bad = int(seq), float(t), bool(fails)
+                    done = None if bad else owner
+                    out.append((owner, "failed" if bad else "miss"))
+            return pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "owner": [o for o, _ in out], "outcome": [s for _, s in out]})
+
+        return step
+
     fails = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
-    rows = items.withColumn("_fails", fails)
-    # Only arrivals up to the end of the first computation of an owner that cannot fail matter to the fold.
-    sure = rows.where(~F.col("_fails")).groupBy("key").agg((F.min(at) + 2 * latency).alias("_until"))
-    rows = rows.join(sure, "key", "left")
-    early = rows.where(F.col("_until").isNull() | (F.col(at) <= F.col("_until")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner, since, bad, done, out = None, 0.0, False, None, []
-        pdf = pdf.sort_values(["t", "seq"])
-        for seq, t, fails_ in zip(pdf["seq"], pdf["t"], pdf["fails"], strict=True):
-            if done is not None and t > since + latency:
-                out.append((seq, done, "hit"))
-            elif owner is not None and t <= since + latency:
-                late = timeout is not None and since + latency - t > timeout
-                out.append((seq, owner, "gave_up" if late else "failed" if bad else "coalesced"))
-            else:
-                owner, since, bad = seq, t, bool(fails_)
-                done = None if bad else seq
-                out.append((seq, seq, "failed" if bad else "miss"))
-        return pd.DataFrame(out, columns=["seq", "owner", "outcome"]).assign(key=pdf["key"].iloc[0], done=done)
-
-    own = early.select("key", F.col("seq").cast("long").alias("seq"), F.col(at).cast("double").alias("t"), F.col("_fails").alias("fails"))
-    folded = own.groupBy("key").applyInPandas(run, "seq long, owner long, outcome string, key string, done long")
-    last = folded.groupBy("key").agg(F.max("done").alias("owner"))
-    late = rows.where(F.col("_until").isNotNull() & (F.col(at) > F.col("_until"))).join(last, "key")
-    return folded.select("key", "seq", "owner", "outcome").unionByName(late.select("key", F.col("seq").cast("long").alias("seq"), "owner", F.lit("hit").alias("outcome")))
+    own = items.select("key", F.col("seq").cast("long").alias("seq"), F.col(at).cast("double").alias("t"), fails.alias("fails"))
+    return in_order(own, "key", ["t", "seq"], "key string, seq long, owner long, outcome string", start)
 
 
 def serving(found: DataFrame, cache: DataFrame, now: Column | None = None) -> DataFrame:

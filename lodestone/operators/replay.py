@@ -1,13 +1,15 @@
 """Replay of order-dependent behaviour: expiry, eviction, circuit breaking, retries, verdict caches, coupled budgets.
 
-Each is sequential within its own key (a cache key, a shard, an upstream, a credential), so rows are grouped by it. The
-coupled budget depends on all rows in order and runs as one fold; operators.budget.gate is its distributed form where a refusal
+Each is sequential within its own key (a cache key, a shard, an upstream, a credential), so rows are dealt out by it, sorted, and
+streamed through a fold; no key's rows are gathered. The coupled budget depends on all rows in order and runs as one fold; operators.budget.gate is its distributed form where a refusal
 does not change what others find."""
 
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +19,55 @@ from lodestone.functions.cost import upstream_fault
 from lodestone.functions.identity import shard
 
 
+def in_order(rows: DataFrame, by: str, order: list[str], schema: str, start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
+    """rows of each value of `by` in order, a batch at a time, through a function that `start` makes for each value and that
+    keeps what it has to remember. Rows are sorted by Spark and never gathered: a value with very many rows takes one task's
+    time, but not its memory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, step = None, None
+        for pdf in batches:
+            value = pdf[by]
+            new = ((value != value.shift()) & ~(value.isna() & value.shift().isna())).to_numpy()
+            new[:1] = True
+            begins = np.flatnonzero(new)
+            for a, b in zip(begins, [*begins[1:], len(pdf)], strict=True):
+                own = value.iloc[a]
+                if step is None or not (own == now or (pd.isna(own) and pd.isna(now))):
+                    now, step = own, start()
+                yield step(pdf.iloc[a:b])
+
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+
+
 def expiry(rows: DataFrame, ttl: float, key: str = "key", at: str = "t", seq: str = "seq") -> DataFrame:
-    """rows (key, t in seconds, seq) with hit: an entry lives ttl seconds from its computation and hits do not extend it.
+    """rows (key, t in seconds, seq) with hit: an entry lives ttl seconds from its computation and hits do not extend it. The
+    next computation is looked up, so a run of hits costs one step."""
+
+    def start():
+        since = None
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal since
+            times = pdf[at].to_numpy(float)
+            hit, k = np.ones(len(times), bool), 0
+            while k < len(times):
+                if since is not None:
+                    k += int(np.searchsorted(times[k:], since + ttl, side="right"))
+                    if k == len(times):
+                        break
+                since, hit[k] = times[k], False
+                k += 1
+            return pd.DataFrame({key: pdf[key], "seq": pdf[seq], "hit": hit})
+
+        return step
 
-    A fold over each key's ordered times; the state is the time of the last computation."""
+    own = rows.select(key, F.col(at).cast("double").alias(at), F.col(seq).cast("bigint").alias(seq))
+    return in_order(own, key, [at, seq], f"{key} string, seq long, hit boolean", start)
+
+
+def expiry_grouped(rows: DataFrame, ttl: float, key: str = "key", at: str = "t", seq: str = "seq") -> DataFrame:
+    """The same as a fold within the JVM over each key's collected times, for keys of few rows."""
     start = F.struct(F.lit(None).cast("double").alias("since"), F.array().cast("array<struct<seq:bigint,hit:boolean>>").alias("out"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(seq).cast("bigint").alias("seq"))))
 
@@ -31,45 +78,35 @@ def expiry(rows: DataFrame, ttl: float, key: str = "key", at: str = "t", seq: st
     return rows.groupBy(key).agg(F.aggregate(ordered, start, step, lambda acc: acc["out"]).alias("_o")).select(key, F.inline("_o"))
 
 
-def expiry_grouped(rows: DataFrame, ttl: float, key: str = "key", at: str = "t", seq: str = "seq") -> DataFrame:
-    """The same for keys with very many rows."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, seq])
-        since, out = None, []
-        for t in pdf[at]:
-            hit = since is not None and t <= since + ttl
-            since = since if hit else t
-            out.append(hit)
-        return pd.DataFrame({key: pdf[key], "seq": pdf[seq], "hit": out})
-
-    return rows.select(key, F.col(at).cast("double").alias(at), F.col(seq).cast("bigint").alias(seq)).groupBy(key).applyInPandas(run, f"{key} string, seq long, hit boolean")
-
-
 def eviction(rows: DataFrame, most_entries: int = 0, most_bytes: int = 0, shards: int = 16, key: str = "key", size: str = "size", seq: str = "seq") -> DataFrame:
     """rows (key, size, seq) with hit, in a cache of shards that each evict their least recently used entries beyond a
     shard's part of the bounds (at least 1); the byte bound leaves one entry."""
     per_entries = max(1, most_entries // shards) if most_entries else 0
     per_bytes = max(1, most_bytes // shards) if most_bytes else 0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def start():
         held: OrderedDict[str, int] = OrderedDict()
-        total, out = 0, []
-        pdf = pdf.sort_values("seq")
-        for k, n in zip(pdf["key"], pdf["size"], strict=True):
-            hit = k in held
-            out.append(hit)
-            if hit:
-                held.move_to_end(k)
-                continue
-            held[k] = n
-            total += n
-            while (per_entries and len(held) > per_entries) or (per_bytes and total > per_bytes and len(held) > 1):
-                total -= held.popitem(last=False)[1]
-        return pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "hit": out})
+        total = 0
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal total
+            out = []
+            for k, n in zip(pdf["key"], pdf["size"], strict=True):
+                hit = k in held
+                out.append(hit)
+                if hit:
+                    held.move_to_end(k)
+                    continue
+                held[k] = n
+                total += n
+                while (per_entries and len(held) > per_entries) or (per_bytes and total > per_bytes and len(held) > 1):
+                    total -= held.popitem(last=False)[1]
+            return pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "hit": out})
+
+        return step
 
     own = rows.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size"), F.col(seq).cast("long").alias("seq"), shard(F.col(key), shards).alias("shard"))
-    return own.groupBy("shard").applyInPandas(run, "key string, seq long, hit boolean")
+    return in_order(own, "shard", ["seq"], "key string, seq long, hit boolean", start)
 
 
 class Breaker:
@@ -107,18 +144,22 @@ def breaker(attempts: DataFrame, threshold: int, cooldown: float, by: str = "ups
     """attempts (by, seq, t in seconds, status) with admitted and the state after each. Only upstream faults count as
     failures; any other answer closes the circuit."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, out = Breaker(threshold, cooldown), []
-        pdf = pdf.sort_values("seq")
-        for t, fault in zip(pdf["t"], pdf["fault"], strict=True):
-            admitted = b.admit(t)
-            if admitted:
-                b.settle(bool(fault), t)
-            out.append((admitted, b.state))
-        return pd.DataFrame({by: pdf[by], "seq": pdf["seq"], "admitted": [a for a, _ in out], "state": [s for _, s in out]})
+    def start():
+        b = Breaker(threshold, cooldown)
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for t, fault in zip(pdf["t"], pdf["fault"], strict=True):
+                admitted = b.admit(t)
+                if admitted:
+                    b.settle(bool(fault), t)
+                out.append((admitted, b.state))
+            return pd.DataFrame({by: pdf[by], "seq": pdf["seq"], "admitted": [a for a, _ in out], "state": [s for _, s in out]})
+
+        return step
 
     own = attempts.select(by, F.col("seq").cast("long").alias("seq"), F.col("t").cast("double").alias("t"), upstream_fault(F.col("status")).alias("fault"))
-    return own.groupBy(by).applyInPandas(run, f"{by} string, seq long, admitted boolean, state string")
+    return in_order(own, by, ["seq"], f"{by} string, seq long, admitted boolean, state string", start)
 
 
 def retries(calls: DataFrame, most: int, by: str = "call") -> DataFrame:
@@ -135,46 +176,54 @@ def verdicts(requests: DataFrame, positive: float, negative: float = 60.0, by: s
     """requests (by, seq, t, answer: true, false or null for an outage) with asked and allowed: verdicts are kept for their time
     to live, an outage refuses and is not kept."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, until, out = None, 0.0, []
-        pdf = pdf.sort_values("seq")
-        for t, answer in zip(pdf["t"], pdf["answer"], strict=True):
-            if kept is not None and t <= until:
-                out.append((False, kept))
-                continue
-            if answer is None or answer != answer:
-                kept = None
-                out.append((True, False))
-                continue
-            kept, until = bool(answer), t + (positive if answer else negative)
-            out.append((True, kept))
-        return pd.DataFrame({by: pdf[by], "seq": pdf["seq"], "asked": [a for a, _ in out], "allowed": [b for _, b in out]})
-
-    return requests.select(by, F.col("seq").cast("long").alias("seq"), F.col("t").cast("double").alias("t"), F.col("answer").cast("boolean").alias("answer")).groupBy(by).applyInPandas(run, f"{by} string, seq long, asked boolean, allowed boolean")
+    def start():
+        kept, until = None, 0.0
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal kept, until
+            out = []
+            for t, answer in zip(pdf["t"], pdf["answer"], strict=True):
+                if kept is not None and t <= until:
+                    out.append((False, kept))
+                elif answer is None or answer != answer:
+                    kept = None
+                    out.append((True, False))
+                else:
+                    kept, until = bool(answer), t + (positive if answer else negative)
+                    out.append((True, kept))
+            return pd.DataFrame({by: pdf[by], "seq": pdf["seq"], "asked": [a for a, _ in out], "allowed": [b for _, b in out]})
+
+        return step
+
+    own = requests.select(by, F.col("seq").cast("long").alias("seq"), F.col("t").cast("double").alias("t"), F.col("answer").cast("boolean").alias("answer"))
+    return in_order(own, by, ["seq"], f"{by} string, seq long, asked boolean, allowed boolean", start)
 
 
 def coupled_budget(rows: DataFrame) -> DataFrame:
     """rows (seq, caller, win, key, tokens, token_limit) in order: a miss is computed if its caller may spend, and then serves
     every caller; a refused one is cached for nobody. outcome is hit, miss or refused. One fold over all rows."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def start():
         cached: set[str] = set()
         spent: dict[tuple, int] = {}
-        out = []
-        pdf = pdf.sort_values("seq")
-        for r in pdf.itertuples():
-            if r.key in cached:
-                out.append("hit")
-            elif r.token_limit <= 0 or spent.get((r.caller, r.win), 0) < r.token_limit:
-                spent[r.caller, r.win] = spent.get((r.caller, r.win), 0) + r.tokens
-                cached.add(r.key)
-                out.append("miss")
-            else:
-                out.append("refused")
-        return pd.DataFrame({"seq": pdf["seq"], "caller": pdf["caller"], "outcome": out})
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for r in pdf.itertuples():
+                if r.key in cached:
+                    out.append("hit")
+                elif r.token_limit <= 0 or spent.get((r.caller, r.win), 0) < r.token_limit:
+                    spent[r.caller, r.win] = spent.get((r.caller, r.win), 0) + r.tokens
+                    cached.add(r.key)
+                    out.append("miss")
+                else:
+                    out.append("refused")
+            return pd.DataFrame({"seq": pdf["seq"], "caller": pdf["caller"], "outcome": out})
+
+        return step
 
     own = rows.select(F.col("seq").cast("long").alias("seq"), "caller", "win", "key", F.col("tokens").cast("long").alias("tokens"), F.col("token_limit").cast("long").alias("token_limit"))
-    return own.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "seq long, caller string, outcome string")
+    return in_order(own.withColumn("_all", F.lit(0)), "_all", ["seq"], "seq long, caller string, outcome string", start)
 
 
 FLUSH_BUCKET = 4096  # positions whose flushes are looked up together

@@ -498,8 +498,8 @@ def result_dedup_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- chunking -----------------------------------------------------------------------------------------------
 
-_EDITED = f"""SELECT doc_id, before, CASE WHEN doc_id % 20 = 0 THEN left(before, at) || '{tables.SENTENCE}' || substring(before, at + 1) ELSE before END AS after
-FROM (SELECT *, length(before) // 3 + greatest(strpos(substring(before, length(before) // 3 + 1), chr(10) || chr(10)) - 1, 0) AS at FROM (SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS before FROM documents))"""
+_EDITED = f"""SELECT doc_id, before, CASE WHEN doc_id % 20 = 0 THEN left(before, place) || '{tables.SENTENCE}' || substring(before, place + 1) ELSE before END AS after
+FROM (SELECT *, length(before) // 3 + greatest(strpos(substring(before, length(before) // 3 + 1), chr(10) || chr(10)) - 1, 0) AS place FROM (SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS before FROM documents))"""
 
 
 def _sql_fixed(id_: str, c: str, table: str) -> str:
@@ -509,7 +509,7 @@ def _sql_fixed(id_: str, c: str, table: str) -> str:
 
 @query(f"SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(size AS INTEGER) AS size, hash FROM ({_sql_fixed('doc_id', 'text', 'documents')})")
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.table(spark, sf_dir, "documents")
+    docs = tables.spread(tables.table(spark, sf_dir, "documents"))
     return chunking.exploded(docs, chunking.fixed_chunks(F.col("text")), "doc_id").select("doc_id", "ordinal", "size", "hash")
 
 
@@ -523,20 +523,20 @@ def fixed_chunk_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.table(spark, sf_dir, "documents")
+    docs = tables.spread(tables.table(spark, sf_dir, "documents"))
     return chunking.exploded(docs, chunking.content_chunks(F.col("text")), "doc_id").select("doc_id", "ordinal", "offset", "size", "hash")
 
 
 @query()
 def cdc_chunk_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.edited_documents(spark, sf_dir)
-    before, after = (chunking.exploded(docs, chunking.content_chunks(F.col(c)), "doc_id").drop("data") for c in ("before", "after"))
-    return chunking.difference(before, after, ["doc_id"])
+    docs = tables.edited_documents(spark, sf_dir).withColumns({"b": chunking.content_chunks(F.col("before")), "a": chunking.content_chunks(F.when(F.col("after") != F.col("before"), F.col("after")))})
+    docs = docs.withColumn("a", F.when(F.col("after") != F.col("before"), F.col("a")).otherwise(F.col("b")))  # the same text has the same chunks
+    return chunking.difference_of(docs.select("doc_id", F.col("b").alias("before"), F.col("a").alias("after")), "doc_id")
 
 
 @query()
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.table(spark, sf_dir, "documents")
+    docs = tables.spread(tables.table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.posexplode(chunking.packed_paragraphs("text")).alias("ordinal", "chunk"))
 
 

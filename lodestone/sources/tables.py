@@ -23,7 +23,7 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(F.col("doc_id").alias("seq"), F.concat(F.lit("embed-"), "lang").alias("model"), "text", "lang")
 
 
@@ -52,7 +52,7 @@ def request_log(spark: SparkSession, sf_dir: str, most: int | None = None) -> Da
     """seq and value: documents as log lines in four envelopes by seq, and junk for every tenth. Whole texts, or their first
     `most` characters."""
     head = F.col("text") if most is None else F.substring("text", 1, most)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", head.alias("head"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", head.alias("head"))
     body = F.to_json(F.struct(F.concat(F.lit("embed-"), "lang").alias("model"), F.array("head", F.lit("same")).alias("input")))
     single = F.to_json(F.struct(F.concat(F.lit("embed-"), "lang").alias("model"), F.col("head").alias("input")))
     shapes = (
@@ -104,7 +104,7 @@ def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, before, after: a sentence is inserted into every twentieth document at the first blank line after a third of
     it, or there where it has none. Every fortieth has blank lines between its lines."""
     text = F.when(F.col("doc_id") % 40 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("before"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", text.alias("before"))
     third = F.floor(F.length("before") / 3).cast("int")
     rest = F.substring(F.col("before"), third + 1, F.length("before"))
     docs = docs.withColumn("at", third + F.greatest(F.instr(rest, "\n\n") - 1, F.lit(0)))
