@@ -6,6 +6,8 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,6 +122,21 @@ def maybe_broadcast(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if n_rows * row_bytes <= BROADCAST_BYTES else df
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> Iterator[None]:
+    """Jobs that run within hand texts to Python in batches of at most so many rows and bytes, so that neither a task nor its
+    worker holds more than a few of them at once."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {name: spark.conf.get(name, None) for name in own}
+    try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def give_back_memory() -> None:
     """Returns what a worker process has freed to the system; workers live on, and the next task may be another's."""
     pa.default_memory_pool().release_unused()

@@ -1,6 +1,7 @@
 """Token ids in flat binary files.
 
-Documents are range-partitioned and sorted by id; every partition writes three files to the shared folder:
+Documents are encoded where they are read, and their ids, not their texts, are dealt out by ranges of doc_id and sorted; every
+partition writes three files to the shared folder:
   part-NNNNN.bin  the ids of its documents one after another, little-endian unsigned integers, 16 bits wide where
                   the vocabulary and the end id allow it, else 32
   part-NNNNN.idx  n_docs + 1 little-endian unsigned 64-bit offsets into the .bin file, in ids
@@ -9,6 +10,10 @@ and manifest.json lists the partitions in order with their bases: the number of
 sums of the partitions' counts. A document's place in the whole corpus is its partition's base plus its offset.
 Readers map the files into memory.
 
+The ranges are cut from a sample of the documents' ids and sizes, so that partitions hold about PART_BYTES of text each, or
+less where that keeps all tasks busy. Rows that share an id are ordered and cut by a hash of their text and then by their place
+in the input, so an id of very many rows fills several partitions.
+
 Encoding a frequent word once for each worker is what keeps it within budget; a test holds the ids against the
 library's own for whole texts.
 
@@ -16,7 +21,7 @@ A task writes under a name of its own attempt and renames at the end, so a repea
 The driver handles one row per partition.
 
 Defined results: null and empty texts give the end id alone; a null doc_id comes first; repeated ids stand next to each
-other, by text; an empty table gives no files; other columns are ignored.
+other, by a hash of their texts; an empty table gives no files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import json
 import os
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +41,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import give_back_memory, shared_dir
+from lodestone.llm.common import give_back_memory, numbered, shared_dir, small_batches
+from lodestone.sources.tables import spread
 
 NULL_ID = np.iinfo(np.int64).min
 END_ID = 1
 CHUNK_BYTES = 2 << 20  # of text that is encoded at once
-KEEP_WORDS = 200_000  # words that a worker remembers
+KEEP_WORDS = 300_000  # words that a worker remembers
+PART_BYTES = 32 << 20  # of text whose ids one partition holds
+SAMPLED = 100  # rows for each partition from which the ranges are cut
+MOST_SAMPLED = 1_000_000
 
+ENCODED = "doc_id long, digest long, file long, at long, part int, n int, ids binary"
 PARTS = "part int, name string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -60,10 +71,18 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.nd
     """The slices of flat numbered at, one after another, and the positions at which they begin and the last one ends."""
     each = lengths[at]
     upto = np.cumsum(each)
-    index = np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts[at] - (upto - each), each)
+    total = int(upto[-1]) if len(upto) else 0
+    small = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    index = np.repeat((starts[at] - (upto - each)).astype(small), each)
+    index += np.arange(total, dtype=small)
     return flat[index], np.concatenate([[0], upto])
 
 
+def _texts(words: pa.Array) -> list[str]:
+    """Words without white space as Python strings, by one split."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py().split("\n") if len(words) else []
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct piece of plain text once.
 
@@ -77,9 +96,15 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._read()
+        give_back_memory()
+
+    def _read(self) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
         spec = json.loads(self.tokenizer.to_str())
         kinds = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
@@ -99,28 +124,30 @@ class Encoder:
         if not pieces:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         text = " ".join(pieces).encode().decode("latin-1").replace(" ", "\n").translate(self.shown | {10: 32})
-        ids = np.array(self.merges.encode(text, add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         upto = np.flatnonzero(self.ends[ids]) + 1
         if len(upto) != len(pieces):
             raise ValueError("the vocabulary does not mark the ends of words")
         return ids, np.diff(upto, prepend=0)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, words: pa.Array) -> list[str]:
         """Appends the ids of new words to the table: one word is one piece if it is all letters, else cut by the pattern."""
-        words = pa.array(new, pa.string())
-        cut = pc.if_else(pc.utf8_is_alpha(words), words, "").to_pylist()
-        mixed = [k for k, w in enumerate(cut) if not w]
-        for k, w in zip(mixed, pc.replace_substring_regex(words.take(pa.array(mixed, pa.int64())), f"({self.PIECES})", r"\1 ").to_pylist(), strict=True):
-            cut[k] = w
-        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pa.array(cut, pa.string())))
+        alike = pc.utf8_is_alpha(words)
+        words = pa.concat_arrays([words.filter(alike), words.filter(pc.invert(alike))])
+        whole = pc.sum(alike).as_py() or 0
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.replace_substring_regex(words.slice(whole), f"({self.PIECES})", r"\1 ")))
         column = pc.list_flatten(lists).dictionary_encode()
-        ids, lengths = self._merge(column.dictionary.to_pylist())
-        flat, ends = _gather(ids, np.cumsum(lengths) - lengths, lengths, column.indices.to_numpy(zero_copy_only=False))
-        n = np.diff(ends[np.cumsum(_lengths(lists))], prepend=0)
+        own = _texts(words.slice(0, whole))
+        ids, lengths = self._merge(own + _texts(column.dictionary))
+        at = np.concatenate([np.arange(whole), whole + column.indices.to_numpy(zero_copy_only=False)])
+        flat, ends = _gather(ids, np.cumsum(lengths) - lengths, lengths, at)
+        n = np.diff(ends[np.cumsum(np.concatenate([np.ones(whole, np.int64), _lengths(lists)]))], prepend=0)
+        new = _texts(words)
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
         self.lengths = np.concatenate([self.lengths, n])
         self.flat = np.concatenate([self.flat, flat])
+        return new
 
     def _forget(self, new: list[str], words: int, ids: int) -> None:
         for w in new:
@@ -130,11 +157,14 @@ class Encoder:
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.utf8_lower(texts)))
         column = pc.list_flatten(lists).dictionary_encode()
-        words, size, ids = column.dictionary.to_pylist(), len(self.place), len(self.flat)
-        new = [w for w in words if w not in self.place]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        size, ids = len(self.place), len(self.flat)
+        words = _texts(column.dictionary)
+        place = self.place.get
+        at = np.fromiter((place(w, -1) for w in words), np.int64, len(words))
+        new = []
+        if (unknown := np.flatnonzero(at < 0)).size:
+            new = self._learn(column.dictionary.take(pa.array(unknown)))
+            at[unknown] = np.fromiter(map(self.place.__getitem__, map(words.__getitem__, unknown.tolist())), np.int64, len(unknown))
         flat, ends = _gather(self.flat, self.starts, self.lengths, at[column.indices.to_numpy(zero_copy_only=False)])
         if new and len(self.place) > KEEP_WORDS:
             self._forget(new, size, ids)
@@ -182,25 +212,81 @@ def _id_type(tokenizer) -> str:
     return "<u2" if max(tokenizer.get_vocab_size(), END_ID + 1) <= 1 << 16 else "<u4"
 
 
-def _writer(uri: str, vocabulary: str):
+# --- ranges -------------------------------------------------------------------------------------------------
+
+KEY = ("doc_id", "digest", "file", "at")  # tells rows apart and puts them in order; a null id counts as NULL_ID
+
+
+def _cuts(rows: DataFrame) -> list[tuple[int, int, int, int]]:
+    """Keys between which the partitions lie, the last of each partition but the last one's."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    parts = min(n, max(-(-size // PART_BYTES), min(tasks, -(-size // (1 << 20)))))
+    if parts < 2:
+        return []
+    every = max(1, n // min(SAMPLED * parts, MOST_SAMPLED))
+    sample = rows.where(F.pmod(F.xxhash64(*KEY), F.lit(every)) == 0).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), *KEY[1:], "size")
+    found = sorted(tuple(r) for r in sample.collect())
+    upto = np.cumsum([1 + r[-1] for r in found])
+    places = np.searchsorted(upto, upto[-1] / parts * np.arange(1, parts)) if len(found) else []
+    return sorted({found[k][:-1] for k in places})
+
+
+def _part_of(cuts: list[tuple[int, int, int, int]]):
+    """The partition of each of a batch's keys: how many cuts come before it."""
+    firsts = np.array([c[0] for c in cuts], np.int64)
+
+    def part(ids: np.ndarray, rest: list[pa.Array]) -> np.ndarray:
+        low, high = np.searchsorted(firsts, ids), np.searchsorted(firsts, ids, side="right")
+        for k in np.flatnonzero(low < high):  # the id itself is cut
+            key = (int(ids[k]), *(c[k].as_py() for c in rest))
+            low[k] = bisect_left(cuts, key, low[k], high[k])
+        return low
+
+    return part
+
+
+# --- files --------------------------------------------------------------------------------------------------
+
+
+def _encoder(vocabulary: str, cuts: list[tuple[int, int, int, int]]):
+    part_of = _part_of(cuts)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(batches):
+            for chunk in _chunks(batch):
+                encoder = encoder_for(vocabulary)
+                kind = _id_type(encoder.tokenizer)
+                flat, n = encoder(chunk.column(1))
+                ends = np.concatenate([[0], np.cumsum(n)]) * np.dtype(kind).itemsize
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat.astype(kind))])
+                doc_ids = pc.fill_null(chunk.column(0), NULL_ID)
+                rest = chunk.columns[2:5]
+                part = part_of(doc_ids.to_numpy(zero_copy_only=False), rest)
+                yield pa.RecordBatch.from_arrays([doc_ids, *rest, pa.array(part, pa.int32()), pa.array(n, pa.int32()), ids.cast(pa.binary())], names=["doc_id", "digest", "file", "at", "part", "n", "ids"])
+            if k % 8 == 7:
+                give_back_memory()
+        give_back_memory()
+
+    return encode
+
+
+def _writer(uri: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(uri)
         part = TaskContext.get().partitionId()
         name, attempt = f"part-{part:05d}", uuid.uuid4().hex
-        encoder, out, lengths, doc_ids, total = None, None, [], [], 0
+        out, lengths, doc_ids, total = None, [], [], 0
         for batch in batches:
-            for chunk in _chunks(batch):
-                if encoder is None:
-                    encoder = encoder_for(vocabulary)
-                    kind = _id_type(encoder.tokenizer)
-                    out = store.open_output_stream(f"{root}/{name}.bin.{attempt}")
-                flat, n = encoder(chunk.column(1))
-                out.write(flat.astype(kind).tobytes())
-                lengths.append(n)
-                doc_ids.append(pc.fill_null(chunk.column(0), NULL_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-                total += int(n.sum())
-            give_back_memory()
-        if encoder is None:
+            if out is None:
+                out = store.open_output_stream(f"{root}/{name}.bin.{attempt}")
+            ids, n = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            out.write(memoryview(ids.buffers()[2])[starts[0] : starts[-1]] if len(ids) else b"")
+            lengths.append(n)
+            doc_ids.append(batch.column(0).to_numpy(zero_copy_only=False).astype("<i8"))
+            total += int(n.sum())
+        if out is None:
             return
         out.close()
         offsets = np.concatenate([np.zeros(1, "<u8"), np.cumsum(np.concatenate(lengths)).astype("<u8")])
@@ -218,9 +304,15 @@ def write_tokens(docs: DataFrame, uri: str, vocabulary: str) -> list[dict]:
     """Writes the files of docs (doc_id, text) under uri; returns the manifest's partitions, in order, with their bases."""
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows, (file, at) = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.col(file).alias("file"), F.col(at).alias("at"))
+    cuts = _cuts(rows.select(*KEY, F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")))
+    encoded = spread(rows).mapInArrow(_encoder(vocabulary, cuts), ENCODED)
+    ordered = encoded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(*KEY).select("doc_id", "n", "ids")
     parts, base = [], 0
-    for r in sorted(ordered.mapInArrow(_writer(uri, vocabulary), PARTS).collect()):
+    with small_batches(docs.sparkSession):
+        found = sorted(ordered.mapInArrow(_writer(uri), PARTS).collect())
+    for r in found:
         parts.append(r.asDict() | {"base": base})
         base += r.n_tokens
     with store.open_output_stream(f"{root}/manifest.json") as f:
