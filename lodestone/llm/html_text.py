@@ -5,12 +5,13 @@ A page is cut into leaf blocks: runs of text that no block-level tag interrupts.
 with the labels main text and other, trained on labelled pages (labelled_pages) by gradient ascent on the conditional
 likelihood, labels the blocks of a page together by Viterbi decoding. What is main text is written in page order.
 
-The pages are read once and never shuffled; the model is trained on the driver from a fixed set of pages and has
+A page is scanned once from start to end, in time linear in its length. The pages are read once and never shuffled; the model is trained on the driver from a fixed set of pages and has
 fewer than a hundred weights.
 
 Defined results: null or empty html, and html without main text, gives the empty string; unclosed and misnested tags
-are closed where the next block needs it; scripts, styles, templates, titles and comments are never text; line breaks
-inside a block count as white space; repeated rows and null ids give a row each; other columns are ignored.
+are closed where the next block needs it; scripts, styles, templates, titles and comments are never text and do not part
+a block; what follows a tag, comment or script that is never closed is none of the page; line breaks
+inside a block count as white space; elements nested more than DEPTH deep count as parts of the one that holds them; repeated rows and null ids give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.labelled_pages import labelled_pages
+from lodestone.sources.tables import spread
 
 # --- blocks -------------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|template|title|textarea|noscript|svg|iframe|object|select)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: Elements whose content is no text of the page. The first kind takes all that follows if it is never closed.
+_RAW = frozenset("script style textarea title iframe".split())
+_HIDDEN = frozenset("template noscript svg object select".split())
+DEPTH = 256  # open elements beyond this are not told from their ancestors, as in browsers
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW | _HIDDEN}
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -55,12 +59,15 @@ def leaf_blocks(html: str) -> list[Block]:
     stack: list[tuple[str, str]] = []  # open block-level tags and their class, id and role
     parts: list[str] = []
     state = {"link": 0, "linked": 0}
+    within: list[tuple[tuple[str, ...], tuple[str, ...]]] = []  # tags and names of the stack, while it stays as it is
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, state["linked"], tuple(t for t, _ in stack), tuple(n for _, n in stack if n)))
+                if not within:
+                    within.append((tuple(t for t, _ in stack), tuple(n for _, n in stack if n)))
+                found.append(Block(text, state["linked"], *within[0]))
             parts.clear()
         state["linked"] = 0
 
@@ -68,42 +75,72 @@ def leaf_blocks(html: str) -> list[Block]:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
                 del stack[k:]
+                within.clear()
                 return
             if stack[k][0] in fences:
                 return
 
-    for m in _TOKEN.finditer(html):
-        text = m.group(5)
-        if text is not None:
-            text = entities.unescape(text)
-            parts.append(text)
-            if state["link"]:
-                state["linked"] += len(text)
-            continue
-        tag = (m.group(3) or "").lower()
-        if not tag:
-            if m.group(1):
-                flush()
-            continue
-        ends = bool(m.group(2))
+    def text(piece: str) -> None:
+        piece = entities.unescape(piece)
+        parts.append(piece)
+        if state["link"]:
+            state["linked"] += len(piece)
+
+    def element(ends: bool, tag: str, attributes: str) -> None:
         if tag == "a":
             state["link"] = max(0, state["link"] + (-1 if ends else 1))
         if tag in _INLINE:
             if tag == "br":
                 parts.append(" ")
-            continue
+            return
         flush()
         if ends:
             close({tag}, () if tag in _FENCES else _FENCES)
             state["link"] = 0 if tag in _FENCES else state["link"]
-            continue
+            return
         if tag in _CLOSES_P:
             close({"p"}, _FENCES)
         if tag in _SIBLINGS and tag != "p":
             close(_SIBLINGS[tag], {"ul", "ol", "dl", "table", "menu", "nav"})
-        if tag not in _VOID and not m.group(4).endswith("/"):
-            names = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(m.group(4))).lower()
-            stack.append((tag, names))
+        if tag not in _VOID and not attributes.endswith("/") and len(stack) < DEPTH:
+            stack.append((tag, " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes)).lower()))
+            within.clear()
+
+    # Each part of the page is looked at once: what is searched for in vain to the end is not searched for again.
+    at, unclosed = 0, set()
+    while at < len(html):
+        mark = html.find("<", at)
+        if mark < 0:
+            text(html[at:])
+            break
+        if mark > at:
+            text(html[at:mark])
+        if html.startswith("<!--", mark):
+            end = html.find("-->", mark + 4)
+            at = end + 3 if end >= 0 else len(html)
+            continue
+        m = _TAG.match(html, mark)
+        if m is None:
+            name = html[mark + 1 : mark + 3].lstrip("/")[:1]
+            if html[mark + 1 : mark + 2] in ("!", "?", "/") or name.isascii() and name.isalpha():
+                end = html.find(">", mark)  # a declaration, or a tag whose quotes do not match
+                at = end + 1 if end >= 0 else len(html)
+            else:
+                text("<")
+                at = mark + 1
+            continue
+        at, tag = m.end(), m.group(2).lower()
+        if tag in _CLOSE:
+            if not m.group(1) and tag not in unclosed and not (tag in _HIDDEN and m.group(3).endswith("/")):
+                end = _CLOSE[tag].search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in _RAW:
+                    at = len(html)
+                else:
+                    unclosed.add(tag)
+            continue
+        element(bool(m.group(1)), tag, m.group(3))
     flush()
     return found
 
@@ -266,7 +303,7 @@ def _extractor(chain: Chain):
 def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
     chain = chain or train(labelled_pages())
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_extractor(chain), "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).transform(spread).mapInArrow(_extractor(chain), "page_id long, url string, text string, n_chars long")
 
 
 def op9_html(pages: DataFrame) -> DataFrame:
