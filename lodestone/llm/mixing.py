@@ -6,12 +6,14 @@ repetition level, and a level's cost grows convexly with the repetition, so a se
 where first copies cannot fill the quotas. Each pattern's flow is then turned into documents in seeded order.
 
 Scale: the driver sees one row per pattern (at most ``max_patterns``, else ValueError), never documents. The
-order inside a pattern is a hash order cut by a histogram of 4096 hash prefixes, so only the documents of the
-one prefix in which the cut falls are ever ordered within a task.
+order inside a pattern is that of a path: a hash of the document's id, then its size, then its place in the input. A cut
+is found by a histogram of 4096 path prefixes, and the prefix in which it falls is refined by a histogram of its own until
+it holds at most CUT_ROWS documents of a pattern; only those are ever ordered within a task, also where one id is that of
+very many rows.
 
 Defined results: null text or size counts as 0 words; a null source is a source of its own, ordered last;
-documents in no source take nothing; rows with equal ids are ordered by size; an empty table gives no rows;
-other columns pass through untouched.
+documents in no source take nothing; rows with equal ids are ordered by size, equal ones by place; an empty table gives no
+rows; other columns pass through untouched, also those named like the operator's own.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from lodestone.llm.common import count_words, maybe_broadcast, stored
+from lodestone.llm.common import count_words, maybe_broadcast, numbered, release, stored
 
 MAX_PATTERNS = 100_000
-HASH_DIGITS = 3  # hexadecimal digits of the prefix histogram: 4096 bins for each pattern
+DIGITS = 3  # hexadecimal digits of a path that one histogram takes: 4096 bins for each pattern
+PATH = 32 + 16 + 32  # digits of a path: of the hashed id, the size and the place
+CUT_ROWS = 10_000
 
 
 # --- quotas -------------------------------------------------------------------------------------------------
@@ -131,50 +135,77 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = 2) ->
 
 
 def _plan_schema(members: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("_members", members), T.StructField("_all", T.LongType()), T.StructField("_whole", T.LongType()), T.StructField("_rest", T.LongType())])
+    return T.StructType([T.StructField("members", members), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
+
+
+def _meet(rows: DataFrame, few: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table of a row for each pattern (members, ...)."""
+    few = few.withColumnRenamed("members", "_of")
+    return rows.join(maybe_broadcast(few, n, 256), F.col("members").eqNullSafe(F.col("_of")), how).drop("_of")
+
+
+def _cut_bins(rows: DataFrame, wanted: DataFrame, n: int, digits: int) -> DataFrame:
+    """(members, cut, rest, n_cut): the bin of path prefixes in which each pattern's rest ends, what of the rest is left in
+    it, and its number of documents; `wanted`: (members, rest)."""
+    bins = rows.groupBy("members", F.substring("path", 1, digits).alias("cut")).agg(F.sum("size").alias("words"), F.count("*").alias("n_cut"))
+    running = W.Window.partitionBy("members").orderBy("cut").rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = bins.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
+    met = _meet(sums, wanted, n).where("before <= rest AND rest < before + words")
+    return stored(met.select("members", "cut", (F.col("rest") - F.col("before")).alias("rest"), "n_cut"), "mix-cut")
+
+
+def _inside(rows: DataFrame, cut: DataFrame, n: int, digits: int) -> DataFrame:
+    return _meet(rows, cut, n).where(F.substring("path", 1, digits) == F.col("cut"))
 
 
 def mix(docs: DataFrame, members: Column, size: Column, order: Column, targets=source_targets, repeats: int = 2, seed: int = 7, max_patterns: int = MAX_PATTERNS) -> DataFrame:
-    """docs with `_members`, `_size`, `_copies` (0 to repeats).
+    """row (docs' columns as a struct), members, size, copies (0 to repeats).
 
     members: array of the sources of a document, sorted; size: its words; order: a column that tells rows apart (ties
-    by size). targets: from [(source, size)] to {source: words}; a document's size counts towards each of its sources."""
+    by size, then place). targets: from [(source, size)] to {source: words}; a document's size counts towards each of its
+    sources."""
     spark = docs.sparkSession
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(order.cast("string"), F.lit(""))))
-    rows = docs.withColumns({"_members": members, "_size": F.coalesce(size, F.lit(0)).cast("long"), "_digest": digest})
-    rows = rows.withColumn("_bin", F.substring("_digest", 1, HASH_DIGITS))
-    bins = stored(rows.groupBy("_members", "_bin").agg(F.sum("_size").alias("_words")), "mix-bins")
-    by_pattern = bins.groupBy("_members").agg(F.sum("_words").alias("_words")).limit(max_patterns + 1).collect()
+    rows, (file, at) = numbered(docs)
+    size = F.coalesce(size, F.lit(0)).cast("long")
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
+    digest = F.lower(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(order.cast("string"), F.lit("")))))
+    path = F.concat(digest, F.lower(F.concat(digits(size), digits(F.col(file)), digits(F.col(at)))))
+    rows = rows.select(F.struct(*docs.columns).alias("row"), members.alias("members"), size.alias("size"), path.alias("path"))
+    slim = stored(rows.select("members", "path", "size"), "mix-sizes")
+
+    by_pattern = slim.groupBy("members").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(by_pattern) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    by_pattern.sort(key=lambda r: [(m is None, m or "") for m in r._members])
+    by_pattern.sort(key=lambda r: [(m is None, m or "") for m in r.members])
     by_source: dict = {}
     for r in by_pattern:
-        for m in r._members:
-            by_source[m] = by_source.get(m, 0) + r._words
+        for m in r.members:
+            by_source[m] = by_source.get(m, 0) + r.words
     quotas = targets(list(by_source.items()))
-    flows = route([(tuple(r._members), r._words) for r in by_pattern], quotas, repeats)
-    plan_rows = [(list(r._members), r._words, f // r._words if r._words else 0, f % r._words if r._words else 0) for r, f in zip(by_pattern, flows, strict=True)]
-    plan = spark.createDataFrame(plan_rows, _plan_schema(rows.schema["_members"].dataType))
-    plan = maybe_broadcast(plan, len(plan_rows), 256)
-
-    same = lambda a, b: a["_members"].eqNullSafe(b["_members"])
-    running = W.Window.partitionBy("_members").orderBy("_bin").rowsBetween(W.Window.unboundedPreceding, -1)
-    sums = bins.withColumn("_before", F.coalesce(F.sum("_words").over(running), F.lit(0)))
-    cut = sums.join(plan.alias("p"), F.col("p._members").eqNullSafe(sums["_members"])).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_words")))
-    cut = cut.select(F.col("p._members").alias("_members"), "_all", "_whole", "_rest", F.col("_bin").alias("_cut"), "_before")
-    cut = stored(cut, "mix-cut")
-    marked = rows.join(maybe_broadcast(cut, len(plan_rows), 256).alias("c"), F.col("c._members").eqNullSafe(rows["_members"]), "left").select(rows["*"], *[F.col(f"c.{c}") for c in ("_whole", "_rest", "_cut", "_before")])
-
-    # Only the documents of the bin in which the cut falls are put in order, to find how many of them are taken.
-    inside = F.coalesce(F.col("_bin") == F.col("_cut"), F.lit(False))
-    along = W.Window.partitionBy("_members").orderBy("_digest", order, "_size").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    split = marked.where(inside).withColumn("_upto", F.col("_before") + F.sum("_size").over(along))
-    over, under = F.col("_upto") - F.col("_rest"), F.col("_rest") - (F.col("_upto") - F.col("_size"))
-    split = split.withColumn("_extra", F.when((over <= 0) | ((under > 0) & (over < under)), 1).otherwise(0)).drop("_upto")
-    others = marked.where(~inside).withColumn("_extra", F.when(F.col("_bin") < F.col("_cut"), 1).otherwise(0))
-    taken = others.unionByName(split).withColumn("_copies", F.coalesce(F.col("_whole") + F.col("_extra"), F.lit(0)))
-    return taken.drop("_digest", "_bin", "_whole", "_rest", "_cut", "_before", "_extra")
+    flows = route([(tuple(r.members), r.words) for r in by_pattern], quotas, repeats)
+    plan_rows = [(list(r.members), f // r.words if r.words else 0, f % r.words if r.words else 0) for r, f in zip(by_pattern, flows, strict=True)]
+    plan = spark.createDataFrame(plan_rows, _plan_schema(rows.schema["members"].dataType))
+
+    n, width, part = len(plan_rows), DIGITS, slim
+    cut = _cut_bins(part, plan.select("members", "rest"), n, width)
+    while width < PATH and (cut.agg(F.max("n_cut")).first()[0] or 0) > CUT_ROWS:
+        old = part
+        part = stored(_inside(part, cut, n, width).select("members", "path", "size"), "mix-part")
+        width += DIGITS
+        finer = _cut_bins(part, cut.select("members", "rest"), n, width)
+        release(old, cut)
+        cut = finer
+
+    # Only the documents of the bin in which the cut falls are put in order, to find which of them are taken once more.
+    along = W.Window.partitionBy("members").orderBy("path").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+    split = _inside(part, cut, n, width).withColumn("upto", F.sum("size").over(along))
+    over, under = F.col("upto") - F.col("rest"), F.col("rest") - (F.col("upto") - F.col("size"))
+    more = stored(split.where((over <= 0) | ((under > 0) & (over < under))).select(F.col("path").alias("more")), "mix-more")
+    release(part)
+    ends = plan.drop("rest").join(cut.select(F.col("members").alias("_m"), "cut"), F.col("members").eqNullSafe(F.col("_m")), "left").drop("_m")
+    marked = _meet(rows, ends, n).join(maybe_broadcast(more, more.count(), 160), F.col("path") == F.col("more"), "left")
+    extra = F.when((F.substring("path", 1, width) < F.col("cut")) | F.col("more").isNotNull(), 1).otherwise(0)
+    return marked.select("row", "members", "size", (F.col("whole") + extra).alias("copies"))
 
 
 # --- query --------------------------------------------------------------------------------------------------
@@ -189,14 +220,14 @@ def op10_mixing(docs: DataFrame, repeats: int = 2) -> DataFrame:
     targets = source_targets(sizes)
     mixed = mix(slim, F.array("source"), F.col("size"), F.col("doc_id"), lambda _: targets, repeats)
     per_source = docs.sparkSession.createDataFrame([(s, n, round(float(targets[s]), 6)) for s, n in sizes], "s string, source_size long, target double")
-    joined = mixed.join(maybe_broadcast(per_source, len(sizes), 128), mixed["source"].eqNullSafe(per_source["s"]))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("_copies") * F.col("size")).alias("taken"))
+    joined = mixed.join(maybe_broadcast(per_source, len(sizes), 128), F.col("row.source").eqNullSafe(F.col("s")))
+    return joined.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, repeats: int = 2) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with the columns of docs."""
     mixed = mix(docs, F.array("source"), count_words(F.col("text")), F.col("doc_id"), repeats=repeats)
-    return mixed.withColumn("_copy", F.explode(F.expr("sequence(1, greatest(_copies, 1))"))).where("_copies > 0").select(*docs.columns)
+    return mixed.where("copies > 0").select("row", F.explode(F.expr("sequence(1, cast(copies as int))")).alias("copy")).select("row.*")
 
 
 ORACLE_SQL = r"""
