@@ -5,12 +5,13 @@ over the byte limit is split, on the next bit, until each fits. A bucket of one
 than the limit is a shard of its own. Rows that no bit can tell apart (the same key many times) go on with the bits
 of a row number, as overflow pages do, so a key that holds a third of all rows is spread too.
 
-Scale: sizes are aggregated by hash prefix, STEP bits at a time, and only prefixes over the limit are looked at again;
-the driver holds the directory, whose leaves number about total bytes / limit, and never rows. Documents are read
-once for sizes and once for placement and are not shuffled.
+Scale: sizes are aggregated by hash prefix, as many bits at a time as the largest bucket needs, and only prefixes over the
+limit are looked at again. The directory is a table (a row for each prefix, a few for each limit's worth of bytes) that
+never reaches the driver; it is broadcast while it is measured to be small. Documents are read once for sizes and once for
+placement and are not shuffled while it is. The overflow of all keys is split together, in one directory for each key.
 
 Defined results: null text is 0 bytes; a null key hashes as the empty string; an empty table gives no shards; repeated
-rows are placed like any others; other columns pass through.
+rows are placed like any others; other columns pass through, also those named like the operator's own.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import maybe_broadcast, stored
+from lodestone.llm.common import maybe_broadcast, release, stored
 
-STEP = 12  # bits of the directory that one round of aggregation decides
+STEP = 20  # most bits of the directory that one round of aggregation decides
 BITS = 60  # bits of a key's hash: 15 hexadecimal digits
 SHARD_BYTES = 64 << 20
+QUERY_BYTES = 128 << 10  # limit of the registered query, at which the small test tables fill tens of shards, too
 
 
 def key_hash(key: Column) -> Column:
@@ -30,97 +32,64 @@ def key_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
 
 
-def _leaves(prefixes: dict[int, tuple[int, int]], bits: int, limit: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Leaves (depth, prefix) among the prefixes of one subtree, and the full-depth prefixes that need more bits.
-
-    prefixes: {bits-bit value: (bytes, rows)} of one bucket that has to be split."""
-    levels = {bits: prefixes}
-    for depth in range(bits - 1, 0, -1):
-        up: dict[int, tuple[int, int]] = {}
-        for p, (b, n) in levels[depth + 1].items():
-            old = up.get(p >> 1, (0, 0))
-            up[p >> 1] = (old[0] + b, old[1] + n)
-        levels[depth] = up
-    leaves, deeper = [], []
-    todo = [(1, 0), (1, 1)]
-    while todo:
-        depth, p = todo.pop()
-        b, n = levels[depth].get(p, (0, 0))
-        if b <= limit or n <= 1:
-            leaves.append((depth, p))
-        elif depth == bits:
-            deeper.append(p)
-        else:
-            todo += [(depth + 1, 2 * p), (depth + 1, 2 * p + 1)]
-    return leaves, deeper
-
-
-def directory(sized: DataFrame, limit: int, bits: int = BITS) -> tuple[list[tuple[int, int]], list[int]]:
-    """Leaves (depth, prefix) over `_hash` and `_bytes`, and the hashes of all bits that are still over the limit."""
-    total, rows = sized.agg(F.coalesce(F.sum("_bytes"), F.lit(0)), F.count("*")).first()
-    if total <= limit or rows <= 1:
-        return [(0, 0)], []
-    leaves: list[tuple[int, int]] = []
-    pending, base = [0], 0  # prefixes of base bits that have to be split
-    while pending and base < bits:
-        upto = min(base + STEP, bits)
-        wide = F.shiftright("_hash", bits - upto)
-        part = sized.withColumn("_wide", wide)
-        if base:
-            over = sized.sparkSession.createDataFrame([(p,) for p in pending], "_parent long")
-            part = part.join(maybe_broadcast(over, len(pending), 16), F.shiftright("_hash", bits - base) == F.col("_parent"), "left_semi")
-        found: dict[int, dict[int, tuple[int, int]]] = {p: {} for p in pending}
-        mask = (1 << (upto - base)) - 1
-        for w, b, n in part.groupBy("_wide").agg(F.sum("_bytes"), F.count("*")).collect():
-            found[w >> (upto - base)][w & mask] = (b, n)
-        pending = []
-        for parent, prefixes in found.items():
-            own, deeper = _leaves(prefixes, upto - base, limit)
-            leaves += [(base + depth, (parent << depth) | p) for depth, p in own]
-            pending += [(parent << (upto - base)) | p for p in deeper]
+def _step(largest: int, limit: int, left: int) -> int:
+    """Bits that part a bucket of this size into fitting ones, if its keys are even, and two more."""
+    return min(left, STEP, (largest // max(limit, 1)).bit_length() + 2)
+
+
+def directory(sized: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame, int]], DataFrame]:
+    """The directories of all groups `own` over `hash` and `bytes`, as tables (own, entry, depth) with the bits of their entries
+    and their numbers of rows, and the (own, entry) of all bits that are still over the limit."""
+    part, base, tables = sized, 0, []
+    totals = sized.groupBy("own").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    largest = totals.where((F.col("bytes") > limit) & (F.col("n") > 1)).agg(F.coalesce(F.max("bytes"), F.lit(0))).first()[0]
+    while True:
+        upto = base + _step(largest, limit, BITS - base)
+        entries = part.groupBy("own", F.shiftright("hash", BITS - upto).alias("entry")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+        entries = stored(entries, "shard-entries")
+        above = F.expr(f"transform(sequence({base if not base else base + 1}, {upto}), d -> struct(d AS depth, shiftright(entry, {upto} - d) AS prefix))")
+        up = entries.select("*", F.explode(above).alias("a")).select("own", "entry", "bytes", "n", "a.*")
+        fit = up.groupBy("own", "depth", "prefix").agg(F.sum("bytes").alias("b"), F.sum("n").alias("m")).where(f"b <= {limit} OR m <= 1").select("own", "depth", "prefix")
+        placed = stored(up.join(fit, ["own", "depth", "prefix"]).groupBy("own", "entry").agg(F.min("depth").alias("depth")), "shard-directory")
+        tables.append((upto, placed, placed.count()))
+        over = stored(entries.join(placed, ["own", "entry"], "left_anti"), "shard-over")
+        n, largest = over.agg(F.count("*"), F.coalesce(F.max("bytes"), F.lit(0))).first()
+        release(entries)
+        if not n or upto == BITS:
+            return tables, over.select("own", "entry")
+        part = part.withColumn("entry", F.shiftright("hash", BITS - upto)).join(maybe_broadcast(over.select("own", "entry"), n, 32), ["own", "entry"], "left_semi").drop("entry")
         base = upto
-    return leaves, pending
-
-
-def _bit_string(depth: Column, prefix: Column) -> Column:
-    return F.when(depth == 0, "").otherwise(F.expr("lpad(bin(_prefix), _depth, '0')"))
-
-
-def _place(rows: DataFrame, leaves: list[tuple[int, int]], bits: int = BITS) -> DataFrame:
-    """rows with the `_depth` and `_prefix` of their leaf, null where no leaf holds them. The directory is looked up level
-    by level, STEP bits at a time: a leaf of depth d in (base, base + STEP] fills every entry of base + STEP bits below it."""
-    spark = rows.sparkSession
-    if leaves == [(0, 0)]:
-        return rows.withColumns({"_depth": F.lit(0), "_prefix": F.lit(0).cast("long")})
-    rows = rows.withColumns({"_depth": F.lit(None).cast("int"), "_prefix": F.lit(None).cast("long")})
-    for base in range(0, max(d for d, _ in leaves), STEP):
-        upto = min(base + STEP, bits)
-        own = [(d, p) for d, p in leaves if base < d <= upto]
-        if not own:
-            continue
-        entries = spark.createDataFrame(own, "_d int, _p long")
-        n = sum(1 << (upto - d) for d, _ in own)
-        entries = entries.withColumn("_entry", F.explode(F.expr(f"sequence(shiftleft(_p, {upto} - _d), shiftleft(_p + 1, {upto} - _d) - 1)")))
-        rows = rows.withColumn("_at", F.shiftright("_hash", bits - upto)).join(maybe_broadcast(entries, n, 32), F.col("_at") == F.col("_entry"), "left")
-        rows = rows.withColumns({"_depth": F.coalesce("_depth", "_d"), "_prefix": F.coalesce("_prefix", "_p")}).drop("_at", "_d", "_p", "_entry")
+
+
+def _place(rows: DataFrame, tables: list[tuple[int, DataFrame, int]]) -> DataFrame:
+    """rows (own, hash) with the depth of their leaf, null where no directory holds them."""
+    rows = rows.withColumn("depth", F.lit(None).cast("int"))
+    for bits, placed, n in tables:
+        one = placed.select("own", "entry", F.col("depth").alias("found"))
+        rows = rows.withColumn("entry", F.shiftright("hash", BITS - bits)).join(maybe_broadcast(one, n, 48), ["own", "entry"], "left")
+        rows = rows.withColumn("depth", F.coalesce("depth", "found")).drop("entry", "found")
     return rows
 
 
+def _bits(value: str, depth: str) -> Column:
+    return F.expr(f"left(lpad(bin({value}), {BITS}, '0'), {depth})")
+
+
 def assign(rows: DataFrame, key: Column, size: Column, limit: int = SHARD_BYTES) -> DataFrame:
-    """rows with shard (the leaf's bits, then -overflow bits if there are any), depth and row_bytes."""
-    sized = rows.withColumns({"_hash": key_hash(key), "_bytes": F.coalesce(size, F.lit(0)).cast("long")})
-    leaves, full = directory(sized.select("_hash", "_bytes"), limit)
-    placed = _place(sized, leaves)
-    named = placed.where(F.col("_depth").isNotNull()).withColumns({"shard": _bit_string(F.col("_depth"), F.col("_prefix")), "depth": F.col("_depth")})
-    if full:
-        over = stored(placed.where(F.col("_depth").isNull()).withColumn("_row", F.monotonically_increasing_id()), "shard-overflow")
-        for h in sorted(full):
-            own = over.where(F.col("_hash") == h).withColumns({"_key": F.col("_hash"), "_hash": key_hash(F.col("_row"))}).drop("_depth", "_prefix")
-            more, _ = directory(own.select("_hash", "_bytes"), limit)
-            own = _place(own, more)
-            name = F.concat(F.lpad(F.expr("bin(_key)"), BITS, "0"), F.lit("-"), _bit_string(F.col("_depth"), F.col("_prefix")))
-            named = named.unionByName(own.withColumns({"shard": name, "depth": F.col("_depth") + BITS}).drop("_key", "_row"))
-    return named.withColumn("row_bytes", F.col("_bytes")).drop("_hash", "_bytes", "_depth", "_prefix")
+    """rows with shard (the leaf's bits, then -overflow bits if there are any), depth and row_bytes. Columns of those names
+    give way to them."""
+    keep = [c for c in rows.columns if c.lower() not in ("shard", "depth", "row_bytes")]
+    sized = rows.select(F.lit(0).cast("long").alias("own"), key_hash(key).alias("hash"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes"), F.struct(*keep).alias("row"))
+    tables, full = directory(sized.select("own", "hash", "bytes"), limit)
+    placed = _place(sized, tables)
+    named = placed.where("depth IS NOT NULL").withColumn("shard", _bits("hash", "depth"))
+    if not full.isEmpty():
+        over = stored(placed.where("depth IS NULL").select("hash", "bytes", "row", F.monotonically_increasing_id().alias("number")), "shard-overflow")
+        over = over.select(F.col("hash").alias("own"), key_hash(F.col("number")).alias("hash"), "bytes", "row")
+        more, _ = directory(over.select("own", "hash", "bytes"), limit)
+        over = _place(over, more).withColumn("shard", F.concat(F.lpad(F.bin("own"), BITS, "0"), F.lit("-"), _bits("hash", "depth")))
+        named = named.unionByName(over.withColumn("depth", F.col("depth") + BITS))
+    return named.select("row.*", "shard", "depth", F.col("bytes").alias("row_bytes"))
 
 
 def write_shards(rows: DataFrame, path: str, key: Column, size: Column, limit: int = SHARD_BYTES) -> None:
@@ -129,21 +98,16 @@ def write_shards(rows: DataFrame, path: str, key: Column, size: Column, limit: i
     rows.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
-def op1_sharding(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+def op1_sharding(docs: DataFrame, limit: int = QUERY_BYTES) -> DataFrame:
     """doc_id, n_bytes, shard, depth, shard_bytes, shard_docs for every document; the key is doc_id."""
     slim = stored(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "shard-sizes")
-    placed = assign(slim, F.col("doc_id"), F.col("n_bytes"), limit)
-    shards = placed.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
-    return placed.join(F.broadcast(shards) if _few(slim, limit) else shards, "shard").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
-
-
-def _few(slim: DataFrame, limit: int) -> bool:
-    """Whether the shard table is small: at most four leaves for each limit-sized part, or its rows, whichever is less."""
-    total = slim.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    return (4 * total // limit + 4) * 96 <= 8 << 20
+    placed = stored(assign(slim, F.col("doc_id"), F.col("n_bytes"), limit), "shard-places")
+    shards = stored(placed.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs")), "shards")
+    release(slim)
+    return placed.join(maybe_broadcast(shards, shards.count(), 160), "shard").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
 
 
-def oracle(limit: int = SHARD_BYTES, depth: int = 20) -> str:
+def oracle(limit: int = QUERY_BYTES, depth: int = 20) -> str:
     """The same rows, for tables whose directory is no deeper than depth bits."""
     return f"""
 WITH sized AS (
