@@ -1,15 +1,17 @@
 """Exact top-k inner-product search by norm-bucketed retrieval.
 
-Candidates are range-partitioned by falling norm and cut into buckets of at most BUCKET vectors, so a bucket's lengths are
-alike and a common vector fills several buckets. For each query and bucket, the score to beat gives a local cosine
+Candidates are range-partitioned by falling norm and cut into buckets of a 32nd of them, of LEAST to BUCKET vectors, so a
+bucket's lengths are alike and a common vector fills several buckets. For each query and bucket, the score to beat gives a local cosine
 threshold: score / (query norm * the bucket's largest norm). Over 1, the bucket is skipped. At COORDINATE or more, the
 bucket is pruned by coordinates: a vector that near to the query must have each coordinate in a narrow range, so sorted
 lists of the query's strongest coordinates give the few to verify. Below, it is pruned by length: only the prefix
 of vectors that are long enough is verified. Products are exact integers.
 
 The first pass gives each query a score to beat: the buckets of the longest vectors are searched for all queries. The
-second pass meets the other buckets, in blocks: query blocks of at most QUERY_BLOCK rows are joined with buckets by block
-number; every task keeps the best k of each of its queries.
+second pass meets the other buckets, in blocks of about QUERY_BLOCK queries that need candidates of like length: a bucket
+whose longest vector is too short for all of a block is not joined with it at all. Blocks are broadcast while they are measured
+to be small; else buckets and blocks are dealt out by block, dimension and a salt, so that no block's buckets meet in one
+task. Every task keeps the best k of each of its queries.
 
 Vectors: each component x becomes floor(64 * x). Products are taken in floats while they are exact (below 2**53), else in
 Python integers; a score beyond 64 bits is cut to them. Vectors of different lengths are not compared.
@@ -29,11 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import maybe_broadcast, stored
 
 K = 20
-BUCKET = 4096
-QUERY_BLOCK = 8192
+LEAST, BUCKET = 64, 4096
+QUERY_BLOCK = 2048
+SALTS = 64
 TILE = 512  # queries whose products with a bucket are held at once
 COORDINATE = 0.85
 FOCUS = 5  # strongest coordinates of a query that prune
@@ -197,21 +200,39 @@ def _searcher(k: int):
     return run
 
 
-def _to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for (block, dim), own in pdf.groupby(["block", "dim"]):
-            yield pd.DataFrame([{"block": block, "dim": dim, "q_ids": own["vec_id"].to_numpy("<i8").tobytes(), "q_rows": np.array(own["v"].tolist(), "<f8").tobytes(), "floors": own["floor"].fillna(-np.inf).to_numpy("<f8").tobytes()}])
+def _to_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("vec_id")
+    rows = np.array(pdf["v"].tolist(), "<f8")
+    return pd.DataFrame([{"block": pdf["block"].iloc[0], "dim": pdf["dim"].iloc[0], "least": float(pdf["need"].min()), "q_ids": pdf["vec_id"].to_numpy("<i8").tobytes(), "q_rows": rows.tobytes(), "floors": pdf["floor"].fillna(-np.inf).to_numpy("<f8").tobytes()}])
 
 
-def _blocks(queries: DataFrame, n_blocks: int) -> DataFrame:
-    """Query rows (vec_id, v, dim, floor) as blocks; a block number holds about QUERY_BLOCK rows."""
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("long"))
-    return numbered.groupBy("block", "dim").applyInPandas(lambda pdf: next(_to_blocks(iter([pdf.sort_values("vec_id")]))), "block long, dim int, q_ids binary, q_rows binary, floors binary")
-
-
-def _meet(cells: DataFrame, blocks: DataFrame, n_blocks: int, k: int) -> DataFrame:
-    spread = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    pairs = spread.join(F.broadcast(blocks) if n_blocks == 1 else blocks, ["block", "dim"])
+def _blocks(queries: DataFrame, n: int) -> DataFrame:
+    """n query rows (vec_id, v, dim, floor) as blocks of about QUERY_BLOCK, by the length that a candidate needs to beat their
+    floors; queries of one need are dealt out among the blocks that share it."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    need = F.when((F.col("floor") > 0) & (norm > 0), F.col("floor") / norm * (1 - 1e-9)).otherwise(F.lit(float("-inf")))
+    rows = queries.withColumn("need", need)
+    parts = -(-n // QUERY_BLOCK)
+    cuts = rows.stat.approxQuantile("need", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    first = sum((F.when(F.col("need") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    after = sum((F.when(F.col("need") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    rows = rows.withColumn("block", (first + F.pmod(F.xxhash64("vec_id"), after - first + 1)).cast("long"))
+    return rows.groupBy("block", "dim").applyInPandas(_to_block, "block long, dim int, least double, q_ids binary, q_rows binary, floors binary")
+
+
+def _meet(cells: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """The best of each query among the cells, and others that a task could not rule out."""
+    blocks = stored(blocks, "topk-blocks")
+    n, size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("q_rows") + F.octet_length("q_ids") + F.octet_length("floors")), F.lit(0))).first()
+    few = maybe_broadcast(blocks, 1, size)
+    if few is blocks:
+        cells = cells.withColumn("salt", F.pmod("bucket", F.lit(SALTS)))
+        few = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        wanted = cells.select("bucket", F.col("dim").alias("_dim"), "longest").join(F.broadcast(blocks.select("block", F.col("dim").alias("_d"), "least")), (F.col("_dim") == F.col("_d")) & (F.col("longest") >= F.col("least")))
+        cells = cells.join(wanted.groupBy("bucket").agg(F.collect_set("block").alias("blocks")), "bucket").withColumn("block", F.explode("blocks"))
+        pairs = cells.join(few, ["block", "dim", "salt"])
+    else:
+        pairs = cells.join(few, "dim").where("longest >= least")
     return pairs.select("block", "dim", "ids", "rows", "q_ids", "q_rows", "floors").mapInPandas(_searcher(k), FOUND)
 
 
@@ -226,18 +247,17 @@ def topk(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = stored(rows.withColumns({"dim": F.size("v"), "norm": norm}), "topk-vectors")
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    n = queries.count()
-    n_blocks = max(1, -(-n // QUERY_BLOCK))
-    cells = stored(buckets(rows.select("vec_id", "v", "norm", "dim")), "topk-buckets")
+    n, n_rows = queries.count(), rows.count()
+    cells = stored(buckets(rows.select("vec_id", "v", "norm", "dim"), min(BUCKET, max(LEAST, n_rows // 32))), "topk-buckets")
 
     # The longest vectors, a bucket or two, give each query a score to beat.
     longest = cells.select("bucket", "dim", "longest").orderBy(F.desc("longest"), "bucket").limit(2).collect()
     first = [r.bucket for r in longest]
     blank = queries.withColumn("floor", F.lit(None).cast("double"))
-    start = stored(_meet(cells.where(F.col("bucket").isin(first)), _blocks(blank, n_blocks), n_blocks, k), "topk-start")
+    start = stored(_meet(cells.where(F.col("bucket").isin(first)), _blocks(blank, n), k), "topk-start")
     floors = start.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(F.col("query_id").alias("vec_id"), F.get("s", F.lit(k - 1)).cast("double").alias("floor"))
     known = queries.join(floors, "vec_id", "left")
-    rest = _meet(cells.where(~F.col("bucket").isin(first)), _blocks(known, n_blocks), n_blocks, k)
+    rest = _meet(cells.where(~F.col("bucket").isin(first)), _blocks(known, n), k)
     return _best(start.unionByName(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
