@@ -6,7 +6,7 @@ turns; dynamic programming over the automaton of legal turns finds the cheapest
 the order of ACTIONS and then to the earlier state. The repaired conversation is rendered as segments, one for each
 turn of the input and one that closes; concatenated in order of pos they are the formatted conversation.
 
-Scale: conversations of any length are cut into blocks of at most BLOCK turns. A block is summed up as a matrix of least
+Scale: conversations of any length are cut into blocks of at most BLOCK turns and BLOCK_BYTES of text. A block is summed up as a matrix of least
 costs between the automaton's states; matrices of a conversation's blocks are chained, which takes a row for each block;
 then every block is solved between its known end states. No task holds a conversation.
 
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
 
-BLOCK = 4096
+BLOCK = 4096  # most turns of a block
+BLOCK_BYTES = 8 << 20  # of text, of which a block holds no more, unless a turn alone does
 
 STATES = ("start", "system", "user", "assistant")
 ROLES = {"system": "system", "developer": "system", "user": "user", "human": "user", "prompter": "user", "assistant": "assistant", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -143,11 +144,17 @@ def _cut(most: int):
                 products[b - 1] = m.ravel().tolist()
             return own.assign(product=products)
 
+        def fits(rows: pd.DataFrame) -> int:
+            """How many of the rows fill a chunk; 0 if all of them do not."""
+            upto = np.cumsum([len(t) if isinstance(t, str) else 0 for t in rows["text"]])
+            n = max(1, int(np.searchsorted(upto, BLOCK_BYTES, side="right")))
+            return min(n, most) if n < len(rows) or len(rows) >= most else 0
+
         for pdf in batches:
             held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            while len(held) >= most:
-                yield finish(held.iloc[:most].reset_index(drop=True), base + seen)
-                held, seen = held.iloc[most:].reset_index(drop=True), seen + 1
+            while len(held) and (n := fits(held)):
+                yield finish(held.iloc[:n].reset_index(drop=True), base + seen)
+                held, seen = held.iloc[n:].reset_index(drop=True), seen + 1
         if held is not None and len(held):
             yield finish(held, base + seen)
 
