@@ -88,15 +88,21 @@ class Cutter:
         return [{"ordinal": k, "offset": a, "size": b - a, "data": data[a:b], "hash": hashlib.sha256(data[a:b]).hexdigest()} for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
 
 
-def content_chunks(text: Column, least: int = 0, average: int = 0, most: int = 0, data: bool = False) -> Column:
-    """The content-defined chunks of a text or of bytes, as arrays of (ordinal, offset, size, hash); none for nothing. With
-    `data`, their bytes too, which are cut out of the text where it is and do not come back from Python."""
+def place_batches(least: int = 0, average: int = 0, most: int = 0):
+    """The chunks' places of batches of texts or bytes."""
     cutter = Cutter(least, average, most)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda d: [] if d is None else cutter.places(bytes(d)))
+            yield s.map(lambda d: [] if d is None else cutter.places(d.encode() if isinstance(d, str) else bytes(d)))
+
+    return run
 
+
+def content_chunks(text: Column, least: int = 0, average: int = 0, most: int = 0, data: bool = False) -> Column:
+    """The content-defined chunks of a text or of bytes, as arrays of (ordinal, offset, size, hash); none for nothing. With
+    `data`, their bytes too, which are cut out of the text where it is and do not come back from Python."""
+    run = place_batches(least, average, most)
     whole = F.when(text.isNotNull(), text.cast("binary"))
     places = F.pandas_udf(run, PLACES)(whole)
     if not data:

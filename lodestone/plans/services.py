@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import cost, text, vectors
+from lodestone.functions import cost, sql, text, vectors
 from lodestone.operators import budget, chunking, ledger, lookup, mock, replay, report, retrieval, similar
-from lodestone.plans.registry import _DOCS, _EVENTS, _RANKED, _TOKENS, _USD, DAY, _filled, query
+from lodestone.plans.registry import _DOCS, _EVENTS, _KEY, _RANKED, _TOKENS, _USD, DAY, _filled, query
 from lodestone.sources import files, tables
 from lodestone.streaming import live
 
@@ -454,3 +454,17 @@ def computed_miss_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = ledger.keyed(tables.document_items(spark, sf_dir))
     made = mock.compute_missing(items, _entries(items, "seq % 2 = 0"), 8)
     return made.select("key", F.posexplode("v").alias("place", "x")).select("key", "place", F.round(F.col("x").cast("double"), 7).alias("value"))
+
+
+_TRIGRAMS = "list_distinct(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3)))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, ' ' || trim(regexp_replace(lower(text), '[{text.WHITE}]+', ' ', 'g')) || ' ' AS s FROM documents)
+SELECT doc_id, CAST({_filled(_TOKENS, text='text')} AS BIGINT) AS est_tokens, {_filled(_KEY, model="'m'", text='text')} AS key, CAST(CASE WHEN length(s) < 3 THEN 1 ELSE len({_TRIGRAMS}) END AS BIGINT) AS n_trigrams, round(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) + 2.0::DOUBLE) / (sqrt(length(text) * length(text) + 1.0::DOUBLE) * sqrt(5.0::DOUBLE)) END, 9) AS cosine, CAST(strlen(text) AS BIGINT) AS bytes FROM d""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered functions from a SQL text; the sizes of the content-defined chunks sum to the text's."""
+    sql.register(spark)
+    tables.spread(tables.table(spark, sf_dir, "documents")).createOrReplaceTempView("lodestone_documents")
+    return spark.sql("""SELECT doc_id, estimate_tokens(text) AS est_tokens, fingerprint('m', text) AS key, CAST(size(char_trigrams(text)) AS BIGINT) AS n_trigrams,
+        round(cosine_similarity(CASE WHEN length(text) > 0 THEN array(CAST(length(text) AS DOUBLE), 1D) END, array(1D, 2D)), 9) AS cosine,
+        aggregate(cdc_chunks(text), 0L, (n, c) -> n + c.size) AS bytes FROM lodestone_documents""")
