@@ -521,13 +521,31 @@ def fixed_chunk_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.difference(before, after, ["doc_id"])
 
 
-@query()
+def _sql_cut(rows: str) -> str:
+    """WITH parts that give `chunks` (id, ordinal, start, size, hash) of the rows (id, text): the low 11 bits of the rolling hash
+    at every byte as a sum over the last 11 bytes, and the cuts of each text one after another."""
+    least, average, most = chunking.LEAST, chunking.AVERAGE, chunking.MOST
+    window = " + ".join(f"{1 << k} * g[i + {10 - k}]" for k in range(11))
+    fresh = " + ".join(f"CASE WHEN j >= {k} THEN {1 << k} * g[f + j + {11 - k}] ELSE 0 END" for k in range(10))
+    return f"""gear AS (SELECT list(('0x' || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT & 2047 ORDER BY b) AS gear FROM (SELECT b, sha256(unhex(printf('%02X', b))) AS h FROM range(0, 256) t(b))),
+p AS (SELECT id, hex(encode(text)) AS h, list_concat([0, 0, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: gear[('0x' || x)::BIGINT + 1])) AS g, strlen(text) AS n FROM ({rows}), gear WHERE strlen(text) > 0),
+q AS (SELECT id, list_transform(range(1, n + 1), lambda i: ({window}) % 2048) AS r FROM p),
+c AS (SELECT p.id, h, g, n, list_filter(range(0, n), lambda i: r[i + 1] = 0) AS strict, list_filter(range(0, n), lambda i: r[i + 1] % 128 = 0) AS loose FROM p JOIN q USING (id)),
+cuts AS MATERIALIZED (WITH RECURSIVE w(id, ordinal, start, upto) AS (SELECT id, -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM c UNION ALL SELECT w.id, w.ordinal + 1, w.upto, CASE WHEN n - w.upto <= {least} THEN n ELSE coalesce(
+  (SELECT min(w.upto + {least} + j + 1) FROM range(0, 10) t(j) WHERE w.upto + {least} + j < least(w.upto + {average}, n, w.upto + {most}) AND (SELECT ({fresh}) % 2048 FROM (SELECT w.upto + {least} AS f)) = 0),
+  list_min(list_filter(strict, lambda i: i >= w.upto + {least} + 10 AND i < least(w.upto + {average}, n, w.upto + {most}))) + 1, list_min(list_filter(loose, lambda i: i >= w.upto + {average} AND i < least(n, w.upto + {most}))) + 1, least(n, w.upto + {most})) END
+  FROM w JOIN c USING (id) WHERE w.upto < n) SELECT * FROM w WHERE ordinal >= 0),
+chunks AS (SELECT id, ordinal, start, upto - start AS size, sha256(unhex(substring(h, 2 * start + 1, 2 * (upto - start)))) AS hash FROM cuts JOIN c USING (id))"""
+
+
+@query(f"WITH {_sql_cut('SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, CAST(ordinal AS INTEGER) AS ordinal, start AS \"offset\", CAST(size AS INTEGER) AS size, hash FROM chunks")
 def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.spread(tables.table(spark, sf_dir, "documents"))
     return chunking.exploded(docs, chunking.content_chunks(F.col("text")), "doc_id").select("doc_id", "ordinal", "offset", "size", "hash")
 
 
-@query()
+@query(f"""WITH e AS MATERIALIZED ({_EDITED}), {_sql_cut("SELECT 2 * doc_id AS id, before AS text FROM e UNION ALL SELECT 2 * doc_id + 1, after FROM e WHERE after <> before")}, k AS (SELECT DISTINCT id // 2 AS doc_id, hash FROM chunks WHERE id % 2 = 0),
+v AS (SELECT id // 2 AS doc_id, max(id) AS id FROM chunks GROUP BY ALL) SELECT v.doc_id, count(*) AS total, count(*) FILTER (WHERE k.hash IS NOT NULL) AS unchanged, count(*) FILTER (WHERE k.hash IS NULL) AS changed FROM v JOIN chunks USING (id) LEFT JOIN k ON k.doc_id = v.doc_id AND k.hash = chunks.hash GROUP BY v.doc_id""")
 def cdc_chunk_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.edited_documents(spark, sf_dir).withColumns({"b": chunking.content_chunks(F.col("before")), "a": chunking.content_chunks(F.when(F.col("after") != F.col("before"), F.col("after")))})
     docs = docs.withColumn("a", F.when(F.col("after") != F.col("before"), F.col("a")).otherwise(F.col("b")))  # the same text has the same chunks
