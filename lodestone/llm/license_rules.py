@@ -56,6 +56,22 @@ apache | 1 | apache licence | (?:the )?apache licence
 apache | 1 | apache software license | (?:the )?apache software license
 apache | 2 | apache 2 0 license | apache 2 0 license
 apache | 2 | spdx license identifier apache | spdx license identifier apache 2 0
+apache | 2 | apache 2 0 | apache 2 0
+gpl-2.0 | 2 | gpl 2 0 | gpl 2 0(?: only| or later)?
+gpl-2.0 | 2 | gplv2 | gplv2(?: 0)?(?: only| or later)?
+gpl-2.0 | 2 | gpl v2 | gpl v2(?: 0)?(?: only| or later)?
+gpl-3.0 | 2 | gpl 3 0 | gpl 3 0(?: only| or later)?
+gpl-3.0 | 2 | gplv3 | gplv3(?: 0)?(?: only| or later)?
+gpl-3.0 | 2 | gpl v3 | gpl v3(?: 0)?(?: only| or later)?
+lgpl-2.1 | 2 | lgpl 2 1 | lgpl 2 1(?: only| or later)?
+lgpl-2.1 | 2 | lgplv2 1 | lgplv2 1(?: only| or later)?
+lgpl-3.0 | 2 | lgpl 3 0 | lgpl 3 0(?: only| or later)?
+lgpl-3.0 | 2 | lgplv3 | lgplv3(?: 0)?(?: only| or later)?
+agpl-3.0 | 2 | agpl 3 0 | agpl 3 0(?: only| or later)?
+agpl-3.0 | 2 | agplv3 | agplv3(?: 0)?(?: only| or later)?
+mpl-2.0 | 2 | mpl 2 0 | mpl 2 0
+epl-1.0 | 2 | epl 1 0 | epl 1 0
+epl-2.0 | 2 | epl 2 0 | epl 2 0
 gpl | 0 | terms of the gnu general public license | (?:redistribute it and or modify it )?under the terms of the gnu general public license(?: as published by the free software foundation)?
 gpl | 1 | gnu general public license | (?:the )?gnu general public license
 gpl | 1 | gnu general public licence | (?:the )?gnu general public licence

@@ -6,7 +6,7 @@ lies inside another of its own or a higher-ranking tier, it is suppressed. Four
 rules, at all places, and their labels always stay.
 
 Scale: one pass over the documents, row by row, no shuffle; the rules are a constant of the plan. Suppression sweeps a
-document's detections in order of their start, so its work grows with their number, not with pairs.
+document's detections in order of their start, in blocks, so its work grows with their number and not with pairs, except for a pass over the sums of the blocks before each.
 
 Defined results: null text is empty: no words, no labels, null positions, score 0; repeated rows and null ids give a row
 each; an empty table gives no rows; other columns are ignored.
@@ -21,15 +21,19 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import ascii_lower
 from lodestone.llm.license_rules import CONFIDENCE, rules
+from lodestone.sources.tables import spread
 
 #: What separates words, in either case: all of ASCII but digits and letters.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: Items that are folded together.
+CHUNK = 128
+
 #: Phrases that are always reported, and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 #: Every keyword of a rule and every base phrase holds one of these.
-ANCHORS = ("licen", "copyright", "public domain", "creative commons", "cc by", "cc0", "gpl", "bsd", "wtfpl", "permission", "redistribution", "warrant", "rights reserved", "advertising materials", "altered source", "promote products", "mit no attribution")
+ANCHORS = ("licen", "copyright", "public domain", "creative commons", "cc by", "cc0", "gpl", "bsd", "wtfpl", "permission", "redistribution", "warrant", "rights reserved", "advertising materials", "altered source", "promote products", "mit no attribution", "apache 2 0", "mpl 2 0", "epl 1 0", "epl 2 0")
 
 
 def _rule_literal() -> Column:
@@ -45,15 +49,27 @@ def _spaces(c: str) -> str:
     return f"(octet_length({c}) - octet_length(replace({c}, ' ', '')))"
 
 
-_SPANS = f"""
-aggregate(
-  zip_with(split(_norm, r.rx, -1), regexp_extract_all(_norm, r.rx, 0),
-           (p, m) -> struct(cast({_spaces('p')} as bigint) AS before, cast({_spaces("coalesce(m, '')")} as bigint) AS inside, m IS NOT NULL AS hit)),
-  struct(0L AS at, cast(array() as array<struct<start: bigint, stop: bigint>>) AS found),
-  (acc, x) -> struct(acc.at + x.before + x.inside AS at,
-                     if(x.hit, concat(acc.found, array(struct(acc.at + x.before - 1 AS start, acc.at + x.before + x.inside AS stop))), acc.found) AS found)
-).found
-"""
+def _let(value: str, name: str, body: str) -> str:
+    """The expression body with a name for a value."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _blocks(items: str) -> str:
+    return f"transform(sequence(0, (size({items}) - 1) div {CHUNK}), b -> slice({items}, b * {CHUNK} + 1, {CHUNK}))"
+
+
+# Spark copies an accumulator at each step of a fold, so what grows with a document is folded in blocks of CHUNK items, each
+# beginning from what the blocks before it sum up to.
+
+_PIECES = f"""zip_with(split(_norm, r.rx, -1), regexp_extract_all(_norm, r.rx, 0),
+  (p, m) -> struct(cast({_spaces('p')} as bigint) AS before, cast({_spaces("coalesce(m, '')")} as bigint) AS inside, m IS NOT NULL AS hit))"""
+
+_STARTS = """aggregate(q, struct(base AS at, cast(array() as array<bigint>) AS out),
+  (acc, x) -> struct(acc.at + x.before + x.inside AS at, concat(acc.out, array(acc.at + x.before - 1)) AS out)).out"""
+
+_IN_BLOCK = _let("aggregate(slice(sums, 1, b), 0L, (n, x) -> n + x)", "base", f"zip_with(q, {_STARTS}, (x, s) -> struct(s AS start, s + 1 + x.inside AS stop, x.hit AS hit))")
+
+_SPANS = _let(_PIECES, "ps", _let(_blocks("ps"), "bs", _let("transform(bs, q -> aggregate(q, 0L, (n, x) -> n + x.before + x.inside))", "sums", f"filter(flatten(transform(bs, (q, b) -> {_IN_BLOCK})), x -> x.hit)")))
 
 _DETECTIONS = f"""
 array_sort(flatten(transform(filter(_rules, r -> contains(_norm, r.keyword)),
@@ -62,14 +78,19 @@ array_sort(flatten(transform(filter(_rules, r -> contains(_norm, r.keyword)),
 
 _COVERED = "array_max(slice(acc.reach, 1, d.tier + 1)) >= -d.minus_stop"
 
-_KEPT = f"""
-aggregate(_detections,
-  struct(array_repeat(-1L, {len(CONFIDENCE)}) AS reach, cast(array() as array<struct<start: bigint, stop: bigint, tier: int, label: string>>) AS kept),
-  (acc, d) -> if({_COVERED}, acc,
-    struct(transform(acc.reach, (v, k) -> if(k = d.tier, greatest(v, -d.minus_stop), v)) AS reach,
-           concat(acc.kept, array(struct(d.start AS start, -d.minus_stop AS stop, d.tier AS tier, d.label AS label))) AS kept))
-).kept
-"""
+_TIERS = f"sequence(0, {len(CONFIDENCE) - 1})"
+
+# How far detections of each tier have reached before a block. One that is suppressed reaches no further than what suppresses it.
+_REACH = f"transform({_TIERS}, t -> coalesce(array_max(transform(slice(tops, 1, b), x -> x[t])), -1L))"
+
+_STAND = f"""aggregate(q, struct(reach AS reach, cast(array() as array<boolean>) AS out),
+  (acc, d) -> struct(transform(acc.reach, (v, k) -> if(k = d.tier, greatest(v, -d.minus_stop), v)) AS reach, concat(acc.out, array(NOT ({_COVERED}))) AS out)).out"""
+
+_KEPT_BLOCK = _let(_REACH, "reach", f"zip_with(q, {_STAND}, (d, k) -> if(k, struct(d.start AS start, -d.minus_stop AS stop, d.tier AS tier, d.label AS label), NULL))")
+
+_TOPS = f"transform(bs, q -> transform({_TIERS}, t -> array_max(transform(filter(q, d -> d.tier = t), d -> -d.minus_stop))))"
+
+_KEPT = _let(_blocks("_detections"), "bs", _let(_TOPS, "tops", f"filter(flatten(transform(bs, (q, b) -> {_KEPT_BLOCK})), x -> x IS NOT NULL)"))
 
 
 def _places(phrase: str) -> Column:
@@ -96,7 +117,7 @@ def scan(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def op4_licenses(docs: DataFrame) -> DataFrame:
-    rows = scan(docs.select("doc_id", F.col("text").alias("_text")), F.col("_text"))
+    rows = scan(spread(docs.select("doc_id", F.col("text").alias("_text"))), F.col("_text"))
     places = F.coalesce(F.expr("flatten(transform(_base, b -> b.places))"), F.array().cast("array<bigint>"))
     base_labels = F.coalesce(F.expr("transform(filter(_base, b -> size(b.places) > 0), b -> b.label)"), F.array().cast("array<string>"))
     own_labels = F.coalesce(F.expr("transform(_kept, d -> d.label)"), F.array().cast("array<string>"))
