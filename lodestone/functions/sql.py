@@ -15,7 +15,7 @@ EXPRESSIONS = {
     "char_trigrams": (
         "t STRING",
         "ARRAY<STRING>",
-        f"transform(array(concat(' ', trim(regexp_replace(lower(t), r'[{WHITE}]+', ' ')), ' ')), s -> CASE WHEN length(s) < 3 THEN array(s) ELSE array_distinct(transform(sequence(1, length(s) - 2), i -> substring(s, i, 3))) END)[0]",
+        f"transform(array(regexp_extract_all(concat(' ', trim(regexp_replace(lower(t), r'[{WHITE}]+', ' ')), ' '), '(?s).', 0)), c -> CASE WHEN size(c) < 3 THEN array(array_join(c, '')) ELSE array_distinct(transform(sequence(0, size(c) - 3), i -> c[i] || c[i + 1] || c[i + 2])) END)[0]",
     ),
     "cosine_similarity": (
         "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>",

@@ -100,13 +100,15 @@ def _cut(text: Column, size: int) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct character trigrams of the lower-cased, collapsed text with a space at each end; a shorter form is its own."""
+    """Distinct character trigrams of the lower-cased, collapsed text with a space at each end; a shorter form is its own. The
+    text is cut into characters once, since finding the n-th character of a text takes n steps."""
 
-    def grams(padded: Column) -> Column:
-        own = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
-        return F.when(F.length(padded) < 3, F.array(padded)).otherwise(F.array_distinct(own))
+    def grams(chars: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), F.size(chars) - 3), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
+        return F.when(F.size(chars) < 3, F.array(F.array_join(chars, ""))).otherwise(F.array_distinct(own))
 
-    return let(F.concat(F.lit(" "), collapse(F.lower(text)), F.lit(" ")), grams)
+    padded = F.concat(F.lit(" "), collapse(F.lower(text)), F.lit(" "))
+    return let(F.regexp_extract_all(padded, F.lit("(?s)."), F.lit(0)), grams)
 
 
 def trigram_codes(text: Column) -> Column:

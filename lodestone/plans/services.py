@@ -96,6 +96,17 @@ def flush_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(first, ["epoch", "key"]).select("seq", "epoch", (F.col("seq") > F.col("first")).alias("hit"))
 
 
+@query(f"WITH {_EVENTS} SELECT key, max(tok) AS tokens FROM items GROUP BY key")
+def stream_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two drains of one stream, each leaving a snapshot: every key is there once."""
+    path = _scratch(spark, "ticks")
+    for _ in range(2):
+        stream = live.table_stream(spark, f"{sf_dir}/events.parquet").select(F.col("event_type").alias("model"), F.col("props").alias("text"))
+        entries = ledger.keyed(stream).select("key", F.encode("key", "utf-8").alias("raw"), F.col("est_tokens").alias("tokens"), F.lit(0).cast("long").alias("expires_at"))
+        live.snapshots(entries, path, _scratch(spark, "checkpoint")).awaitTermination()
+    return files.read_snapshot(spark, path).select("key", "tokens")
+
+
 # --- reference files ----------------------------------------------------------------------------------------
 
 
@@ -328,6 +339,21 @@ def verdict_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("credential").agg(F.count("*").alias("n"), F.count_if("asked").alias("asked"), F.count_if("allowed").alias("allowed"))
 
 
+_WAIT, _PATIENCE = 7200, 3600
+_FLIGHT = "{'t': %s, 'seq': %s, 'fails': %s, 'owner': %s, 'since': %s, 'bad': %s, 'done': %s, 'out': %s}"
+_NEW = _FLIGHT % ("{t}", "{seq}", "{fails}", "-1::BIGINT", "0::DOUBLE", "false", "-1::BIGINT", "[]::STRUCT(seq BIGINT, owner BIGINT, outcome VARCHAR)[]")
+_STAY = _FLIGHT % ("x.t", "x.seq", "x.fails", "a.owner", "a.since", "a.bad", "a.done", "list_append(a.out, {{'seq': x.seq, 'owner': {owner}, 'outcome': {outcome}}})".replace("{{", "{").replace("}}", "}"))
+_TURN = _FLIGHT % ("x.t", "x.seq", "x.fails", "x.seq", "x.t", "x.fails", "CASE WHEN x.fails THEN -1 ELSE x.seq END", "list_append(a.out, {'seq': x.seq, 'owner': x.seq, 'outcome': CASE WHEN x.fails THEN 'failed' ELSE 'miss' END})")
+
+
+@query(f"""WITH {_EVENTS}, f AS (SELECT key, list_reduce(list_prepend({_filled(_NEW, t='0::DOUBLE', seq='-1::BIGINT', fails='false')}, list({_filled(_NEW, t='epoch_us(ts) / 1e6', seq='seq', fails='seq % 3 <> 0')} ORDER BY ts, seq)),
+lambda a, x: CASE WHEN a.owner >= 0 AND x.t <= a.since + {_WAIT} THEN {_filled(_STAY, owner='a.owner', outcome=f"CASE WHEN a.since + {_WAIT} - x.t > {_PATIENCE} THEN 'gave_up' WHEN a.bad THEN 'failed' ELSE 'coalesced' END")}
+WHEN a.done >= 0 THEN {_filled(_STAY, owner='a.done', outcome="'hit'")} ELSE {_TURN} END).out AS out FROM items GROUP BY key), o AS (SELECT key, unnest(out) AS o FROM f) SELECT key, o.seq AS seq, o.owner AS owner, o.outcome AS outcome FROM o""")
+def coalesce_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three computations fail, and waiters give up after an hour of two."""
+    return lookup.coalesced_calls(_timed(spark, sf_dir), float(_WAIT), float(_PATIENCE), F.col("seq") % 3 != 0)
+
+
 @query("""WITH a AS (SELECT event_id // 5 AS call, event_id % 5 AS attempt, CASE event_type WHEN 'error' THEN 503 WHEN 'click' THEN 429 WHEN 'view' THEN 404 WHEN 'signup' THEN NULL ELSE 200 END AS status FROM events),
 f AS (SELECT call, min(attempt) FILTER (WHERE status IS NOT NULL AND status <> 429 AND status < 500 AND attempt <= 3) AS first, max(attempt) FILTER (WHERE attempt <= 3) AS last FROM a GROUP BY call)
 SELECT call, CASE WHEN first IS NULL THEN 'failed' WHEN status >= 400 THEN 'rejected' ELSE 'ok' END AS outcome, coalesce(first, last) AS retries FROM f LEFT JOIN a USING (call) WHERE a.attempt = coalesce(first, last)""")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.cost import cost
+from lodestone.sources import files
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,6 +97,18 @@ def append_new(items: DataFrame, path: str, checkpoint: str):
     return items.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
+def snapshots(entries: DataFrame, path: str, checkpoint: str):
+    """A query that writes a snapshot of the cache after every micro-batch: the one before with the entries (key, raw, tokens,
+    expires_at) whose keys it did not hold. What was read last is whole, whenever the query stops."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        old = files.read_snapshot(batch.sparkSession, path)
+        new = batch.select(*files.CACHE.names).dropDuplicates(["key"]).join(old.select("key"), "key", "left_anti")
+        files.write_snapshot(old.unionByName(new), path)
+
+    return entries.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
 def drained(stream: DataFrame, mode: str = "append", label: str = "stream") -> DataFrame:
     """What a stream gives for the input that is there now, as a table in the shared folder."""
     spark = stream.sparkSession

@@ -194,3 +194,16 @@ def test_active_serving_matches_a_plain_loop(spark):
             leaders.append(i)
     df = spark.createDataFrame([(i, i, t, "m") for i, t in enumerate(texts)], "id int, seq int, text string, model string")
     assert {r.id: r.served_by for r in similar.active(df, 0.7).collect()} == want
+
+
+def test_trigrams_of_long_and_rare_texts(spark):
+    from lodestone.functions import sql, text
+
+    long_text = " ".join(f"w{i}é" for i in range(60_000))
+    df = spark.createDataFrame([("a😀b",), ("",), (long_text,)], "t string")
+    sql.register(spark)
+    df.createOrReplaceTempView("trigram_texts")
+    for rows in (df.select(text.trigrams(F.col("t")).alias("g")).collect(), spark.sql("SELECT char_trigrams(t) AS g FROM trigram_texts").collect()):
+        assert sorted(rows[0].g) == sorted([" a😀", "a😀b", "😀b "]) and rows[1].g == ["  "]
+        padded = f" {long_text} "
+        assert set(rows[2].g) == {padded[i : i + 3] for i in range(len(padded) - 2)}
