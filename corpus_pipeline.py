@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import stored, table
+from lodestone.llm.common import release, stored, table
 from lodestone.llm.decontaminate import without_leaks
 from lodestone.llm.mixing import mix_documents
 from lodestone.llm.simhash import keep_one
@@ -25,6 +25,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline")
+    for _, stage in STAGES[:-1]:
+        done = stored(stage(spark, docs, sf_dir), "pipeline")
+        release(docs)  # the stage's input, which nothing reads again; the given table stays
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
