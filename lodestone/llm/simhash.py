@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import dealt, give_back_memory, join_spread, maybe_broadcast, numbered, release, stored
+from lodestone.llm.common import dealt, give_back_memory, join_spread, maybe_broadcast, numbered, release, small_batches, stored
 from lodestone.sources.tables import spread
 
 SHINGLE = 3
@@ -80,17 +80,20 @@ def simhash(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text, the last column, gives way to its fingerprint."""
-    for batch in batches:
+    for n, batch in enumerate(batches):
         *keep, texts = batch.columns
         found = np.fromiter((simhash(t.as_py() or b"") for t in texts), np.uint64, len(texts)).view(np.int64)
         yield pa.RecordBatch.from_arrays([*keep, pa.array(found)], names=[*batch.schema.names[:-1], "fp"])
-        give_back_memory()
+        if n % 8 == 7:
+            give_back_memory()
+    give_back_memory()
 
 
 def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and the fingerprint of each text as a signed long."""
+    """The kept columns and the fingerprint of each text as a signed long, stored."""
     rows = spread(docs.select(*keep, F.col("text").cast("binary").alias("fp")))
-    return rows.mapInArrow(_fingerprints, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
+    with small_batches(docs.sparkSession):
+        return stored(rows.mapInArrow(_fingerprints, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])), "fingerprints")
 
 
 # --- links --------------------------------------------------------------------------------------------------
@@ -232,7 +235,7 @@ def classified(rows: DataFrame, pick: Column) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that its links reach, for every row."""
-    rows = stored(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id"), "fingerprints")
+    rows = fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
     known = classified(rows, F.col("doc_id"))
     total = known.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     firsts = known.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -249,7 +252,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without an id stay where a class has no other. Rows are told apart by their place, not by their ids."""
     rows, (file, at) = numbered(docs)
     own = rows.select(F.col(file).alias("file"), F.col(at).alias("at"), "doc_id", F.xxhash64("text").alias("digest"), "text")
-    prints = stored(fingerprints(own, "file", "at", "doc_id", "digest"), "fingerprints")
+    prints = fingerprints(own, "file", "at", "doc_id", "digest")
     known = classified(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "file", "at"))
     kept = known.groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.at")
     dropped = stored(prints.select("file", "at").join(kept, ["file", "at"], "left_anti"), "simhash-dropped")

@@ -10,7 +10,8 @@ learnt lexicon is counted in Spark, and only its strongest LEXICON units reach t
 training come from the other folds' lexicon, and calibration from out-of-fold scores, so neither sees its own labels.
 
 Defined results: null text is empty; an empty text is scored like any other; without labelled documents every score is
-0, with one class only every score is that class; ids with several labels count as toxic if any is; null ids are not
+0, with one class only every score is that class; ids with several labels count as toxic if any is, and train with
+the first by text of their documents; null ids are not
 held out; an empty table gives no rows; the filter keeps all columns.
 """
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.boosting import BoostedTrees, Isotonic
-from lodestone.llm.common import give_back_memory, stored
+from lodestone.llm.common import give_back_memory, maybe_broadcast, numbered, small_batches, stored
+from lodestone.sources.tables import spread
 
 SAMPLE = 12_000  # most labelled documents that a model is fitted on
 LEXICON = 400  # most units of a learnt lexicon
@@ -174,9 +176,15 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the labelled documents that are not held out."""
+    with small_batches(docs.sparkSession):
+        return _train(docs, labels, sample)
+
+
+def _train(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
     rows = stored(rows, "toxicity-sample")
     totals = [0] * (2 * FOLDS)
     for r in rows.groupBy("fold", "y").count().collect():
@@ -205,30 +213,36 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 # --- scoring ------------------------------------------------------------------------------------------------
 
 
-def _scorer(model: Model, text_at: int):
+def _scorer(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        """The text, the last column, gives way to its score."""
+        for n, batch in enumerate(batches):
             for k in range(0, batch.num_rows, 500):
-                own = batch.slice(k, 500)
-                texts = [t or "" for t in own.column(text_at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(model.scores(texts), pa.float64())], names=[*own.schema.names, "_score"])
-            give_back_memory()
+                *keep, texts = batch.slice(k, 500).columns
+                found = model.scores([t or "" for t in texts.to_pylist()])
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(found, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            if n % 8 == 7:
+                give_back_memory()
+        give_back_memory()
 
     return score
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `_score`."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(_scorer(model, docs.columns.index("text")), schema)
+def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """The kept columns and the score of each text, stored."""
+    rows = spread(docs.select(*keep, F.col("text").alias("score")))
+    with small_batches(docs.sparkSession):
+        return stored(rows.mapInArrow(_scorer(model), T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])), "toxicity-scores")
 
 
 def op5_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = train(docs, labels)
-    rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels), "doc_id")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted to be toxic."""
-    return scored(docs, train(docs, labels)).where("_score < 0.5").drop("_score")
+    """docs without those predicted to be toxic, decided row by row. Only texts go to Python, and the numbers of the rejected
+    rows come back; they are broadcast while they are measured to be few."""
+    rows, (file, at) = numbered(docs)
+    found = scored(rows, train(docs, labels), file, at).where("score >= 0.5")
+    return rows.join(maybe_broadcast(found.select(file, at), found.count(), 32), [file, at], "left_anti").select(*docs.columns)
