@@ -14,7 +14,7 @@ The ranges are cut from a sample of the documents' ids and sizes, so that partit
 less where that keeps all tasks busy. Rows that share an id are ordered and cut by a hash of their text and then by their place
 in the input, so an id of very many rows fills several partitions.
 
-Encoding a frequent word once for each worker is what keeps it within budget; a test holds the ids against the
+Encoding a frequent word once for each task is what keeps it within budget; a test holds the ids against the
 library's own for whole texts.
 
 A task writes under a name of its own attempt and renames at the end, so a repeated or lost task leaves whole files.
@@ -46,8 +46,8 @@ from lodestone.sources.tables import spread
 
 NULL_ID = np.iinfo(np.int64).min
 END_ID = 1
-CHUNK_BYTES = 2 << 20  # of text that is encoded at once
-KEEP_WORDS = 300_000  # words that a worker remembers
+CHUNK_BYTES = 1 << 20  # of text that is encoded at once
+KEEP_WORDS = 200_000  # words that a task remembers
 PART_BYTES = 32 << 20  # of text whose ids one partition holds
 SAMPLED = 100  # rows for each partition from which the ranges are cut
 MOST_SAMPLED = 1_000_000
@@ -116,6 +116,10 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.shown = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in visible)}  # the byte-level alphabet
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all words. A worker outlives its task, and what it remembers would be missed by those that follow."""
         self.place: dict[str, int] = {"": 0}
         self.lengths, self.starts, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
@@ -192,7 +196,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder_for(path: str) -> Encoder:
-    """One encoder for each vocabulary and worker process; tasks that follow find its words learnt."""
+    """One encoder for each vocabulary and worker process."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -266,6 +270,8 @@ def _encoder(vocabulary: str, cuts: list[tuple[int, int, int, int]]):
                 yield pa.RecordBatch.from_arrays([doc_ids, *rest, pa.array(part, pa.int32()), pa.array(n, pa.int32()), ids.cast(pa.binary())], names=["doc_id", "digest", "file", "at", "part", "n", "ids"])
             if k % 8 == 7:
                 give_back_memory()
+        if vocabulary in _ENCODERS:
+            _ENCODERS[vocabulary].clear()
         give_back_memory()
 
     return encode
