@@ -74,6 +74,14 @@ def test_overflow_of_several_keys(spark):
     assert len(got) == 4000 and got.shard_bytes.max() <= 500 and got.shard.str.contains("-").all()
 
 
+def test_written_shards(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id AS doc_id", "repeat('a', 20) AS text")
+    sharding.write_shards(rows, str(tmp_path / "out"), F.col("doc_id"), F.octet_length("text"), 1000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    sizes = back.groupBy("shard").agg(F.sum("row_bytes").alias("s")).collect()
+    assert back.count() == 500 and len(sizes) >= 10 and all(r.s <= 1000 for r in sizes)
+
+
 def test_many_shards_and_buckets_of_small_tables(spark, small):
     shards = sharding.op1_sharding(table(spark, "/root/testdata/sf0.01", "documents")).select("shard").distinct().count()
     assert shards > 20
