@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,19 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.cost import cost
 from lodestone.sources import files
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary folder, if the session runs in one
-    process; on a cluster that is an error."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if place:
-        return place.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    if not getattr(shared_dir, "own", None):
-        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return shared_dir.own
+from lodestone.sources.shared import shared_dir
 
 
 def unique() -> str:
