@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, decontaminate, html_text, licenses, mixing, sharding, simhash, tokens_out, topk, toxicity
+from lodestone.llm import chat, decontaminate, html_text, licenses, merkle, mixing, sharding, simhash, tokens_out, topk, toxicity
 from lodestone.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_decontaminate": lambda spark, sf_dir: decontaminate.op8_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op9_html": lambda spark, sf_dir: html_text.op9_html(table(spark, sf_dir, "pages")),
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(table(spark, sf_dir, "documents")),
+    "op11_merkle": lambda spark, sf_dir: merkle.op11_merkle(table(spark, sf_dir, "documents")),
 }
 
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op2_topk": topk.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op11_merkle": merkle.oracle(),
 }

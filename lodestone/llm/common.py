@@ -143,3 +143,10 @@ def give_back_memory() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the unsigned CRC-32 of an ASCII text."""
+    step = "list_reduce([xor(c, b)] || range(8), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda k: CAST(ascii(substr({text}, k, 1)) AS BIGINT))"
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || {codes}, lambda c, b: {step}), 4294967295)"
