@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, decontaminate, html_text, licenses, merkle, mixing, sharding, simhash, tokens_out, topk, toxicity
+from lodestone.llm import chat, decontaminate, html_text, licenses, merkle, mixing, quality, sharding, simhash, tokens_out, topk, toxicity
 from lodestone.llm.common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_html": lambda spark, sf_dir: html_text.op9_html(table(spark, sf_dir, "pages")),
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(table(spark, sf_dir, "documents")),
     "op11_merkle": lambda spark, sf_dir: merkle.op11_merkle(table(spark, sf_dir, "documents")),
+    "op12_quality": lambda spark, sf_dir: quality.op12_quality(table(spark, sf_dir, "documents")),
 }
 
 ORACLE = {
@@ -25,4 +26,5 @@ ORACLE = {
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
     "op11_merkle": merkle.oracle(),
+    "op12_quality": quality.oracle(),
 }
