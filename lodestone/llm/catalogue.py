@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, decontaminate, html_text, licenses, merkle, mixing, quality, sharding, simhash, tokens_out, topk, toxicity
+from lodestone.llm import chat, decontaminate, html_text, licenses, merkle, mixing, quality, sharding, simhash, tokens_out, topk, toxicity, trie
 from lodestone.llm.common import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(table(spark, sf_dir, "documents")),
     "op11_merkle": lambda spark, sf_dir: merkle.op11_merkle(table(spark, sf_dir, "documents")),
     "op12_quality": lambda spark, sf_dir: quality.op12_quality(table(spark, sf_dir, "documents")),
+    "op13_trie": lambda spark, sf_dir: trie.op13_trie(table(spark, sf_dir, "conversations")),
 }
 
 ORACLE = {
@@ -27,4 +28,5 @@ ORACLE = {
     "op10_mixing": mixing.ORACLE_SQL,
     "op11_merkle": merkle.oracle(),
     "op12_quality": quality.oracle(),
+    "op13_trie": trie.ORACLE_SQL,
 }
