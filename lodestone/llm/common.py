@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import release, shared_dir, stored  # noqa: F401  the operators' names for them
+
 #: Byte classes of the word definitions, as regular expression classes.
 SPACES = r"\x20\x09-\x0D"
 NOT_ALNUM = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
@@ -27,37 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, if the session runs
-    in one process; on a cluster, a folder of one machine would lose rows, so that is an error."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    if not getattr(shared_dir, "own", None):
-        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return shared_dir.own
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Removes stored tables that nothing reads any more."""
-    for df in tables:
-        if path := getattr(df, "stored_at", None):
-            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, changed where df has a column of that name already."""
     taken = {c.lower() for c in df.columns}
@@ -65,16 +33,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def _scanned(df: DataFrame) -> bool:
-    """Whether df is a scan of files with columns chosen or computed, so that file and place in it tell its rows apart."""
+    """Whether df is a scan of Parquet files with columns chosen or computed: only these tell each row's place in its file."""
     plan = df._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "SubqueryAlias"):
         plan = plan.child()
-    return plan.nodeName() == "LogicalRelation" and "_metadata" not in df.columns
+    if plan.nodeName() != "LogicalRelation" or "_metadata" in df.columns:
+        return False
+    relation = plan.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
 
 
 def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     """df with two columns that tell its rows apart, whichever tasks read them and however often: a hash of the file's path
-    and the row's place in it. What is no scan of files is stored first, since its rows have no place of their own."""
+    and the row's place in it. What is no scan of Parquet files is stored first, since its rows have no place that can be told."""
     names = fresh(df, *(names or ("_file", "_at")))
     if not _scanned(df):
         df = stored(df, "rows")

@@ -93,9 +93,10 @@ def assign(rows: DataFrame, key: Column, size: Column, limit: int = SHARD_BYTES)
 
 
 def write_shards(rows: DataFrame, path: str, key: Column, size: Column, limit: int = SHARD_BYTES) -> None:
-    """One folder for each shard; no shard is larger than the limit, so one task writes each."""
+    """One folder for each shard, named `shard=s` and the shard's bits (read as bare bits, 010 and 10 would be one number); no
+    shard is larger than the limit, so one task writes each."""
     rows = assign(rows, key, size, limit)
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+    rows.withColumn("shard", F.concat(F.lit("s"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op1_sharding(docs: DataFrame, limit: int = QUERY_BYTES) -> DataFrame:

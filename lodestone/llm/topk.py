@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from lodestone.functions.text import let
 from lodestone.llm.common import maybe_broadcast, stored
 
 K = 20
@@ -206,6 +207,20 @@ def _to_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"block": pdf["block"].iloc[0], "dim": pdf["dim"].iloc[0], "least": float(pdf["need"].min()), "q_ids": pdf["vec_id"].to_numpy("<i8").tobytes(), "q_rows": rows.tobytes(), "floors": pdf["floor"].fillna(-np.inf).to_numpy("<f8").tobytes()}])
 
 
+def _below(need: Column, cuts: list[float]) -> tuple[Column, Column]:
+    """How many of the sorted cuts are smaller than need, and how many are no larger: two binary searches in one literal array,
+    so that the expression does not grow with the cuts."""
+    if not cuts:
+        return F.lit(0), F.lit(0)
+    held = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+    steps = F.split(F.lit(",".join(str(1 << k) for k in reversed(range(len(cuts).bit_length())))), ",").cast("array<int>")
+
+    def search(array: Column, small) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(small(F.get(array, at + step - 1)), at + step).otherwise(at))
+
+    return let(held, lambda array: search(array, lambda cut: cut < need)), let(held, lambda array: search(array, lambda cut: cut <= need))
+
+
 def _blocks(queries: DataFrame, n: int) -> DataFrame:
     """n query rows (vec_id, v, dim, floor) as blocks of about QUERY_BLOCK, by the length that a candidate needs to beat their
     floors; queries of one need are dealt out among the blocks that share it."""
@@ -214,8 +229,7 @@ def _blocks(queries: DataFrame, n: int) -> DataFrame:
     rows = queries.withColumn("need", need)
     parts = -(-n // QUERY_BLOCK)
     cuts = rows.stat.approxQuantile("need", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    first = sum((F.when(F.col("need") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    after = sum((F.when(F.col("need") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    first, after = _below(F.col("need"), sorted(cuts))
     rows = rows.withColumn("block", (first + F.pmod(F.xxhash64("vec_id"), after - first + 1)).cast("long"))
     return rows.groupBy("block", "dim").applyInPandas(_to_block, "block long, dim int, least double, q_ids binary, q_rows binary, floors binary")
 

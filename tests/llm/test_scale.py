@@ -77,9 +77,11 @@ def test_overflow_of_several_keys(spark):
 def test_written_shards(spark, tmp_path):
     rows = spark.range(500).selectExpr("id AS doc_id", "repeat('a', 20) AS text")
     sharding.write_shards(rows, str(tmp_path / "out"), F.col("doc_id"), F.octet_length("text"), 1000)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    sizes = back.groupBy("shard").agg(F.sum("row_bytes").alias("s")).collect()
-    assert back.count() == 500 and len(sizes) >= 10 and all(r.s <= 1000 for r in sizes)
+    want = {("s" + r.shard): r.s for r in sharding.assign(rows, F.col("doc_id"), F.octet_length("text"), 1000).groupBy("shard").agg(F.sum("row_bytes").alias("s")).collect()}
+    for reader in (spark.read, spark.read.schema("doc_id long, text string, depth int, row_bytes long, shard string")):
+        back = reader.parquet(str(tmp_path / "out"))
+        sizes = {r.shard: r.s for r in back.groupBy("shard").agg(F.sum("row_bytes").alias("s")).collect()}
+        assert back.count() == 500 and sizes == want and len(sizes) >= 10 and max(sizes.values()) <= 1000
 
 
 def test_many_shards_and_buckets_of_small_tables(spark, small):
@@ -110,6 +112,50 @@ def test_blocks_of_like_need(spark, monkeypatch):
     assert len(blocks) > 3 and sum(len(r.q_ids) // 8 for r in blocks) == 100
 
 
+def test_thousands_of_blocks(spark, monkeypatch):
+    """The plan does not grow with the blocks."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    queries = spark.range(10_000).selectExpr("id AS vec_id", "array(1.0D, 0.0D) AS v", "2 AS dim", "double(id % 7000 + 1) AS floor")
+    began = time.time()
+    blocks = topk._blocks(queries, 10_000).select("block", "least", (F.octet_length("q_ids") / 8).alias("n")).collect()
+    assert time.time() - began < 60 and len(blocks) > 3000 and sum(r.n for r in blocks) == 10_000
+    by_block = [r.least for r in sorted(blocks, key=lambda r: r.block)]
+    assert by_block == sorted(by_block)
+
+
+def test_places_of_a_need(spark):
+    cuts = [-float("inf"), 0.0, 0.5, 0.5, 2.0, 1e300]
+    needs = [-float("inf"), -1.0, 0.0, 0.25, 0.5, 1.0, 2.0, 3.0, 1e300, float("inf")]
+    rows = spark.createDataFrame([(x,) for x in needs], "need double").select("need", *[c.alias(n) for c, n in zip(topk._below(F.col("need"), cuts), "ab", strict=True)]).collect()
+    assert [(r.a, r.b) for r in rows] == [(sum(c < x for c in cuts), sum(c <= x for c in cuts)) for x in needs]
+
+
+@pytest.mark.parametrize("kind", ["json", "csv", "orc", "parquet", "partitioned", "view"])
+def test_filters_on_other_sources(spark, small, tmp_path, kind):
+    """Rows of any source are told apart."""
+    base = table(spark, small, "documents").limit(60).unionByName(table(spark, small, "documents").limit(5))
+    path = str(tmp_path / kind)
+    if kind == "partitioned":
+        base.write.partitionBy("lang").parquet(path)
+        docs = spark.read.parquet(path)
+    elif kind == "view":
+        base.write.parquet(path)
+        spark.read.parquet(path).createOrReplaceTempView("some_docs")
+        docs = spark.table("some_docs")
+    else:
+        write = base.write.option("escape", '"').option("quoteAll", True) if kind == "csv" else base.write
+        write.format(kind).save(path)
+        docs = spark.read.option("multiLine", kind == "csv").option("escape", '"').schema(base.schema).format(kind).load(path)
+    rows, names = common.numbered(docs)
+    assert rows.count() == rows.select(*names).distinct().count() == 65
+    labels, bench = table(spark, small, "labels"), table(spark, small, "benchmark")
+    assert 0 < toxicity.without_toxic(docs, labels).count() <= 65
+    assert 0 < simhash.keep_one(docs).count() <= 60
+    assert 0 < decontaminate.without_leaks(docs, bench).count() <= 65
+    assert 0 < mixing.mix_documents(docs).count() <= 130
+    assert tokens_out.op6_token_output(docs).count() == 65
+
+
 def test_one_id_with_a_third_of_all_rows(spark, monkeypatch):
     rows = [(7 if i % 3 == 0 else i, f"word{i % 5} " * (1 + i % 4), "s" if i % 2 else "t") for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
