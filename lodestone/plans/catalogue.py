@@ -374,10 +374,15 @@ def most_similar_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.nearest(met.select("q", "c", (F.col("o") / (F.col("q_n") + F.col("c_n") - F.col("o"))).alias("similarity")))
 
 
+def _by_role(grams: str) -> str:
+    """The same within each role."""
+    return grams.replace("AS id, ' '", "AS id, role, ' '", 1).replace("SELECT DISTINCT id, CASE", "SELECT DISTINCT id, role, CASE").replace("(SELECT id, s, unnest", "(SELECT id, role, s, unnest").replace("USING (gram)", "USING (gram, role)")
+
+
 def _sql_shadow() -> str:
     from lodestone.plans.services import sql_vectors
 
-    grams = _sql_grams("conv_id * 1000 + turn", "text", "conversations").replace("AS id, ' '", "AS id, role, ' '", 1).replace("SELECT DISTINCT id, CASE", "SELECT DISTINCT id, role, CASE").replace("(SELECT id, s, unnest", "(SELECT id, role, s, unnest").replace("USING (gram)", "USING (gram, role)")
+    grams = _by_role(_sql_grams("conv_id * 1000 + turn", "text", "conversations"))
     vectors_ = sql_vectors("role", "text", 8, "conversations", "conv_id * 1000 + turn AS id").replace("unhex(d", "unhex(d")
     return f"""WITH {grams}, b AS (SELECT * FROM j WHERE similarity >= 0.4 QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, c) = 1), {vectors_}, e AS (SELECT id, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS e FROM vectors),
 w AS (SELECT similarity, list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) AS cosine FROM b JOIN e x ON q = x.id JOIN e y ON c = y.id), t AS (SELECT unnest([0.4::DOUBLE, 0.5::DOUBLE, 0.6::DOUBLE]) AS threshold)
@@ -394,10 +399,29 @@ def shadow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swept.withColumns({c: F.round(c, 9) for c in ("mean_cosine", "min_cosine")})
 
 
-@query()
+def _sql_active(grams: str, threshold: float) -> str:
+    """Rows one by one in order of id: a row with a leader among its earlier neighbours is served, the others lead."""
+    return f"""WITH {grams}, n AS (SELECT q AS id, list(c) AS near FROM j WHERE similarity >= {threshold} GROUP BY q),
+f AS (SELECT list_reduce(list_prepend({{'id': CAST(0 AS BIGINT), 'near': CAST([] AS BIGINT[]), 'lead': (SELECT coalesce(list(id), []) FROM p WHERE id NOT IN (SELECT id FROM n))}}, list({{'id': id, 'near': near, 'lead': CAST([] AS BIGINT[])}} ORDER BY id)),
+lambda a, x: {{'id': x.id, 'near': x.near, 'lead': CASE WHEN len(list_intersect(a.lead, x.near)) = 0 THEN list_append(a.lead, x.id) ELSE a.lead END}}).lead AS lead FROM n),
+l AS (SELECT unnest(lead) AS id FROM f), s AS (SELECT q, c, similarity FROM j JOIN l ON j.c = l.id WHERE similarity >= {threshold} QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, CAST(c AS VARCHAR)) = 1)
+SELECT CAST(p.id AS VARCHAR) AS id, CAST(coalesce(s.c, p.id) AS VARCHAR) AS served_by, round(coalesce(s.similarity, 1.0), 9) AS similarity FROM p LEFT JOIN s ON s.q = p.id"""
+
+
+def _served(rows: DataFrame, threshold: float) -> DataFrame:
+    return similar.active(rows, threshold).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(_sql_active(_sql_grams("item_id", "text", "benchmark"), 0.3))
 def active_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("seq"), "text", F.lit("m").alias("model"))
-    return similar.active(rows, 0.3)
+    return _served(tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("seq"), "text"), 0.3)
+
+
+@query(_sql_active(_by_role(_sql_grams("conv_id * 1000 + turn", "text", "conversations")), 0.4))
+def active_semantic_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of all conversations in order, each role apart."""
+    rows = tables.conversation_items(spark, sf_dir).select(tables.turn_number(F.col("seq")).alias("id"), "seq", "text", "model")
+    return _served(rows, 0.4)
 
 
 # --- retrieval ----------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import cost
@@ -179,21 +181,52 @@ def test_evaluation_of_judged_queries(spark):
     assert r.queries == 2 and r.recall == 1.0 and abs(r.ndcg - (0.6309297535714575 + 1) / 2) < 1e-12
 
 
-def test_active_serving_matches_a_plain_loop(spark):
-    rng = random.Random(5)
-    texts = [" ".join(rng.choice(["red", "green", "blue", "cyan"]) for _ in range(rng.randrange(2, 6))) for _ in range(60)]
-    grams = lambda s: {f" {s} "[i : i + 3] for i in range(len(s))}
-    leaders, want = [], {}
-    for i, t in enumerate(texts):
-        best = max(((len(grams(t) & grams(texts[k])) / len(grams(t) | grams(texts[k])), -k) for k in leaders), default=(0, 0))
-        ties = [k for k in leaders if len(grams(t) & grams(texts[k])) / len(grams(t) | grams(texts[k])) == best[0]]
-        if ties and best[0] >= 0.7:
-            want[str(i)] = min(map(str, ties))
+def served_one_by_one(rows, threshold, most=0):
+    """rows (id, seq, model, text): the plain loop, in which a request's leaders are seen from the next one on."""
+    out, lead, waiting, now = [], {}, [], None
+    for i, seq, model, text in sorted(rows, key=lambda r: (r[1], str(r[0]))):
+        if seq != now:
+            for m, key, own in waiting:
+                if key not in lead.setdefault(m, {}) and (not most or len(lead[m]) < most):
+                    lead[m][key] = own
+            waiting, now = [], seq
+        padded = " " + " ".join(text.split()) + " "
+        own = {padded[k : k + 3] for k in range(len(padded) - 2)} or {padded}
+        found = [(-len(own & g) / len(own | g), k) for k, g in lead.get(model, {}).items() if len(own & g) / len(own | g) >= threshold]
+        if found:
+            best = min(found)
+            out.append((str(i), best[1], round(-best[0], 9)))
         else:
-            want[str(i)] = str(i)
-            leaders.append(i)
-    df = spark.createDataFrame([(i, i, t, "m") for i, t in enumerate(texts)], "id int, seq int, text string, model string")
-    assert {r.id: r.served_by for r in similar.active(df, 0.7).collect()} == want
+            out.append((str(i), str(i), 1.0))
+            waiting.append((model, str(i), own))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("width", "most"), [(1, 0), (4, 0), (3, 5), (1, 2)])
+def test_active_serving_matches_a_plain_loop(spark, width, most):
+    rng = random.Random(width * 7 + most)
+    texts = {k: " ".join(rng.choice(["red", "green", "blue", "cyan"]) for _ in range(rng.randrange(1, 6))) for k in range(70)}
+    order = [*texts, *rng.sample(sorted(texts), 25)]  # some come again
+    rows = [(i, k // width, "m" if i % 3 else "n", texts[i]) for k, i in enumerate(order)]
+    if width > 1:
+        rows = list({(r[0], r[1]): r for r in rows}.values())
+    df = spark.createDataFrame(rows, "id int, seq int, model string, text string")
+    got = sorted((r.id, r.served_by, round(r.similarity, 9)) for r in similar.active(df, 0.6, most_keys=most).collect())
+    assert got == served_one_by_one(rows, 0.6, most)
+
+
+def test_a_long_chain_of_leaders(spark):
+    """Each row is near the one before it only: every second row leads."""
+    chain = spark.range(1, 40).selectExpr("id AS q", "id - 1 AS c")
+    assert sorted(r.q for r in similar.leaders(chain).collect()) == list(range(1, 40, 2))
+
+
+def test_near_rows_that_agree_in_all_columns(spark):
+    text = "the lantern of the harbor is lit"
+    rows = [(0, "m", 256, text), (1, "m", None, text), (2, "m", 256, text + "!"), (3, "m", None, text), (4, None, None, text), (5, None, None, text), (6, "n", 256, text)]
+    df = spark.createDataFrame([(i, i, m, d, t) for i, m, d, t in rows], "id int, seq int, model string, dimensions int, text string")
+    assert {(r.q, r.c) for r in similar.pairs(df, 0.6, by=["model", "dimensions"]).collect()} == {(2, 0), (3, 1), (5, 4)}
+    assert {r.id: r.served_by for r in similar.active(df, 0.6, by=["model", "dimensions"]).collect()} == {"0": "0", "1": "1", "2": "0", "3": "1", "4": "4", "5": "4", "6": "6"}
 
 
 def test_trigrams_of_long_and_rare_texts(spark):
