@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
+
+from lodestone.operators.scan import places
+from lodestone.sources.shared import stored
 
 
 def vector(model: str, seed: str, dim: int) -> np.ndarray:
@@ -103,17 +105,9 @@ def sessions(spark: SparkSession, n: int, turns: int, repeat: float = 0.45, seed
 
 
 def edited_exactly(rows: DataFrame, id_: str, text: str, share: float, seed: int = 1) -> DataFrame:
-    """rows with exactly floor(share * n) of the texts edited at the end: those of the smallest hashes, ties by id. The bound is
-    found by counting hashes, so nothing is sorted whole."""
-    h = _hash(seed, F.col(id_))
-    ranked = rows.select(F.col(id_).alias("_i"), F.shiftrightunsigned(h, 44).alias("_bin"), h.alias("_h"))
-    wanted = int(rows.count() * share)
-    bins = ranked.groupBy("_bin").agg(F.count("*").alias("_n"))
-    upto = bins.withColumn("_upto", F.sum("_n").over(W.Window.orderBy("_bin")))  # at most 2 ** 20 rows
-    last = upto.where(F.col("_upto") >= wanted).orderBy("_bin").first() if wanted else None
-    if last is None:
-        return rows if not wanted else rows.withColumn(text, F.concat(F.col(text), F.lit(" edited")))
-    inside = ranked.where(F.col("_bin") == last["_bin"]).orderBy("_h", "_i").limit(wanted - (last["_upto"] - last["_n"]))
-    chosen = ranked.where(F.col("_bin") < last["_bin"]).select("_i").unionByName(inside.select("_i")).withColumn("_e", F.lit(True))
-    marked = rows.join(chosen, F.col(id_) == F.col("_i"), "left")
-    return marked.withColumn(text, F.when(F.col("_e"), F.concat(F.col(text), F.lit(" edited"))).otherwise(F.col(text))).drop("_i", "_e")
+    """rows with exactly floor(share * n) of the texts edited at the end: those of the smallest hashes of their id, ties by id and
+    text, so that rows of one id are counted one by one."""
+    columns = rows.columns
+    placed = places(stored(rows.withColumn("_h", _hash(seed, F.col(id_))), "workload"), [], ["_h", id_, text], "_nth")
+    wanted = int(placed.count() * share)
+    return placed.withColumn(text, F.when(F.col("_nth") < wanted, F.concat(F.col(text), F.lit(" edited"))).otherwise(F.col(text))).select(*columns)

@@ -66,18 +66,6 @@ def expiry(rows: DataFrame, ttl: float, key: str = "key", at: str = "t", seq: st
     return in_order(own, key, [at, seq], f"{key} string, seq long, hit boolean", start)
 
 
-def expiry_grouped(rows: DataFrame, ttl: float, key: str = "key", at: str = "t", seq: str = "seq") -> DataFrame:
-    """The same as a fold within the JVM over each key's collected times, for keys of few rows."""
-    start = F.struct(F.lit(None).cast("double").alias("since"), F.array().cast("array<struct<seq:bigint,hit:boolean>>").alias("out"))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(seq).cast("bigint").alias("seq"))))
-
-    def step(acc: Column, x: Column) -> Column:
-        hit = acc["since"].isNotNull() & (x["t"] <= acc["since"] + ttl)
-        return F.struct(F.when(hit, acc["since"]).otherwise(x["t"]).alias("since"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), hit.alias("hit")))).alias("out"))
-
-    return rows.groupBy(key).agg(F.aggregate(ordered, start, step, lambda acc: acc["out"]).alias("_o")).select(key, F.inline("_o"))
-
-
 def eviction(rows: DataFrame, most_entries: int = 0, most_bytes: int = 0, shards: int = 16, key: str = "key", size: str = "size", seq: str = "seq") -> DataFrame:
     """rows (key, size, seq) with hit, in a cache of shards that each evict their least recently used entries beyond a
     shard's part of the bounds (at least 1); the byte bound leaves one entry."""

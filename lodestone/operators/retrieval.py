@@ -1,4 +1,10 @@
-"""Vector retrieval and its evaluation: cosine ranking, nDCG, recall, ranking identity."""
+"""Vector retrieval and its evaluation: cosine ranking, nDCG, recall, ranking identity.
+
+Search is a join of blocks. Rows of the corpus are dealt to the nearest of PIVOTS of them, queries likewise, and packed into blocks of
+vectors that point alike, each with its mean direction and the largest angle to it. By the triangle inequality of angles, no row of
+a block is nearer to a query of another than the angle of the means less both spreads. Each block of queries first meets the
+corpus block of the nearest mean, which gives each query a score to beat, and then only the blocks that may hold a better one.
+Pairs of blocks are scored by matrix products, and a task passes on the best k that it has seen of each query."""
 
 from __future__ import annotations
 
@@ -10,67 +16,185 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-QUERY_BYTES = 64 << 20  # largest block of queries that is sent to every task
-SCORES = 1 << 20  # scores that a task holds at once
-
-
-def _block_scores(k: int, ids: np.ndarray, block: np.ndarray, others: bool):
-    """The best k rows of each batch of candidates for every query of a block, by cosine (0 where a norm is 0); without
-    the row of the query's own id if `others`."""
-    scale = np.linalg.norm(block, axis=1)
-    unit = np.divide(block, scale[:, None], out=np.zeros_like(block), where=scale[:, None] > 0)
-
+from lodestone.sources.shared import BROADCAST_BYTES, stored
+
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096  # vectors of a block
+PIVOTS = 64
+SALTS = 64  # tasks among which the rows that a block of queries meets are dealt, where blocks of queries are too many to send to all
+HELD = 64  # blocks of queries whose best rows a task remembers
+SLACK = 1e-9  # by which a bound may be wrong in floating point
+PACKED = "dim int, block long, mean array<double>, spread double, least double, ids binary, rows binary, floors binary"
+FOUND = "qid long, id long, score double"
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows at length 1; rows of length 0 stay."""
+    norms = np.linalg.norm(m, axis=1)
+    return np.divide(m, norms[:, None], out=np.zeros_like(m), where=norms[:, None] > 0)
+
+
+def _whole(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with a vector of numbers, as (id, v, dim)."""
+    return rows.where(F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())).select(F.col(key).cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.size("v").alias("dim"))
+
+
+def _pivots(rows: DataFrame) -> dict[int, np.ndarray]:
+    """For each dimension, the PIVOTS rows of the smallest hashes, found among those whose hash lies under a share of all."""
+    counts = [(r.dim, min(1 << 30, -(-(4 * PIVOTS << 30) // r["count"]))) for r in rows.groupBy("dim").count().collect()]  # a row for each dimension
+    if not counts:
+        return {}
+    least = F.broadcast(rows.sparkSession.createDataFrame(counts, "dim int, most long"))
+    found = rows.withColumn("_h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).join(least, "dim").where("_h < most").select("dim", "_h", "id", "v").collect()
+    out: dict[int, list] = {}
+    for r in sorted(found, key=lambda r: (r["_h"], r.id)):
+        out.setdefault(r.dim, []).append(r.v)
+    return {d: _unit(np.array(v[:PIVOTS], np.float64)) for d, v in out.items()}
+
+
+def _cells(pivots: dict[int, np.ndarray]):
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        """The pivot that a vector is nearest to; vectors without direction are nearest to none."""
+        out = np.full(len(v), -1, np.int32)
+        sizes = v.map(len).to_numpy() if len(v) else np.zeros(0)
+        for d, p in pivots.items():
+            own = np.flatnonzero(sizes == d)
+            if len(own):
+                m = np.array(v.iloc[own].tolist(), np.float64)
+                out[own] = np.where(np.abs(m).sum(axis=1) > 0, (_unit(m) @ p.T).argmax(axis=1), -1)
+        return pd.Series(out)
+
+    return nearest
+
+
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("id")
+    m = _unit(np.array(pdf["v"].tolist(), np.float64))
+    total = m.sum(axis=0)
+    size = np.linalg.norm(total)
+    mean = total / size if size > 0 else total
+    zero = (np.abs(m).sum(axis=1) == 0).any() or size == 0  # no angle bounds these
+    spread = np.pi if zero else float(np.arccos(np.clip(m @ mean, -1, 1)).max())
+    floors = pdf["floor"].fillna(-np.inf).to_numpy("<f8")
+    return pd.DataFrame([{"dim": int(pdf["dim"].iloc[0]), "block": int(pdf["block"].iloc[0]), "mean": mean.tolist(), "spread": spread, "least": float(floors.min()), "ids": pdf["id"].to_numpy("<i8").tobytes(), "rows": m.astype("<f8").tobytes(), "floors": floors.tobytes()}])
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """rows (id, v, dim, cell, floor) as blocks of about `size` vectors of one cell."""
+    counts = {(r.dim, r.cell): -(-r.n // size) for r in rows.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}  # PIVOTS rows for each dimension
+    if not counts:
+        return rows.sparkSession.createDataFrame([], PACKED)
+    spark = rows.sparkSession
+    base, first = 0, []
+    for (dim, cell), n in sorted(counts.items()):
+        first.append((dim, cell, base, n))
+        base += n
+    parts = spark.createDataFrame(first, "dim int, cell int, first long, parts long")
+    placed = rows.join(F.broadcast(parts), ["dim", "cell"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("id", F.lit("block")), "parts"))
+    return placed.select("dim", "block", "id", "v", "floor").groupBy("dim", "block").applyInPandas(lambda pdf: _pack(pdf), PACKED)
+
+
+class _Best:
+    """The best k rows of each query of a block, by score at 12 digits, then id."""
+
+    def __init__(self, ids: np.ndarray, floors: np.ndarray, k: int) -> None:
+        self.ids, self.k, self.floor = ids, k, floors.copy()
+        self.parts: list[list] = [[] for _ in ids]
+        self.waiting = np.zeros(len(ids), np.int64)
+
+    def settle(self, q: int) -> tuple:
+        own, score, by = (np.concatenate(x) for x in zip(*self.parts[q], strict=True))
+        best = np.lexsort((own, -by))[: self.k]
+        self.parts[q], self.waiting[q] = [(own[best], score[best], by[best])], len(best)
+        if len(best) == self.k:
+            self.floor[q] = max(self.floor[q], by[best[-1]])
+        return self.parts[q][0]
+
+    def meet(self, unit: np.ndarray, ids: np.ndarray, rows: np.ndarray, others: bool) -> None:
+        scores = unit @ rows.T
+        by = np.round(scores, 12)
+        if others:
+            by[self.ids[:, None] == ids] = -np.inf
+        cut = np.maximum(self.floor, np.partition(by, by.shape[1] - self.k, axis=1)[:, -self.k] if by.shape[1] > self.k else -np.inf)
+        hits = (by >= cut[:, None]) & (by > -np.inf)
+        for q in np.flatnonzero(hits.any(axis=1)):
+            at = np.flatnonzero(hits[q])
+            self.parts[q].append((ids[at], scores[q, at], by[q, at]))
+            self.waiting[q] += len(at)
+            if self.waiting[q] >= 4 * self.k:
+                self.settle(q)
+
+    def rows(self) -> pd.DataFrame:
+        found = [(q, self.settle(q)) for q in range(len(self.ids)) if self.parts[q]]
+        if not found:
+            return pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        return pd.DataFrame({"qid": np.repeat(self.ids[[q for q, _ in found]], [len(f[0]) for _, f in found]), "id": np.concatenate([f[0] for _, f in found]), "score": np.concatenate([f[1] for _, f in found])})
+
+
+def _searcher(k: int, others: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame({"qid": [], "id": [], "score": [], "by": []})
+        """Rows are pairs of a block of queries and one of the corpus."""
+        held: dict[tuple, tuple] = {}
         for pdf in batches:
-            pdf = pdf[[v is not None and len(v) == block.shape[1] for v in pdf["v"]]]
-            if not len(pdf):
-                continue
-            m = np.array(pdf["v"].tolist(), np.float64)
-            norms = np.linalg.norm(m, axis=1)
-            m = np.divide(m, norms[:, None], out=np.zeros_like(m), where=norms[:, None] > 0).T
-            own = pdf["id"].to_numpy()
-            found = [best]
-            step = max(1, SCORES // len(own))
-            for at in range(0, len(ids), step):
-                qids, scores = ids[at : at + step], unit[at : at + step] @ m
-                by = np.round(scores, 12)
-                if others:
-                    by[qids[:, None] == own] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, by.shape), -by), axis=1)[:, :k]
-                some = pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel(), "by": np.take_along_axis(by, order, 1).ravel()})
-                found.append(some[some["by"] > -np.inf])
-            best = pd.concat(found).sort_values(["qid", "by", "id"], ascending=[True, False, True]).groupby("qid").head(k)
-        if len(best):
-            yield best.drop(columns="by").astype({"qid": "int64", "id": "int64"})
+            for r in pdf.itertuples(index=False):
+                key = (r.dim, r.q_block)
+                if key not in held:
+                    if len(held) == HELD:
+                        yield held.pop(next(iter(held)))[1].rows()
+                    ids = np.frombuffer(r.q_ids, "<i8")
+                    held[key] = (np.frombuffer(r.q_rows, "<f8").reshape(len(ids), -1), _Best(ids, np.frombuffer(r.q_floors, "<f8"), k))
+                unit, best = held[key]
+                own = np.frombuffer(r.ids, "<i8")
+                best.meet(unit, own, np.frombuffer(r.rows, "<f8").reshape(len(own), -1), others)
+        for _, best in held.values():
+            yield best.rows()
 
     return run
 
 
+def _meet(pairs: DataFrame, blocks: DataFrame, asked: DataFrame, k: int, others: bool) -> DataFrame:
+    """The best of each query among the pairs (dim, block, q_block) of blocks."""
+    q = asked.select(F.col("dim").alias("q_dim"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("floors").alias("q_floors"))
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("rows") + F.octet_length("ids") + F.octet_length("floors")), F.lit(0))).first()[0]
+    lists = pairs.groupBy("dim", "block").agg(F.collect_list("q_block").alias("q_blocks"))  # numbers of blocks
+    met = blocks.select("dim", "block", "ids", "rows").join(lists, ["dim", "block"])
+    if size <= BROADCAST_BYTES:
+        met = met.withColumn("q_block", F.explode("q_blocks")).join(F.broadcast(q.drop("q_dim")), "q_block")
+    else:
+        q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = met.withColumn("salt", F.pmod(F.col("block"), F.lit(SALTS)).cast("int")).withColumn("q_block", F.explode("q_blocks")).join(q.drop("q_dim"), ["q_block", "salt"])
+    return met.select("dim", "ids", "rows", "q_block", "q_ids", "q_rows", "q_floors").mapInPandas(_searcher(k, others), FOUND)
+
+
 def rank(queries: DataFrame, corpus: DataFrame, k: int, others: bool = False) -> DataFrame:
-    """(qid, id, score, rank): the k best rows (id, v) of the corpus for each query (qid, v), score falling, then id; null
-    vectors and those of another dimension are skipped, and with `others` the row whose id is the query's own. Queries go to
-    the corpus in blocks of a fixed size, each a pass."""
-    first = queries.where(F.col("v").isNotNull()).select("qid", "v")
-    dim_row = first.select(F.size("v").alias("d")).first()
-    if dim_row is None:
-        return corpus.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
-    dim = dim_row.d
-    held = first.where(F.size("v") == dim).orderBy("qid").toLocalIterator(prefetchPartitions=True)
-    per_block = max(1, QUERY_BYTES // (8 * max(dim, 4 * k)))  # a task also holds k rows of four numbers for each query
-    found, ids, block = None, [], []
-
-    def meet() -> DataFrame:
-        run = _block_scores(k, np.array(ids), np.array(block, np.float64), others)
-        return corpus.select(F.col("id").cast("long").alias("id"), "v").mapInPandas(run, "qid long, id long, score double")
-
-    for r in held:
-        ids.append(r.qid)
-        block.append(np.array(r.v, np.float64))
-        if len(ids) == per_block:
-            found, ids, block = meet() if found is None else found.unionByName(meet()), [], []
-    if ids:
-        found = meet() if found is None else found.unionByName(meet())
+    """(qid, id, score, rank): the k best rows (id, v) of the corpus for each query (qid, v) by cosine, score falling, then id; the
+    cosine with a vector of length 0 is 0. Null vectors, those that hold nulls, and rows of another dimension than the query's
+    are skipped, and with `others` the row whose id is the query's own. Ids of queries are distinct."""
+    rows, asked = stored(_whole(corpus, "id"), "search-rows"), stored(_whole(queries, "qid"), "search-queries")
+    cells = _cells(_pivots(rows))
+    of = lambda df: df.withColumn("cell", cells("v")).withColumn("floor", F.lit(None).cast("double"))
+    blocks = stored(_packed(of(rows), ROW_BLOCK), "search-blocks")
+    celled = stored(of(asked), "search-cells")
+    first = stored(_packed(celled, QUERY_BLOCK), "search-asked")
+
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(F.zip_with("mean", "q_mean", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))))
+    means = blocks.select("dim", "block", "mean", "spread", (F.octet_length("ids") / 8).alias("n"))
+
+    def grid(asked_blocks: DataFrame) -> DataFrame:
+        """All pairs of blocks of one dimension, by their means, with the highest cosine that they may hold."""
+        q = asked_blocks.select("dim", F.col("block").alias("q_block"), F.col("mean").alias("q_mean"), F.col("spread").alias("q_spread"), "least")
+        gap = F.greatest(F.lit(0.0), F.col("angle") - F.col("spread") - F.col("q_spread") - SLACK)
+        bound = F.when((F.col("spread") >= np.pi) | (F.col("q_spread") >= np.pi), 1.0).otherwise(F.cos(gap))
+        return means.join(q, "dim").withColumn("angle", angle).withColumn("bound", bound)
+
+    near = grid(first).groupBy("dim", "q_block").agg(F.min_by("block", F.struct((F.col("n") < k + 1).cast("int"), "angle", "block")).alias("block"))
+    near = stored(near, "search-first")
+    start = stored(_meet(near, blocks, first, k, others), "search-start")
+    floors = start.groupBy("qid").agg(F.sort_array(F.collect_list(F.round("score", 12)), asc=False).alias("s"))  # at most k of a task, and a query lies in one
+    floors = floors.select(F.col("qid").alias("id"), (F.get("s", F.lit(k - 1)) - SLACK).alias("floor"))
+    known = stored(_packed(celled.drop("floor").join(floors, "id", "left").select(*celled.columns), QUERY_BLOCK), "search-known")
+    rest = grid(known).where(F.col("bound") >= F.col("least") - SLACK).join(near, ["dim", "q_block", "block"], "left_anti")
+    found = start.unionByName(_meet(rest.select("dim", "block", "q_block"), blocks, known, k, others))
     order = W.Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -126,6 +250,16 @@ def labelled_recall(ranking: DataFrame, labels: DataFrame, k: int = 100) -> Data
     return _labelled(ranking, labels, k).select("qid", F.when(F.col("all") > 0, F.col("found") / F.col("all")).otherwise(0.0).alias("recall"))
 
 
+def evaluate_labelled(ranking: DataFrame, labels: DataFrame, k_ndcg: int = 10, k_recall: int = 100) -> DataFrame:
+    """evaluate() where the rows (id, label) of a query's own label are relevant; of rows that also have `judged`, queries
+    where it is false do not count, nor do those whose label is theirs alone."""
+    alone = labels.groupBy("label").count().where("count > 1").select("label")
+    counted = labels.where("judged") if "judged" in labels.columns else labels
+    counted = counted.join(alone, "label", "left_semi").select(F.col("id").alias("qid"))
+    rows = labelled_ndcg(ranking, labels, k_ndcg).join(labelled_recall(ranking, labels, k_recall), "qid").join(counted, "qid", "left_semi")
+    return rows.agg(F.count("*").alias("queries"), F.avg("ndcg").alias("ndcg"), F.avg("recall").alias("recall"))
+
+
 def evaluate(ranking: DataFrame, qrels: DataFrame, k_ndcg: int = 10, k_recall: int = 100) -> DataFrame:
     """Means over the ranked queries that have judgements."""
     has = qrels.select(F.col("query_id").alias("qid")).distinct()

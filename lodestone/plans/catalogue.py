@@ -103,13 +103,7 @@ def apportion_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- request logs -------------------------------------------------------------------------------------------
 
-_LOG = """log AS (SELECT doc_id AS seq, left(text, 200) AS head, 'embed-' || lang AS model, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE doc_id % 4 END AS shape FROM documents)"""
-
-
-@query(f"""WITH {_LOG}, r AS (SELECT seq, model, unnest(CASE WHEN shape IN (0, 2) THEN [{{'pos': 0, 'text': head}}] ELSE [{{'pos': 0, 'text': head}}, {{'pos': 1, 'text': 'same'}}] END) AS i FROM log WHERE shape IS NOT NULL)
-SELECT seq, i.pos AS pos, model, {_filled(_KEY, model='model', text='i.text')} AS key FROM r""")
-def envelope_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _envelope_items(tables.request_log(spark, sf_dir, 200))
+_LOG = """log AS (SELECT doc_id AS seq, text AS head, 'embed-' || lang AS model, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE doc_id % 4 END AS shape FROM documents)"""
 
 
 def _envelope_items(log: DataFrame) -> DataFrame:
@@ -117,26 +111,13 @@ def _envelope_items(log: DataFrame) -> DataFrame:
     return requests.items(found).select("seq", "pos", "model", identity.text_key(F.col("model"), F.col("text")).alias("key"))
 
 
-# The log with whole texts. The queries on the first 200 characters keep the subset that their SQL names.
-
-_LOG_ALL = _LOG.replace("left(text, 200)", "text")
-
-
-@query(ORACLE["envelope_items"].replace(_LOG, _LOG_ALL))
+@query(f"""WITH {_LOG}, r AS (SELECT seq, model, unnest(CASE WHEN shape IN (0, 2) THEN [{{'pos': 0, 'text': head}}] ELSE [{{'pos': 0, 'text': head}}, {{'pos': 1, 'text': 'same'}}] END) AS i FROM log WHERE shape IS NOT NULL)
+SELECT seq, i.pos AS pos, model, {_filled(_KEY, model='model', text='i.text')} AS key FROM r""")
 def envelope_items_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _envelope_items(tables.request_log(spark, sf_dir))
 
 
-@query(f"WITH {_LOG} SELECT seq, CASE WHEN shape IS NULL OR shape = 1 THEN 400 ELSE 200 END AS status, CAST(CASE WHEN shape IS NULL THEN 0 WHEN shape IN (0, 2) THEN 1 ELSE 2 END AS INTEGER) AS n_items FROM log WHERE shape IS NULL OR shape < 3")
-def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = tables.request_log(spark, sf_dir, 200).where("seq % 10 = 9 OR seq % 4 < 3").withColumn("request", requests.enveloped(F.col("value")))
-    return requests.status(log, most_items=1).select("seq", "status", F.coalesce("n_items", F.lit(0)).alias("n_items"))
-
-
-# Every line of the log, also those with a deeply nested request, which request_status leaves out as its SQL does.
-
-
-@query(ORACLE["request_status"].replace(_LOG, _LOG_ALL).replace("shape = 1", "shape IN (1, 3)").replace(" WHERE shape IS NULL OR shape < 3", ""))
+@query(f"WITH {_LOG} SELECT seq, CASE WHEN shape IS NULL OR shape IN (1, 3) THEN 400 ELSE 200 END AS status, CAST(CASE WHEN shape IS NULL THEN 0 WHEN shape IN (0, 2) THEN 1 ELSE 2 END AS INTEGER) AS n_items FROM log")
 def request_status_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = requests.extract(tables.request_log(spark, sf_dir))
     return requests.status(log, most_items=1).select("seq", "status", F.coalesce("n_items", F.lit(0)).alias("n_items"))
@@ -426,29 +407,26 @@ def active_semantic_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- retrieval ----------------------------------------------------------------------------------------------
 
+# Every hundredth row is a query, against all rows but its own.
 _COS = """v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.id AS qid, c.id, q.label = c.label AS same, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score
-FROM v q JOIN v c ON q.id < 20 AND c.id >= 20), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rank FROM s)"""
+FROM v q JOIN v c ON q.id % 100 = 0 AND c.id <> q.id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rank FROM s)"""
 
 
-def _ranked(spark: SparkSession, sf_dir: str, k: int, whole: bool = False) -> DataFrame:
-    v = tables.vectors(spark, sf_dir)
-    queries, corpus = ("id % 100 = 0", "true") if whole else ("id < 20", "id >= 20")
-    return retrieval.rank(v.where(queries).select(F.col("id").alias("qid"), "v"), v.where(corpus).select("id", "v"), k, others=whole)
+def _search(v: DataFrame, k: int) -> DataFrame:
+    return retrieval.rank(v.where("id % 100 = 0").select(F.col("id").alias("qid"), "v"), v.select("id", "v"), k, others=True)
 
 
-def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = tables.vectors(spark, sf_dir)
-    q, c = v.where("id < 20").select(F.col("id").alias("query_id"), "label"), v.where("id >= 20").select(F.col("id").alias("doc_id"), "label")
-    return q.join(c, "label").select("query_id", "doc_id", F.lit(1).alias("relevance"))
+def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return _search(tables.vectors(spark, sf_dir), k)
 
 
 @query(f"WITH {_COS} SELECT qid, id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
-def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, 10).select("qid", "id", F.round("score", 9).alias("score"), "rank")
 
 
 @query(f"WITH {_COS} SELECT qid, id, round(score, 9) AS score FROM r WHERE rank = 1")
-def cosine_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cosine_argmax_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.argmax(_ranked(spark, sf_dir, 1)).select("qid", "id", F.round("score", 9).alias("score"))
 
 
@@ -457,53 +435,25 @@ _IDEAL = "i AS (SELECT qid, count(*) AS n FROM s WHERE same GROUP BY qid)"
 
 @query(f"""WITH {_COS}, {_IDEAL}, d AS (SELECT qid, sum(CASE WHEN same THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM r WHERE rank <= 10 GROUP BY qid)
 SELECT qid, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda k: 1 / log2(k + 1))), 0), 9) AS ndcg FROM d LEFT JOIN i USING (qid)""")
-def ndcg_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.ndcg(_ranked(spark, sf_dir, 100), _qrels(spark, sf_dir), 10).select("qid", F.round("ndcg", 9).alias("ndcg"))
+def ndcg_at_10_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.labelled_ndcg(_ranked(spark, sf_dir, 100), tables.vectors(spark, sf_dir), 10).select("qid", F.round("ndcg", 9).alias("ndcg"))
 
 
 @query(f"WITH {_COS}, {_IDEAL} SELECT qid, round(coalesce(count(*) FILTER (WHERE same) / any_value(n), 0), 9) AS recall FROM r LEFT JOIN i USING (qid) WHERE rank <= 100 GROUP BY qid")
-def recall_at_100(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.recall(_ranked(spark, sf_dir, 100), _qrels(spark, sf_dir), 100).select("qid", F.round("recall", 9).alias("recall"))
-
-
-@query(f"WITH {_COS} SELECT count(*) AS places, CAST(0 AS BIGINT) AS different FROM r WHERE rank <= 10")
-def ranking_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.same_ranking(_ranked(spark, sf_dir, 10), _ranked(spark, sf_dir, 50), 10)
-
-
-# The whole search: every hundredth row as a query, against all rows but its own. The five queries above keep the subset
-# that their SQL names.
-
-_COS_ALL = _COS.replace("q.id < 20 AND c.id >= 20", "q.id % 100 = 0 AND c.id <> q.id")
-
-
-def _whole_sql(name: str) -> str:
-    return ORACLE[name].replace(_COS, _COS_ALL)
-
-
-@query(_whole_sql("cosine_topk"))
-def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir, 10, True).select("qid", "id", F.round("score", 9).alias("score"), "rank")
-
-
-@query(_whole_sql("cosine_argmax"))
-def cosine_argmax_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.argmax(_ranked(spark, sf_dir, 1, True)).select("qid", "id", F.round("score", 9).alias("score"))
-
-
-@query(_whole_sql("ndcg_at_10"))
-def ndcg_at_10_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.labelled_ndcg(_ranked(spark, sf_dir, 100, True), tables.vectors(spark, sf_dir), 10).select("qid", F.round("ndcg", 9).alias("ndcg"))
+def recall_at_100_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.labelled_recall(_ranked(spark, sf_dir, 100), tables.vectors(spark, sf_dir), 100).select("qid", F.round("recall", 9).alias("recall"))
 
 
-@query(_whole_sql("recall_at_100"))
-def recall_at_100_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.labelled_recall(_ranked(spark, sf_dir, 100, True), tables.vectors(spark, sf_dir), 100).select("qid", F.round("recall", 9).alias("recall"))
+_COARSE = _COS.replace("CAST(embedding AS DOUBLE[]) AS e", "list_transform(embedding, lambda x: floor(4 * CAST(x AS DOUBLE))) AS e")
 
 
-@query(_whole_sql("ranking_identity"))
+@query(f"""WITH a AS (WITH {_COS} SELECT qid, rank, id FROM r WHERE rank <= 10), b AS (WITH {_COARSE} SELECT qid, rank, id FROM r WHERE rank <= 10)
+SELECT count(*) AS places, count(*) FILTER (WHERE a.id IS DISTINCT FROM b.id) AS different FROM a FULL JOIN b USING (qid, rank)""")
 def ranking_identity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.same_ranking(_ranked(spark, sf_dir, 10, True), _ranked(spark, sf_dir, 50, True), 10)
+    """Places that change when vectors are rounded to quarters."""
+    v = tables.vectors(spark, sf_dir)
+    coarse = v.withColumn("v", F.transform("v", lambda x: F.floor(4 * x).cast("double")))
+    return retrieval.same_ranking(_search(v, 10), _search(coarse, 10), 10)
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

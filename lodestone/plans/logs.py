@@ -103,6 +103,16 @@ def request_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again
 
 
+@query("SELECT event_id AS seq, 'p\"' || event_type || '\\' || chr(10) || user_id AS name, '\"' || replace(props, '\"', '\\\"') || '\"' AS value FROM events")
+def parameter_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters with quotes, backslashes and line breaks in their names, written as requests and read again."""
+    name = F.concat(F.lit('p"'), "event_type", F.lit("\\\n"), F.col("user_id").cast("string"))
+    value = F.regexp_replace(F.to_json(F.array("props")), r"^\[|\]$", "")
+    rows = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.lit("m").alias("model"), F.lit('"x"').alias("input"), F.lit(None).cast("int").alias("dimensions"), F.lit("").alias("encoding_format"), F.lit("").alias("user"), F.create_map(name, value).alias("params"))
+    lines = rows.select("seq", requests.encode_request("model", "input", "dimensions", "encoding_format", "user", "params").alias("value"))
+    return analyze.parsed(lines).select("seq", F.explode("params").alias("name", "value"))
+
+
 @query(f"WITH {_ITEMS} SELECT seq // 16 AS batch, '[' || string_agg('\"' || replace(preview, '\"', '\\\"') || '\"', ',' ORDER BY seq, pos) || ']' AS input FROM items WHERE preview NOT LIKE '<%' GROUP BY ALL")
 def encoded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = requests.items(_parsed(spark, sf_dir)).where("NOT is_tokens").select(F.expr("seq div 16").alias("batch"), F.struct("seq", "pos").alias("at"), "text")

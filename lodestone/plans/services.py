@@ -135,15 +135,15 @@ def key_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(files.keys_from_list(spark, " three, ,four,").select(F.lit("list").alias("origin"), "key"))
 
 
-@query("""WITH c AS (SELECT doc_id, trim(coalesce(source, '') || '. ' || replace(left(text, 80), chr(10), ' ')) AS t FROM documents), q AS (SELECT item_id, replace(left(text, 40), chr(10), ' ') AS t FROM benchmark)
+@query("""WITH c AS (SELECT doc_id, trim(coalesce(source, '') || '. ' || replace(text, chr(10), ' ')) AS t FROM documents), q AS (SELECT item_id, replace(text, chr(10), ' ') AS t FROM benchmark)
 SELECT 'corpus' AS kind, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM c UNION ALL SELECT 'first ten', 10, CAST(sum(length(t)) AS BIGINT) FROM (SELECT t FROM c ORDER BY CAST(doc_id AS VARCHAR) LIMIT 10)
 UNION ALL SELECT 'queries', count(*), CAST(sum(length(t)) AS BIGINT) FROM q UNION ALL SELECT 'qrels', count(*), CAST(sum(quality) AS BIGINT) FROM labels WHERE quality IS NOT NULL""")
 def collection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A retrieval collection written as its files and read again."""
     base = _scratch(spark, "collection")
-    flat = lambda c, n: F.replace(F.left(c, F.lit(n)), F.lit("\n"), F.lit(" "))
-    tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.coalesce("source", F.lit("")).alias("title"), flat("text", 80).alias("text")).write.json(f"{base}/corpus")
-    tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("_id"), flat("text", 40).alias("text")).write.json(f"{base}/queries")
+    flat = lambda c: F.replace(c, F.lit("\n"), F.lit(" "))
+    tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.coalesce("source", F.lit("")).alias("title"), flat("text").alias("text")).write.json(f"{base}/corpus")
+    tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("_id"), flat("text").alias("text")).write.json(f"{base}/queries")
     qrels = tables.table(spark, sf_dir, "labels").where("quality IS NOT NULL").select((F.col("doc_id") % 7).alias("query-id"), F.col("doc_id").alias("corpus-id"), F.col("quality").alias("score"))
     qrels.write.option("sep", "\t").option("header", True).csv(f"{base}/qrels")
     size = lambda kind, df, c: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(c).cast("long").alias("chars"))
@@ -376,9 +376,8 @@ def evaluate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over the judged queries; every third query has no judgements and does not count."""
     v = tables.vectors(spark, sf_dir)
     ranked = retrieval.rank(v.where("id % 100 = 0").select(F.col("id").alias("qid"), "v"), v.select("id", "v"), 100, others=True)
-    q, c = v.where("id % 100 = 0 AND id % 300 <> 0").select(F.col("id").alias("query_id"), "label"), v.select(F.col("id").alias("doc_id"), "label")
-    qrels = q.join(c, "label").where("query_id <> doc_id").select("query_id", "doc_id", F.lit(1).alias("relevance"))
-    whole = retrieval.evaluate(ranked, qrels)
+    judged = v.select(F.col("id"), "label").withColumn("judged", F.col("id") % 300 != 0)
+    whole = retrieval.evaluate_labelled(ranked, judged)
     return whole.select("queries", F.round("ndcg", 9).alias("ndcg"), F.round("recall", 9).alias("recall"))
 
 

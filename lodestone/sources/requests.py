@@ -38,8 +38,9 @@ def write_log(requests: DataFrame, path: str) -> None:
 
 
 def encode_request(model: str, input_: str, dimensions: str, encoding: str, user: str, params: str) -> Column:
-    """A request as JSON text: keys in order, raw input and parameters, zero-valued optional fields left out."""
-    quoted = lambda c: F.regexp_replace(F.to_json(F.array(F.col(c))), r"^\[|\]$", "")
+    """A request as JSON text: keys in order, names quoted, raw input and parameters, zero-valued optional fields left out."""
+    text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    quoted = lambda c: text(F.col(c))
     own = F.map_from_entries(
         F.filter(
             F.array(
@@ -53,7 +54,7 @@ def encode_request(model: str, input_: str, dimensions: str, encoding: str, user
         )
     )
     every = F.array_sort(F.map_entries(F.map_concat(own, F.coalesce(F.col(params), F.expr("map()").cast("map<string,string>")))))
-    body = F.array_join(F.transform(every, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
+    body = F.array_join(F.transform(every, lambda e: F.concat(text(e["key"]), F.lit(":"), e["value"])), ",")
     return F.concat(F.lit("{"), body, F.lit("}"))
 
 

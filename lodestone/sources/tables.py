@@ -16,6 +16,11 @@ def spread(rows: DataFrame) -> DataFrame:
     """A scan's rows, dealt out to all tasks where its files fill fewer than there are slots (as a file of one row group fills
     one), so that work on each row uses them all. Large inputs are left where they lie."""
     slots = rows.sparkSession.sparkContext.defaultParallelism
+    plan = rows._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.nodeName() != "LogicalRelation":
+        return rows  # asking for its partitions would run its shuffles
     if rows._jdf.queryExecution().toRdd().getNumPartitions() > 4 * slots:
         return rows
     full = rows.select(F.spark_partition_id().alias("part")).distinct().count()
@@ -48,11 +53,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
 
 
-def request_log(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """seq and value: documents as log lines in four envelopes by seq, and junk for every tenth. Whole texts, or their first
-    `most` characters."""
-    head = F.col("text") if most is None else F.substring("text", 1, most)
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", head.alias("head"))
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq and value: documents as log lines in four envelopes by seq, and junk for every tenth."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.col("text").alias("head"))
     body = F.to_json(F.struct(F.concat(F.lit("embed-"), "lang").alias("model"), F.array("head", F.lit("same")).alias("input")))
     single = F.to_json(F.struct(F.concat(F.lit("embed-"), "lang").alias("model"), F.col("head").alias("input")))
     shapes = (

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,18 +63,17 @@ def test_budget_gate_spreads_one_caller(spark):
     assert len(gated.columns) == len(df.columns) + 3
 
 
-def test_expiry_forms_agree(spark):
+def test_expiry_matches_a_plain_loop(spark):
     rng = random.Random(6)
     rows = [(rng.choice("abc"), float(t), t) for t in range(200)]
     df = spark.createDataFrame(rows, "key string, t double, seq long")
     a = {r.seq: r.hit for r in replay.expiry(df, 7.0).collect()}
-    b = {r.seq: r.hit for r in replay.expiry_grouped(df, 7.0).collect()}
     since, want = {}, {}
     for k, t, s in rows:
         want[s] = k in since and t <= since[k] + 7
         if not want[s]:
             since[k] = t
-    assert a == b == want
+    assert a == want
 
 
 def test_eviction_bounds(spark):
@@ -172,6 +172,37 @@ def test_search_sets_every_hundredth_row_against_all_others(spark, small):
     assert {(r.qid, r.id) for r in got} == {(q, i) for q in range(5) for i in range(5) if q != i}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_search_in_many_blocks(spark, monkeypatch, broadcast):
+    """Rows that point alike, copies, rows of length 0, other dimensions and rows without a vector, against a plain search."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 16)
+    monkeypatch.setattr(retrieval, "PIVOTS", 6)
+    if not broadcast:
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(9, 6))
+    v = [(centers[i % 9] + 0.05 * rng.normal(size=6)).tolist() for i in range(500)]
+    v += [v[3]] * 40 + [[0.0] * 6] * 3 + [[1.0, 2.0], [2.0, 1.0], [1.0, None], [], None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id long, v array<double>")
+    got = retrieval.rank(rows.where("id % 5 = 0 OR id >= 538").select(F.col("id").alias("qid"), "v"), rows, 7, others=True).collect()
+    whole = [(i, x) for i, x in enumerate(v) if x and None not in x]
+    unit = {i: np.array(x) / (np.linalg.norm(x) or 1) for i, x in whole}
+    want = []
+    for q in (i for i, _ in whole if i % 5 == 0 or i >= 538):
+        near = sorted((-round(float(unit[q] @ unit[i]), 12) or 0.0, i) for i in unit if i != q and len(unit[i]) == len(unit[q]))[:7]
+        want += [(q, k + 1, i) for k, (_, i) in enumerate(near)]
+    assert sorted((r.qid, r["rank"], r.id) for r in got) == sorted(want)
+
+
+def test_search_without_rows(spark):
+    none = spark.createDataFrame([], "id long, v array<double>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
+    for q, c in ((none, one), (one, none), (none, none)):
+        assert retrieval.rank(q.withColumnRenamed("id", "qid"), c, 3).columns == ["qid", "id", "score", "rank"]
+        assert retrieval.rank(q.withColumnRenamed("id", "qid"), c, 3).count() == 0
+
+
 def plain_cuts(data, least, average, most):
     import hashlib
 

@@ -100,6 +100,15 @@ def test_encode_request(spark):
     assert out == '{"input":["a"],"input_type":"query","model":"m","user":"u"}'
 
 
+def test_odd_names_of_parameters(spark):
+    odd = {'a"b': "1", "c\\d": "[2]", "tab\t\n\x01": '"x"', "é漢": "null", "": "true"}
+    df = spark.createDataFrame([("m", '"x"', None, None, None, odd)], "model string, input string, dimensions int, encoding_format string, user string, params map<string,string>")
+    line = df.select(requests.encode_request("model", "input", "dimensions", "encoding_format", "user", "params").alias("value"))
+    assert json.loads(line.first().value) == {k: json.loads(v) for k, v in odd.items()} | {"model": "m", "input": "x"}
+    again = requests.parse(requests.extract(line), line="value").first()
+    assert again.params == odd and again.model == "m"
+
+
 def log_of(spark, folder, texts):
     docs = [(i, t, "en") for i, t in texts.items()]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")

@@ -240,3 +240,14 @@ def test_trigrams_of_long_and_rare_texts(spark):
         assert sorted(rows[0].g) == sorted([" a😀", "a😀b", "😀b "]) and rows[1].g == ["  "]
         padded = f" {long_text} "
         assert set(rows[2].g) == {padded[i : i + 3] for i in range(len(padded) - 2)}
+
+
+def test_exact_edits_with_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, None)] * 3, "id int, text string")
+    for share in (0.0, 0.1, 0.5, 0.9, 1.0):
+        got = mock.edited_exactly(rows, "id", "text", share, 3).collect()
+        edited = [r for r in got if (r.text or "").endswith(" edited")]
+        assert len(got) == 18 and int(18 * share) - 3 <= len(edited) <= int(18 * share)
+        if share < 0.9:
+            whole = mock.edited_exactly(rows.na.fill({"text": "d"}), "id", "text", share, 3).where("text LIKE '% edited'").count()
+            assert whole == int(18 * share)
