@@ -84,7 +84,7 @@ def write_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         stream = live.table_stream(spark, f"{sf_dir}/events.parquet").select(F.col("event_type").alias("model"), F.col("props").alias("text"))
         live.append_new(ledger.keyed(stream).select("key", "model"), path, _scratch(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(path).groupBy("key").agg(F.count("*").alias("n"))
+    return live.tier(spark, path).groupBy("key").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_EVENTS}, f AS (SELECT *, CAST((SELECT count(*) FROM range(500, 1000000000, 1000) r(x) WHERE x < seq AND x < 100000) AS INTEGER) AS epoch FROM items) SELECT seq, epoch, row_number() OVER (PARTITION BY epoch, key ORDER BY seq) > 1 AS hit FROM f""".replace("(SELECT count(*) FROM range(500, 1000000000, 1000) r(x) WHERE x < seq AND x < 100000)", "greatest(0, least((seq - 501 + 1000) // 1000, 100))"))
@@ -104,7 +104,7 @@ def stream_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = live.table_stream(spark, f"{sf_dir}/events.parquet").select(F.col("event_type").alias("model"), F.col("props").alias("text"))
         entries = ledger.keyed(stream).select("key", F.encode("key", "utf-8").alias("raw"), F.col("est_tokens").alias("tokens"), F.lit(0).cast("long").alias("expires_at"))
         live.snapshots(entries, path, _scratch(spark, "checkpoint")).awaitTermination()
-    return files.read_snapshot(spark, path).select("key", "tokens")
+    return live.tier(spark, path).select("key", "tokens")
 
 
 # --- reference files ----------------------------------------------------------------------------------------

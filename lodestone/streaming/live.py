@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.cost import cost
 from lodestone.sources import files
-from lodestone.sources.shared import shared_dir
+from lodestone.sources.deltas import DeltaTable
+from lodestone.sources.shared import release, shared_dir, stored
 
 
 def unique() -> str:
@@ -70,29 +71,29 @@ def expiring(items: DataFrame, ttl_ms: int) -> DataFrame:
 
 
 def append_new(items: DataFrame, path: str, checkpoint: str):
-    """A query that appends each micro-batch's keys that the table at path does not hold yet: write-through to a shared tier."""
+    """A query that appends each micro-batch's keys that the delta table at path does not hold yet: write-through to a shared
+    tier. A batch reads the deltas whose filter may hold one of its keys, and writes only what is new; one that is tried again
+    is written once."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["key"])
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-            new = new.join(spark.read.parquet(path).select("key"), "key", "left_anti")
-        new.write.mode("append").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        table = DeltaTable(batch.sparkSession, path)
+        new = stored(batch.where("key IS NOT NULL").dropDuplicates(["key"]), "batch")
+        table.commit(table.missing(new), number, checkpoint)
+        table.compact()
+        release(new)
 
     return items.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def snapshots(entries: DataFrame, path: str, checkpoint: str):
-    """A query that writes a snapshot of the cache after every micro-batch: the one before with the entries (key, raw, tokens,
-    expires_at) whose keys it did not hold. What was read last is whole, whenever the query stops."""
+def tier(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The shared tier that append_new and snapshots write."""
+    return DeltaTable(spark, path).read(schema)
 
-    def write(batch: DataFrame, _: int) -> None:
-        old = files.read_snapshot(batch.sparkSession, path)
-        new = batch.select(*files.CACHE.names).dropDuplicates(["key"]).join(old.select("key"), "key", "left_anti")
-        files.write_snapshot(old.unionByName(new), path)
 
-    return entries.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+def snapshots(entries: DataFrame, path: str, checkpoint: str):
+    """A query that keeps a snapshot of the cache at path up to date: a micro-batch adds those of its entries (key, raw, tokens,
+    expires_at) whose keys the snapshot does not hold. What was committed last is whole, whenever the query stops."""
+    return append_new(entries.select(*files.CACHE.names), path, checkpoint)
 
 
 def drained(stream: DataFrame, mode: str = "append", label: str = "stream") -> DataFrame:
