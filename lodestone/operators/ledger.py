@@ -42,7 +42,12 @@ def duplicate_summary(items: DataFrame) -> DataFrame:
 
 
 def duplicates_by_model(items: DataFrame, prices: dict[str, float] | None = None) -> DataFrame:
-    rows = by_key(items).groupBy("model").agg(*_totals())
+    return model_totals(by_key(items), prices)
+
+
+def model_totals(keys: DataFrame, prices: dict[str, float] | None = None) -> DataFrame:
+    """Totals by model over keys as by_key gives them."""
+    rows = keys.groupBy("model").agg(*_totals())
     return rows.withColumns({"total_usd": cost(F.col("model"), F.col("total_tokens"), prices), "wasted_usd": cost(F.col("model"), F.col("wasted_tokens"), prices)})
 
 

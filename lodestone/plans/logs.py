@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity
-from lodestone.operators import analyze, ledger
+from lodestone.operators import analyze, ledger, scan
 from lodestone.plans.registry import _TOKENS, _USD, _filled, query
-from lodestone.sources import requests, tables
+from lodestone.sources import lines, requests, tables
 from lodestone.streaming import live
 
 _MODEL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tables.MODELS.items()) + " ELSE event_type END"
@@ -54,8 +54,7 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAST(sum(items) AS BIGINT) AS items, CAST(sum(unique_items) AS BIGINT) AS unique_items, CAST(sum(dup_items) AS BIGINT) AS dup_items, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(wasted_tokens) AS BIGINT) AS wasted_tokens,
 round(sum(total_usd), 9) AS total_usd, round(sum(wasted_usd), 9) AS wasted_usd, round(sum(dup_items) / sum(items), 9) AS dup_rate FROM u""")
 def analyze_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _parsed(spark, sf_dir)
-    whole = analyze.summary(rows, analyze.items(rows))
+    whole = analyze.summary(analyze.state(tables.spread(tables.api_log(spark, sf_dir))))
     return whole.withColumns({c: F.round(c, 9) for c in ("total_usd", "wasted_usd", "dup_rate")})
 
 
@@ -68,7 +67,36 @@ def analyze_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_RANKED}, g AS (SELECT key, model, count(*) AS occurrences, min_by(tok, (seq, pos)) AS first_tokens, min_by(preview, (seq, pos)) AS preview FROM items GROUP BY key, model HAVING count(*) >= 2)
 SELECT key, model, occurrences, first_tokens, (occurrences - 1) * first_tokens AS wasted_tokens, preview FROM g ORDER BY wasted_tokens DESC, key LIMIT 10""")
 def analyze_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.top(analyze.items(_parsed(spark, sf_dir)))
+    return analyze.top(analyze.state(tables.spread(tables.api_log(spark, sf_dir))))
+
+
+@query(f"""WITH {_BY_MODEL} SELECT model, items, unique_items, dup_items, total_tokens, wasted_tokens FROM u""")
+def analyze_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten logs, written out and added one by one, the last first and one of them twice."""
+    path = f"{live.shared_dir(spark)}/log-{live.unique()}"
+    log = tables.api_log(spark, sf_dir)
+    log.select((F.col("seq") % 10).alias("log"), F.concat(F.lpad(F.col("seq").cast("string"), 12, "0"), F.lit(" "), "value").alias("value")).write.partitionBy("log").text(path)
+    whole = analyze.Analysis(spark, f"{path}-analysis")
+    for k in (*reversed(range(10)), 4):
+        rows = lines.read_lines(spark, f"{path}/log={k}").select(F.substring("value", 1, 12).cast("long").alias("seq"), F.expr("substring(value, 14)").alias("value"))
+        whole.add(rows, str(k), 0)
+    return analyze.by_model(whole.state()).drop("total_usd", "wasted_usd")
+
+
+_ANALYSIS = f"""t AS (SELECT key, model, count(*) AS occurrences, min_by(tok, (seq, pos)) AS first_tokens, min_by(preview, (seq, pos)) AS preview FROM items GROUP BY key, model HAVING count(*) >= 2)"""
+
+
+@query(f"""WITH {_BY_MODEL}, {_ANALYSIS} SELECT 'requests' AS name, CAST(count(*) AS VARCHAR) AS value FROM e WHERE shape NOT IN (5, 6) UNION ALL SELECT 'skipped', CAST(count(*) AS VARCHAR) FROM e WHERE shape IN (5, 6)
+UNION ALL SELECT 'unique_items', CAST(sum(unique_items) AS VARCHAR) FROM u UNION ALL SELECT 'models', string_agg(model || ' ' || items || ' ' || dup_items, ',' ORDER BY model) FROM u
+UNION ALL SELECT 'top', string_agg(key, ',' ORDER BY w DESC, key) FROM (SELECT key, (occurrences - 1) * first_tokens AS w FROM t ORDER BY w DESC, key LIMIT 10)""")
+def analysis_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of an analysis as one JSON object, and values read back from it."""
+    report = analyze.as_json(*analyze.analyze(tables.spread(tables.api_log(spark, sf_dir))))
+    at = lambda p: F.get_json_object("value", p)
+    models = F.from_json(at("$.models"), "array<struct<model:string,items:long,dup_items:long>>")
+    top = F.from_json(at("$.top_duplicates"), "array<struct<key:string>>")
+    named = {"requests": at("$.requests"), "skipped": at("$.skipped"), "unique_items": at("$.unique_items"), "models": F.array_join(F.transform(models, lambda m: F.concat_ws(" ", m["model"], m["items"], m["dup_items"])), ","), "top": F.array_join(F.transform(top, lambda t: t["key"]), ",")}
+    return report.select(F.explode(F.create_map(*[x for k, c in named.items() for x in (F.lit(k), c)])).alias("name", "value"))
 
 
 @query(f"WITH {_ITEMS} SELECT seq, CAST(pos AS INTEGER) AS pos, model, key, tok AS est_tokens, preview FROM items")
@@ -144,3 +172,14 @@ def log_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     log.where("seq >= 100").repartitionByRange(8, "seq").sortWithinPartitions("seq").select("value").write.text(f"{path}/second")
     rows = requests.read_log(spark, [f"{path}/first", f"{path}/second"])
     return rows.select(F.get_json_object("value", "$.seq").cast("long").alias("seq"), F.col("seq").alias("at"))
+
+
+@query(f"WITH {_LINES} SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS at FROM e")
+def log_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of rising size read by byte ranges that cut lines, and numbered by places."""
+    path = f"{live.shared_dir(spark)}/log-{live.unique()}"
+    log = tables.api_log(spark, sf_dir).select("seq", F.to_json(F.struct("seq")).alias("text"))
+    log.where("seq < 100").coalesce(1).sortWithinPartitions("seq").select("text").write.text(f"{path}/first")
+    log.where("seq >= 100").repartitionByRange(8, "seq").sortWithinPartitions("seq").select("text").write.text(f"{path}/second")
+    rows = lines.read_lines(spark, [f"{path}/first", f"{path}/second"], split_bytes=50_000)
+    return scan.places(rows, [], ["seq"], "at").select(F.get_json_object("value", "$.seq").cast("long").alias("seq"), "at")

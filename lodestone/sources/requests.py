@@ -160,8 +160,8 @@ def _raw_input(request: Column) -> Column:
     return F.to_json(_members(request)["input"])
 
 
-def items(requests: DataFrame, column: str = "input") -> DataFrame:
-    """A row for each input item: pos, is_tokens, text, tokens. Inputs may be a string, an array of strings, an array of
+def items(requests: DataFrame, column: str = "input", outer: bool = False) -> DataFrame:
+    """A row for each input item: pos, is_tokens, text, tokens; with `outer`, one of nulls for what has no items. Inputs may be a string, an array of strings, an array of
     integers (one item) or an array of arrays of integers; null counts as an empty text; anything else gives no rows."""
     v = F.try_parse_json(column)
     kind = F.schema_of_variant(v)
@@ -174,7 +174,8 @@ def items(requests: DataFrame, column: str = "input") -> DataFrame:
         .when(kind == "ARRAY<BIGINT>", F.array(ids(F.variant_get(v, "$", "array<bigint>"))))
         .when(kind == "ARRAY<ARRAY<BIGINT>>", F.transform(F.variant_get(v, "$", "array<array<bigint>>"), ids))
     )
-    return requests.select("*", F.posexplode(made).alias("pos", "_item")).select(*requests.columns, "pos", "_item.*")
+    explode = F.posexplode_outer if outer else F.posexplode
+    return requests.select("*", explode(made).alias("pos", "_item")).select(*requests.columns, "pos", "_item.*")
 
 
 def n_items(input_: Column) -> Column:
