@@ -12,6 +12,8 @@ from pyspark.sql import window as W
 from lodestone.functions.cost import cost, percent
 from lodestone.functions.identity import text_key
 from lodestone.functions.text import estimate_tokens, normalize, preview
+from lodestone.operators.scan import previous
+from lodestone.sources.shared import if_small, release, stored
 
 
 def keyed(items: DataFrame, rules: str = "") -> DataFrame:
@@ -102,15 +104,52 @@ def savings_report(ledger: DataFrame, prices: dict[str, float] | None = None) ->
     )
 
 
+CUTS = 64  # bins of a histogram that narrows a search for a percentile
+LAST = 10_000  # distinct values that are put in order at the end of a search
+
+
 def rank_floor_percentiles(rows: DataFrame, value: str, points: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """Percentiles that are values of the data: the one at place int(p * (n - 1)) of the sorted values. Values are counted
-    first, so a group's window runs over its distinct values."""
+    """Percentiles that are values of the data: the one at place int(p * (n - 1)) of the sorted values; nulls do not count. Values
+    are counted first. A search for a place keeps an interval, cuts it at CUTS quantiles of the distinct values in it, and goes on
+    with the bin that the place falls in, until no more than LAST distinct values are left: only those are ever ordered in
+    one task, whatever the group's size. All groups and points are searched together."""
     by = by or []
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    whole = W.Window.partitionBy(*by)
-    counts = counts.withColumns({"_upto": F.sum("_n").over(whole.orderBy(value)), "_all": F.sum("_n").over(whole)})
-    pick = [F.min(F.when(F.col("_upto") > F.floor(F.lit(p) * (F.col("_all") - 1)), F.col(value))).alias(name) for name, p in points.items()]
-    return counts.groupBy(*by).agg(*pick)
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_"))
+    as_double = F.col("v").cast("double")
+    along = F.when(F.isnan(as_double), F.lit(float("inf"))).otherwise(as_double)  # rises with the value
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group.alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    counts = stored(counts.withColumn("d", along), "value-counts")
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.lit(p) * (F.col("n") - 1)).cast("long").alias("place")) for name, p in points.items()]))
+    open_ = counts.groupBy("g").agg(F.sum("c").alias("n")).select("g", asked.alias("s")).select("g", "s.*", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    open_, found = stored(open_, "searches"), []
+    running = lambda order: W.Window.partitionBy("g", "name").orderBy(order)
+    while True:
+        n = open_.count()
+        if not n:
+            break
+        search = open_.withColumnRenamed("g", "_g")
+        inside = counts.join(if_small(search, n, 96), F.col("g") == F.col("_g")).drop("_g")
+        inside = inside.where((F.col("low").isNull() | (F.col("d") > F.col("low"))) & (F.col("high").isNull() | (F.col("d") <= F.col("high"))))
+        sizes = inside.groupBy("g", "name").agg(F.count("*").alias("m"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.percentile_approx("d", [k / CUTS for k in range(1, CUTS)], 20 * CUTS).alias("cuts"))
+        sizes = stored(sizes.withColumnRenamed("g", "_g").withColumnRenamed("name", "_name"), "search-sizes")
+        met = inside.join(if_small(sizes, n, 96 + 8 * CUTS), (F.col("g") == F.col("_g")) & (F.col("name") == F.col("_name"))).drop("_g", "_name")
+        last = (F.col("m") <= LAST) | (F.col("d0") == F.col("d1"))  # values of one double are few
+        few = met.where(last).withColumn("upto", F.sum("c").over(running("v"))).where("upto > place")
+        found.append(stored(few.groupBy("g", "name").agg(F.min("v").alias("v")), "search-found"))
+        bins = met.where(~last).withColumn("bin", F.size(F.filter("cuts", lambda x: x < F.col("d"))))
+        bins = bins.groupBy("g", "name", "place", "bin").agg(F.sum("c").alias("c"), F.max("d").alias("high"), F.min("d").alias("least"))  # CUTS rows at most
+        bins = bins.withColumns({"upto": F.sum("c").over(running("bin")), "below": F.lag("high").over(running("bin"))}).withColumn("before", F.col("upto") - F.col("c"))
+        hit = bins.where("before <= place AND place < upto").join(open_.select("g", "name", F.col("low").alias("old")), ["g", "name"])
+        nxt = stored(hit.select("g", "name", (F.col("place") - F.col("before")).alias("place"), F.coalesce("below", "old").alias("low"), "high"), "searches")
+        release(open_, sizes)
+        open_ = nxt
+    if not found:
+        return rows.select(*by).distinct().limit(0).select(*by, *[F.lit(None).cast(rows.schema[value].dataType).alias(name) for name in points])
+    whole = found[0]
+    for f in found[1:]:
+        whole = whole.unionByName(f)
+    picked = [F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in points]
+    return whole.groupBy("g").agg(*picked).select(*[F.col(f"g.{c}").alias(c) for c in by], *points)
 
 
 def prometheus(report: DataFrame, prefix: str = "engine") -> DataFrame:
@@ -144,5 +183,6 @@ def render_summary(summary: DataFrame, top: DataFrame | None = None) -> str:
 
 def counter_deltas(snapshots: DataFrame, order: str, counters: list[str]) -> DataFrame:
     """What each counter gained since the snapshot before; the first snapshot counts from zero."""
-    over = W.Window.orderBy(order)
-    return snapshots.withColumns({f"{c}_delta": F.col(c) - F.coalesce(F.lag(c).over(over), F.lit(0)) for c in counters})
+    columns = snapshots.columns
+    rows = previous(stored(snapshots, "snapshots"), [order], counters)
+    return rows.select(*columns, *[(F.col(c) - F.coalesce(f"{c}_before", F.lit(0))).alias(f"{c}_delta") for c in counters])

@@ -17,6 +17,8 @@ from pyspark.sql import window as W
 
 from lodestone.functions.cost import upstream_fault
 from lodestone.functions.identity import shard
+from lodestone.operators.scan import running
+from lodestone.sources.shared import stored
 
 
 def in_order(rows: DataFrame, by: str, order: list[str], schema: str, start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
@@ -224,8 +226,8 @@ def flushed(rows: DataFrame, flushes: DataFrame, at: str = "seq") -> DataFrame:
     own = flushes.select(F.col(at).alias("_f")).distinct().withColumn("_b", bucket("_f"))
     counts = own.groupBy("_b").agg(F.collect_list("_f").alias("_in"))  # no more than a bucket's positions
     places = rows.select(bucket(at).alias("_b")).distinct().join(counts, "_b", "full_outer")
-    before = W.Window.orderBy("_b").rowsBetween(W.Window.unboundedPreceding, -1)  # a row for each bucket
-    bases = places.withColumn("_n", F.coalesce(F.size("_in"), F.lit(0))).withColumn("_base", F.coalesce(F.sum(F.greatest("_n", F.lit(0))).over(before), F.lit(0)))
+    sized = stored(places.withColumn("_n", F.greatest(F.coalesce(F.size("_in"), F.lit(0)), F.lit(0))), "flush-buckets")
+    bases = running(sized, [], ["_b"], {"_upto": "_n"}).withColumn("_base", F.col("_upto") - F.col("_n"))
     rows = rows.withColumn("_b", bucket(at)).join(bases.select("_b", "_base", "_in"), "_b")
     inside = F.size(F.filter(F.coalesce("_in", F.array().cast("array<bigint>")), lambda x: x < F.col(at)))
     return rows.withColumn("epoch", (F.col("_base") + inside).cast("int")).drop("_b", "_base", "_in")

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from lodestone.functions import cost, identity, text, vectors
-from lodestone.operators import budget, chunking, ledger, lookup, mock, replay, retrieval, similar
+from lodestone.operators import budget, chunking, heavy, ledger, lookup, mock, replay, retrieval, scan, similar
 from lodestone.plans.registry import _COLLAPSE, _CONV, _DOCS, _EVENTS, _KEY, _RANKED, _TOKENS, _USD, DAY, LIMIT, ORACLE, OWN_LIMIT, QUERIES, _filled, query
 from lodestone.sources import requests, tables
 from lodestone.streaming import live
@@ -571,7 +570,7 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EVENTS} SELECT key, count(*) AS n, {_filled(_FOLD, ttl=3600)}.hits AS hits FROM items GROUP BY key")
 def stream_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _stream_items(spark, sf_dir).select("key", "seq", F.floor(budget.micros(F.col("ts")) / 1000).alias("t_ms"))
+    items = _stream_items(spark, sf_dir).select("key", "seq", F.floor(budget.micros(F.col("ts")) / 1000).alias("t_ms"), F.col("ts").cast("timestamp").alias("at"))
     rows = live.drained(live.expiring(items, 3_600_000))
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
 
@@ -579,11 +578,24 @@ def stream_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_EVENTS}, d AS (SELECT CAST(floor(epoch_us(ts) / {DAY * 1_000_000}) AS BIGINT) AS win, count(*) AS n, CAST(sum(tok) AS BIGINT) AS t FROM items GROUP BY win) SELECT win, CAST(sum(n) OVER (ORDER BY win) AS BIGINT) AS items, CAST(sum(t) OVER (ORDER BY win) AS BIGINT) AS tokens, n AS items_delta, t AS tokens_delta FROM d")
 def counter_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_day = _events(spark, sf_dir).groupBy(budget.window_id(F.col("ts"), DAY).alias("win")).agg(F.count("*").alias("n"), F.sum("est_tokens").alias("tokens"))
-    over = W.Window.orderBy("win")
-    snapshots = per_day.select("win", F.sum("n").over(over).alias("items"), F.sum("tokens").over(over).alias("tokens"))
+    snapshots = scan.running(per_day, [], ["win"], {"items": "n", "total": "tokens"}).select("win", "items", F.col("total").alias("tokens"))
     return ledger.counter_deltas(snapshots, "win", ["items", "tokens"])
 
 
+@query(f"WITH {_EVENTS}{_filled(_TOP, preview=_PREVIEW)}")
+def heavy_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top duplicates by a sketch of 64 counters at first, and an exact count of its keys."""
+    return heavy.top_duplicates(_events(spark, sf_dir), most=64)
+
+
+@query(f"WITH {_EVENTS}{_filled(_TOP, preview=_PREVIEW)}")
+def stream_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the sketch that a stream has kept."""
+    path = f"{live.shared_dir(spark)}/heavy-{live.unique()}"
+    live.heavy_keys(_stream_items(spark, sf_dir).select("key", "est_tokens"), path, f"{path}-checkpoint", 512).awaitTermination()
+    return heavy.top_duplicates(_events(spark, sf_dir), most=512, first=live.tier(spark, path))
+
+
 # Modules that register queries of their own.
 from lodestone.plans import logs, services  # noqa: E402, F401
 

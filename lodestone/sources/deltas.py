@@ -97,6 +97,17 @@ class DeltaTable:
         self._publish(now | {"deltas": now["deltas"] + ([delta] if delta else []), "batches": batches, "schema": rows.schema.json()})
         return True
 
+    def replace(self, rows: DataFrame, batch: int | None = None, writer: str = "") -> bool:
+        """Makes rows the table's only delta; with the number of a batch, as in commit. rows may be read from the table."""
+        now = self.manifest()
+        if batch is not None and now["batches"].get(writer, -1) >= batch:
+            return False
+        delta = self._write(rows, 0)
+        batches = now["batches"] | ({writer: batch} if batch is not None else {})
+        self._publish(now | {"deltas": [delta] if delta else [], "batches": batches, "schema": rows.schema.json()})
+        self._clean(self.manifest())
+        return True
+
     def compact(self, merge: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """Merges deltas of a level once there are FAN of them, into one of the next; `merge` may combine rows of a key. The
         merged folders are removed with the manifests that name them. Returns the merges made."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.cost import cost
+from lodestone.operators import heavy
 from lodestone.sources import files
 from lodestone.sources.deltas import DeltaTable
 from lodestone.sources.shared import release, shared_dir, stored
@@ -52,11 +53,16 @@ def windowed_spending(items: DataFrame, at: str, seconds: int, delay: str, by: s
     return items.withWatermark(at, delay).groupBy(by, F.window(at, f"{seconds} seconds")).agg(F.sum("est_tokens").alias("tokens"))
 
 
-def expiring(items: DataFrame, ttl_ms: int) -> DataFrame:
-    """items (key, seq, t_ms) with hit: entries live ttl_ms from computation. The state is one time for each key; there is no
-    timeout, since a processing-time one asks for batches without end when a stream is drained."""
+def expiring(items: DataFrame, ttl_ms: int, at: str = "at", delay: str = "1 day") -> DataFrame:
+    """items (key, seq, t_ms, at: the same time as a timestamp) with hit: entries live ttl_ms from computation. The state is one
+    time for each key, and it goes once the watermark, `delay` behind the latest event, has passed the entry's end: a later
+    item of the key is a miss with or without it. So state holds the keys of a ttl and a delay, however long the stream is.
+    Items later than the watermark are dropped. A micro-batch of a key is sorted in one piece; bound batches at their source."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         since = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["t_ms", "seq"])
         hits = []
@@ -64,10 +70,16 @@ def expiring(items: DataFrame, ttl_ms: int) -> DataFrame:
             hit = since is not None and t <= since + ttl_ms
             since = since if hit else int(t)
             hits.append(hit)
-        state.update((since,))
+        end = since + ttl_ms + 1
+        if end > state.getCurrentWatermarkMs():
+            state.update((since,))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"key": key[0], "seq": rows["seq"], "hit": hits})
 
-    return items.groupBy("key").applyInPandasWithState(run, "key string, seq long, hit boolean", "since long", "append", GroupStateTimeout.NoTimeout)
+    own = items.withWatermark(at, delay).groupBy("key")
+    return own.applyInPandasWithState(run, "key string, seq long, hit boolean", "since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_new(items: DataFrame, path: str, checkpoint: str):
@@ -85,6 +97,20 @@ def append_new(items: DataFrame, path: str, checkpoint: str):
     return items.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
+def heavy_keys(items: DataFrame, path: str, checkpoint: str, most: int):
+    """A query that keeps a sketch of the heaviest keys of items (key, est_tokens) at path: each micro-batch's sketch is merged into
+    it, so what is kept has `most` rows however long the stream is."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        table = DeltaTable(batch.sparkSession, path)
+        if table.manifest()["batches"].get(checkpoint, -1) >= number:
+            return
+        own = heavy.sketch(batch, "key", "est_tokens", most)
+        table.replace(heavy.merged(table.read(heavy.SKETCH).unionByName(own), most), number, checkpoint)
+
+    return items.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
 def tier(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """The shared tier that append_new and snapshots write."""
     return DeltaTable(spark, path).read(schema)
