@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NOT_ALNUM, maybe_broadcast, numbered, stored
+from lodestone.llm.common import NOT_ALNUM, maybe_broadcast, numbered, stored, without_rows
 from lodestone.sources.tables import spread
 
 WIDTH = 5
@@ -112,7 +112,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows, (file, at) = numbered(docs)
     found = contained(rows.select(F.struct(F.col(file).alias("file"), F.col(at).alias("at")).alias("doc_id"), "text"), benchmark)
     leaks = stored(found.select("doc_id").distinct().select("doc_id.*"), "leaks")
-    return rows.join(maybe_broadcast(leaks.toDF(file, at), leaks.count(), 32), [file, at], "left_anti").select(*docs.columns)
+    return without_rows(rows, [file, at], leaks).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

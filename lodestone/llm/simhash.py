@@ -16,7 +16,7 @@ is a few joins and a min-aggregation over linked fingerprints, written to the sh
 fingerprints reach the driver. Documents meet their fingerprint's class by join_spread, so copies of one text, however
 many, are joined where they are.
 
-The filter reads texts where they lie and never shuffles them while the dropped rows' numbers are few enough to broadcast.
+The filter reads texts where they lie and never shuffles them, however many rows it drops.
 
 Defined results: texts that are null, empty or white space have fingerprint 0 and are linked like any other; fewer than
 three words form one shingle; repeated rows share a class; a null doc_id gets a class id only from others; an empty
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import dealt, give_back_memory, join_spread, maybe_broadcast, numbered, release, small_batches, stored
+from lodestone.llm.common import dealt, give_back_memory, join_spread, numbered, release, small_batches, stored, without_rows
 from lodestone.sources.tables import spread
 
 SHINGLE = 3
@@ -257,5 +257,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = known.groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.at")
     dropped = stored(prints.select("file", "at").join(kept, ["file", "at"], "left_anti"), "simhash-dropped")
     release(prints, known)
-    gone = maybe_broadcast(dropped.toDF(file, at), dropped.count(), 32)
-    return rows.join(gone, [file, at], "left_anti").select(*docs.columns)
+    return without_rows(rows, [file, at], dropped).select(*docs.columns)

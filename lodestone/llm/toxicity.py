@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.boosting import BoostedTrees, Isotonic
-from lodestone.llm.common import give_back_memory, maybe_broadcast, numbered, small_batches, stored
+from lodestone.llm.common import give_back_memory, numbered, small_batches, stored, without_rows
 from lodestone.sources.tables import spread
 
 SAMPLE = 12_000  # most labelled documents that a model is fitted on
@@ -242,7 +242,7 @@ def op5_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted to be toxic, decided row by row. Only texts go to Python, and the numbers of the rejected
-    rows come back; they are broadcast while they are measured to be few."""
+    rows come back."""
     rows, (file, at) = numbered(docs)
     found = scored(rows, train(docs, labels), file, at).where("score >= 0.5")
-    return rows.join(maybe_broadcast(found.select(file, at), found.count(), 32), [file, at], "left_anti").select(*docs.columns)
+    return without_rows(rows, [file, at], found.select(file, at)).select(*docs.columns)

@@ -156,6 +156,24 @@ def test_filters_on_other_sources(spark, small, tmp_path, kind):
     assert tokens_out.op6_token_output(docs).count() == 65
 
 
+def test_rows_dropped_by_bitmaps(spark, small, tmp_path, monkeypatch):
+    """However many rows are dropped, the texts of the others are not shuffled, and the same rows stay."""
+    table(spark, small, "documents").repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs, labels, bench = spark.read.parquet(str(tmp_path / "docs")), table(spark, small, "labels"), table(spark, small, "benchmark")
+    filters = {"toxic": lambda: toxicity.without_toxic(docs, labels), "copies": lambda: simhash.keep_one(docs), "leaks": lambda: decontaminate.without_leaks(docs, bench)}
+    want = {name: sorted(r.doc_id for r in make().collect()) for name, make in filters.items()}
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    for name, make in filters.items():
+        got = make()
+        assert sorted(r.doc_id for r in got.collect()) == want[name] and len(want[name]) < 200
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    rows, names = common.numbered(spark.range(100_000).selectExpr("id", "id % 3 = 0 AS gone"))
+    left = common.without_rows(rows, names, rows.where("gone").select(*names))
+    assert left.count() == 66_666 and left.where("gone").isEmpty()
+    assert common.without_rows(rows, names, rows.where("false").select(*names)).count() == 100_000
+
+
 def test_one_id_with_a_third_of_all_rows(spark, monkeypatch):
     rows = [(7 if i % 3 == 0 else i, f"word{i % 5} " * (1 + i % 4), "s" if i % 2 else "t") for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
