@@ -66,7 +66,9 @@ VOCABULARY = "river stone light paper winter engine garden signal copper window
 
 
 def _hash(*parts: Column | str | int) -> Column:
-    return F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    """60 bits of the MD5 of the parts, joined by bars; SQL engines find the same."""
+    texts = [F.coalesce((p if isinstance(p, Column) else F.lit(p)).cast("string"), F.lit("")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15), 16, 10).cast("long")
 
 
 def corpus(spark: SparkSession, n: int, words: int = 40, seed: int = 1) -> DataFrame:
@@ -77,11 +79,17 @@ def corpus(spark: SparkSession, n: int, words: int = 40, seed: int = 1) -> DataF
 
 
 def zipf(spark: SparkSession, draws: int, pool: int, s: float = 1.1, seed: int = 1) -> DataFrame:
-    """draws of ranks 0 to pool - 1 with probability falling as (rank + 1) ** -s: (seq, rank)."""
-    mass = np.cumsum(np.arange(1, pool + 1) ** -s)
-    cuts = F.array(*[F.lit(float(x)) for x in mass / mass[-1]])
-    u = F.pmod(_hash(seed, F.col("id")), F.lit(1 << 52)) / float(1 << 52)
-    return spark.range(draws).withColumn("_u", u).select(F.col("id").alias("seq"), F.least(F.size(F.filter(cuts, lambda c: c <= F.col("_u"))), F.lit(pool - 1)).alias("rank"))
+    """draws of ranks 0 to pool - 1 with probability falling as (rank + 1) ** -s: (seq, rank). A draw is found in the cumulated
+    masses by a binary search."""
+
+    @F.pandas_udf("int")
+    def rank(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        mass = np.cumsum(np.arange(1, pool + 1) ** -s)
+        for u in batches:
+            yield pd.Series(np.minimum(np.searchsorted(mass / mass[-1], u.to_numpy(), side="right"), pool - 1).astype(np.int32))
+
+    u = _hash(seed, F.col("id")) / float(1 << 60)
+    return spark.range(draws).select(F.col("id").alias("seq"), rank(u).alias("rank"))
 
 
 def edited(rows: DataFrame, id_: str, text: str, share: float, seed: int = 1) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lodestone.functions.cost import cost
-from lodestone.operators import ledger as ledgers
+from lodestone.functions.cost import cost, percent
 from lodestone.operators import lookup, similar
 
 
@@ -27,14 +26,46 @@ def counters(requests: DataFrame) -> DataFrame:
     )
 
 
-def full(requests: DataFrame, ledger: DataFrame, cache: DataFrame, observed: DataFrame | None = None, breaker_open: bool = False, prices: dict[str, float] | None = None) -> DataFrame:
-    """One row: counters, outcomes, hit rate, tokens and money, cache size and shadow samples."""
-    usage = ledgers.savings_report(ledger, prices)
-    spent = ledger.groupBy("model").agg(F.sum("spent").alias("s")).agg(F.coalesce(F.sum(cost(F.col("model"), F.col("s"), prices)), F.lit(0.0)).alias("spent_usd"))
-    near = ledger.agg(F.count_if(F.col("outcome") == "semantic").alias("semantic_hits"))
+def measures(prices: dict[str, float] | None = None) -> list[Column]:
+    """What the report takes from a ledger, as aggregates over all its rows: for agg, and for metrics that are gathered while the
+    ledger goes elsewhere."""
+    is_ = lambda name: F.col("outcome") == name
+    count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("long")
+    tokens = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    usd = lambda c: F.coalesce(F.sum(cost(F.col("model"), F.col(c), prices)), F.lit(0.0))
+    return [
+        F.count(F.lit(1)).alias("items"), count(is_("hit") | is_("semantic")).alias("hits"), count(is_("miss")).alias("misses"), count(is_("coalesced")).alias("coalesced"), count(is_("semantic")).alias("semantic_hits"),
+        tokens("saved").alias("saved_tokens"), tokens("spent").alias("spent_tokens"), usd("saved").alias("saved_usd"), usd("spent").alias("spent_usd"),
+    ]
+
+
+def _usage(measured: DataFrame) -> DataFrame:
+    """Measures with the rates that follow from them."""
+    c = F.col
+    return measured.withColumns(
+        {
+            "hit_rate": F.when(c("items") > 0, (c("hits") + c("coalesced")) / c("items")).otherwise(0.0),
+            "duplicate_share": percent(c("saved_tokens"), c("saved_tokens") + c("spent_tokens")) / 100.0,
+        }
+    )
+
+
+def gathered(ledger: DataFrame, prices: dict[str, float] | None = None, name: str = "ledger") -> tuple[DataFrame, Observation]:
+    """The ledger as it is, and an observation of its measures, which is there once the ledger has been written or read to the end."""
+    seen = Observation(name)
+    return ledger.observe(seen, *measures(prices)), seen
+
+
+def full(requests: DataFrame, ledger: DataFrame | Observation, cache: DataFrame, observed: DataFrame | None = None, breaker_open: bool = False, prices: dict[str, float] | None = None) -> DataFrame:
+    """One row: counters, outcomes, hit rate, tokens and money, cache size and shadow samples. Requests, ledger and cache are read
+    once each; for a ledger that was gathered, its observation takes its place and it is not read at all."""
+    if isinstance(ledger, Observation):
+        measured = requests.sparkSession.createDataFrame([ledger.get], "items long, hits long, misses long, coalesced long, semantic_hits long, saved_tokens long, spent_tokens long, saved_usd double, spent_usd double")
+    else:
+        measured = ledger.agg(*measures(prices))
     size = lookup.cache_size(cache).select(F.col("entries").alias("cache_entries"), F.col("bytes").alias("cache_bytes"))
     rows = counters(requests).withColumn("breaker_open", F.lit(int(breaker_open)).cast("long"))
-    for more in (usage, spent, near, size):
+    for more in (_usage(measured), size):
         rows = rows.join(F.broadcast(more), F.lit(True))  # a row each
     if observed is None:
         return rows.withColumns({"shadow_samples": F.lit(0).cast("long"), "shadow_mean_cosine": F.lit(0.0), "shadow_min_cosine": F.lit(0.0)})

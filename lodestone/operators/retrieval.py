@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from lodestone.operators.scan import places
 from lodestone.sources.shared import BROADCAST_BYTES, stored
 
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096  # vectors of a block
@@ -289,6 +290,6 @@ def merge_variants(results: DataFrame, query: str, text: str, score: str, most:
     return rows.where(F.col("place") <= most).drop("_p", "_n")
 
 
-def batches(rows: DataFrame, order: str, size: int) -> Column:
-    """The number of the batch of `size` rows that a row belongs to, by a dense order column."""
-    return F.floor(F.col(order) / size)
+def batched(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """rows with the number of their batch: `size` rows by order, whatever gaps and repeats the order columns have."""
+    return places(stored(rows, "batches"), [], order, "batch").withColumn("batch", F.expr(f"batch div {size}"))

@@ -387,10 +387,37 @@ def expanded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.expand_queries(items, "text", ["What is {}?", "{} explained"]).select("item_id", "variant", "variant_text")
 
 
-@query("SELECT event_id // 32 AS batch, count(*) AS n FROM events GROUP BY ALL")
+@query("WITH b AS (SELECT *, (row_number() OVER (ORDER BY user_id, event_id) - 1) // 32 AS batch FROM events) SELECT batch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM b GROUP BY batch")
 def backend_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.table(spark, sf_dir, "events")
-    return rows.withColumn("batch", retrieval.batches(rows, "event_id", 32)).groupBy("batch").agg(F.count("*").alias("n"))
+    """Calls of 32 inputs, in order of users."""
+    rows = tables.table(spark, sf_dir, "events").select("user_id", "event_id")
+    return retrieval.batched(rows, ["user_id", "event_id"], 32).groupBy("batch").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+def _sql_hash(*parts: str) -> str:
+    return "CAST('0x' || substr(md5(" + " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "), 1, 15) AS BIGINT)"
+
+
+@query(f"SELECT doc_id, {_sql_hash('7', 'doc_id')} % 10000 < 500 AS changed, sha256(text || CASE WHEN {_sql_hash('7', 'doc_id')} % 10000 < 500 THEN ' edited' ELSE '' END) AS hash FROM documents")
+def document_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About five in a hundred documents edited, and what of them a cache of the texts before would not find."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    again = mock.edited(docs, "doc_id", "text", 0.05, seed=7).select("doc_id", F.sha2("text", 256).alias("hash"))
+    return again.join(docs.select("doc_id", F.sha2("text", 256).alias("old")), "doc_id").select("doc_id", (F.col("hash") != F.col("old")).alias("changed"), "hash")
+
+
+_AT = f"({_sql_hash('3', 'event_id')} % 10000 / 10000.0::DOUBLE)"
+
+
+@query(f"""WITH c AS (SELECT event_id, CASE WHEN {_AT} < 0.2::DOUBLE THEN 'bad-' || event_id WHEN {_AT} < 0.2::DOUBLE + 0.05::DOUBLE THEN '' ELSE 'good' END AS credential FROM events)
+SELECT credential = 'good' AS good, CASE WHEN credential = '' THEN 'missing' WHEN credential = 'good' THEN 'ok' ELSE 'unknown' END AS verdict, count(*) AS n FROM c GROUP BY ALL""")
+def hostile_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of which a fifth has a wrong key and a twentieth none, against an allow list of one."""
+    rows = mock.hostile(tables.table(spark, sf_dir, "events").select("event_id"), "event_id", "good", seed=3)
+    allow = spark.range(1).select(F.sha2(F.lit("good"), 256).alias("key_hash"))
+    bearer = F.when(F.col("key") != "", F.concat(F.lit("Bearer "), "key")).otherwise("")
+    met = lookup.allowed(rows.withColumnRenamed("credential", "key").withColumn("credential", bearer), allow)
+    return met.groupBy((F.col("key") == "good").alias("good"), "verdict").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, p AS part FROM (SELECT doc_id, unnest(list_transform(list_filter(list_transform(string_split(text, '. '), lambda p: trim(p, ' ')), lambda p: strlen(p) >= 80), lambda p: left(p, 1200))) AS p FROM documents)")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.cost import cost
@@ -122,6 +123,28 @@ def snapshots(entries: DataFrame, path: str, checkpoint: str):
     return append_new(entries.select(*files.CACHE.names), path, checkpoint)
 
 
+class LiveCounters(StreamingQueryListener):
+    """The measures of a report over streams that observe them under a name, added up as their micro-batches end. Register it with
+    spark.streams.addListener; `totals` may be read at any time."""
+
+    def __init__(self, name: str = "ledger") -> None:
+        self.name, self.totals = name, {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802  names of the interface
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        seen = event.progress.observedMetrics.get(self.name)
+        for name, value in (seen.asDict() if seen is not None else {}).items():
+            self.totals[name] = self.totals.get(name, 0) + (value or 0)
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+
 def drained(stream: DataFrame, mode: str = "append", label: str = "stream") -> DataFrame:
     """What a stream gives for the input that is there now, as a table in the shared folder."""
     spark = stream.sparkSession

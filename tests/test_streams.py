@@ -3,13 +3,14 @@
 import datetime
 import json
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import analyze, heavy, ledger
+from lodestone.operators import analyze, heavy, ledger, report
 from lodestone.streaming import live
 
 
@@ -121,3 +122,36 @@ def test_logs_added_in_any_order(spark, tmp_path):
     assert [sorted(map(str, part.collect())) for part in (analyze.summary(whole), analyze.by_model(whole), analyze.top(whole))] == want
     plan = analyze.summary(analyze.state(frame))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1
+
+
+def test_a_report_gathered_while_the_ledger_is_written(spark, tmp_path):
+    items = spark.createDataFrame([("text-embedding-3-large", o, 10 * (o == "miss"), 7 * (o != "miss")) for o in ("miss", "hit", "coalesced", "semantic", "miss")], "model string, outcome string, spent long, saved long").repartition(3)
+    calls = spark.createDataFrame([("embedding", 200, 0, False, False, 1, 2)], "kind string, status int, retries int, fast_failed boolean, over_budget boolean, calls int, sent int")
+    cache = spark.createDataFrame([("a", b"12345", 1, 0)], "key string, raw binary, tokens long, expires_at long")
+    whole = report.full(calls, items, cache)
+    seen, counts = report.gathered(items)
+    seen.write.parquet(str(tmp_path / "ledger"))
+    again = report.full(calls, counts, cache)
+    assert again.columns == whole.columns and again.collect() == whole.collect()
+    r = whole.first()
+    assert (r["items"], r.hits, r.misses, r.coalesced, r.semantic_hits, r.saved_tokens, r.spent_tokens) == (5, 2, 2, 1, 1, 21, 20)
+    plan = report.full(calls, spark.read.parquet(str(tmp_path / "ledger")), cache)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_live_counters_of_a_stream(spark, tmp_path):
+    rows = [("m", o, 5, 0) if o == "miss" else ("m", o, 0, 5) for o in ("miss", "hit", "hit", "coalesced") * 10]
+    for _ in range(3):
+        spark.createDataFrame(rows, "model string, outcome string, spent long, saved long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("model string, outcome string, spent long, saved long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counters = live.LiveCounters("ledger")
+    spark.streams.addListener(counters)
+    try:
+        query = stream.observe("ledger", *report.measures()).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        until = time.time() + 30
+        while counters.totals.get("items") != 120 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counters)
+    assert (counters.totals["items"], counters.totals["hits"], counters.totals["misses"], counters.totals["coalesced"], counters.totals["saved_tokens"]) == (120, 60, 30, 30, 450)
