@@ -68,6 +68,17 @@ def fingerprint_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.keyed(tables.document_items(spark, sf_dir), "trim,collapse,lowercase").select("seq", "key")
 
 
+@query(f"SELECT doc_id, sha256({_NORMALIZED}) AS hash FROM documents")
+def normalization_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules named in any order, with blanks; an unknown name is an error."""
+    try:
+        text.parse_rules("trim,shout")
+    except ValueError:
+        rules = text.parse_rules(" lowercase ,, collapse,trim ")
+    docs = tables.spread(tables.table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", F.sha2(text.normalize(F.col("text"), rules), 256).alias("hash"))
+
+
 def _sql_fold(c: str) -> str:
     for pair, letter in text.COMPOSED.items():
         c = f"replace({c}, '{pair}', '{letter}')"
@@ -494,10 +505,10 @@ def fixed_chunk_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.difference(before, after, ["doc_id"])
 
 
-def _sql_cut(rows: str) -> str:
+def _sql_cut(rows: str, most: int = chunking.MOST) -> str:
     """WITH parts that give `chunks` (id, ordinal, start, size, hash) of the rows (id, text): the low 11 bits of the rolling hash
     at every byte as a sum over the last 11 bytes, and the cuts of each text one after another."""
-    least, average, most = chunking.LEAST, chunking.AVERAGE, chunking.MOST
+    least, average = chunking.LEAST, chunking.AVERAGE
     window = " + ".join(f"{1 << k} * g[i + {10 - k}]" for k in range(11))
     fresh = " + ".join(f"CASE WHEN j >= {k} THEN {1 << k} * g[f + j + {11 - k}] ELSE 0 END" for k in range(10))
     return f"""gear AS (SELECT list(('0x' || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT & 2047 ORDER BY b) AS gear FROM (SELECT b, sha256(unhex(printf('%02X', b))) AS h FROM range(0, 256) t(b))),
@@ -517,6 +528,14 @@ def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.exploded(docs, chunking.content_chunks(F.col("text")), "doc_id").select("doc_id", "ordinal", "offset", "size", "hash")
 
 
+@query(f"WITH {_sql_cut('SELECT doc_id AS id, text FROM documents', 1000)} SELECT id AS doc_id, count(*) AS n, max(size)::INTEGER AS longest FROM chunks GROUP BY id")
+def cdc_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of at most 1000 bytes, with defaults for the sizes that are not positive."""
+    docs = tables.spread(tables.table(spark, sf_dir, "documents"))
+    rows = chunking.exploded(docs, chunking.content_chunks(F.col("text"), *chunking.options(-5, 0, 1000)), "doc_id")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("size").alias("longest"))
+
+
 @query(f"""WITH e AS MATERIALIZED ({_EDITED}), {_sql_cut("SELECT 2 * doc_id AS id, before AS text FROM e UNION ALL SELECT 2 * doc_id + 1, after FROM e WHERE after <> before")}, k AS (SELECT DISTINCT id // 2 AS doc_id, hash FROM chunks WHERE id % 2 = 0),
 v AS (SELECT id // 2 AS doc_id, max(id) AS id FROM chunks GROUP BY ALL) SELECT v.doc_id, count(*) AS total, count(*) FILTER (WHERE k.hash IS NOT NULL) AS unchanged, count(*) FILTER (WHERE k.hash IS NULL) AS changed FROM v JOIN chunks USING (id) LEFT JOIN k ON k.doc_id = v.doc_id AND k.hash = chunks.hash GROUP BY v.doc_id""")
 def cdc_chunk_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,9 +61,8 @@ def claimed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_EVENTS}, {_ENTRIES} SELECT count(*) AS compared, count(*) FILTER (WHERE s % 5 = 0) AS mismatches FROM c")
 def byte_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _entries(_events(spark, sf_dir))
-    first = F.when(F.col("expires_at") == 0, F.col("tokens")).otherwise(F.col("tokens"))
     other = _events(spark, sf_dir).where("seq % 7 = 0").groupBy("key").agg(F.min("seq").alias("s")).select("key", F.when(F.col("s") % 5 == 0, F.encode(F.lit("x"), "utf-8")).otherwise(F.encode("key", "utf-8")).alias("raw"))
-    return lookup.compare_bytes(entries.withColumn("tokens", first), other, ["key"], "raw")
+    return lookup.compare_bytes(entries, other, ["key"], "raw")
 
 
 @query(f"WITH {_EVENTS}, {_ENTRIES} SELECT key, key AS raw, CAST(tokens AS BIGINT) AS tokens, CAST(expires_at AS BIGINT) AS expires_at FROM c")
@@ -110,29 +109,45 @@ def stream_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reference files ----------------------------------------------------------------------------------------
 
 
-def _written(spark: SparkSession, label: str, body: str) -> str:
+def _written(spark: SparkSession, label: str, lines: DataFrame) -> str:
     path = _scratch(spark, label)
-    spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(path)
+    lines.select("value").coalesce(1).write.text(path)
     return path
 
 
-@query("SELECT unnest(['a', 'b', 'default']) AS model, unnest([0.5::DOUBLE, 1.25::DOUBLE, 9.0::DOUBLE]) AS price")
+def _object(rows: DataFrame, name: str, number: str, default: float) -> DataFrame:
+    """A few names and numbers as one JSON object, with a default among them."""
+    entries = F.map_from_entries(F.collect_list(F.struct(name, F.col(number).cast("string"))))
+    body = F.array_join(F.transform(F.map_entries(entries), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"])), ", ")
+    return rows.agg(F.concat(F.lit('{"DEFAULT": ' + str(default) + ", "), body, F.lit("}")).alias("value"))
+
+
+@query("SELECT event_type AS model, count(*) / 8.0::DOUBLE AS price FROM events GROUP BY event_type UNION ALL SELECT 'default', 9.5::DOUBLE")
 def price_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, default = files.read_prices(spark, _written(spark, "prices", '{"a": 0.5, "Default": 9, "b": 1.25}'))
+    """Prices by the number of events, written as a file and read again."""
+    prices = tables.table(spark, sf_dir, "events").groupBy("event_type").agg((F.count("*") / 8.0).alias("price"))
+    rows, default = files.read_prices(spark, _written(spark, "prices", _object(prices, "event_type", "price", 9.5)))
     return rows.unionByName(spark.createDataFrame([("default", default)], "model string, price double"))
 
 
-@query("SELECT unnest(['k1', 'k2', 'default']) AS caller, CAST(unnest([100, 0, 7]) AS BIGINT) AS token_limit")
+@query("SELECT 'k' || user_id % 50 AS caller, CAST(sum(strlen(props)) AS BIGINT) AS token_limit FROM events GROUP BY ALL UNION ALL SELECT 'default', 7")
 def budget_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, default = files.read_budgets(spark, _written(spark, "budgets", '{"k1": 100, "k2": 0, "DEFAULT": 7}'))
+    """Limits of fifty callers, written as a file and read again."""
+    callers = tables.table(spark, sf_dir, "events").groupBy(F.concat(F.lit("k"), (F.col("user_id") % 50).cast("string")).alias("caller")).agg(F.sum(F.octet_length("props")).alias("token_limit"))
+    rows, default = files.read_budgets(spark, _written(spark, "budgets", _object(callers, "caller", "token_limit", 7)))
     return rows.unionByName(spark.createDataFrame([("default", default)], "caller string, token_limit long"))
 
 
-@query("SELECT unnest(['file', 'file', 'list', 'list']) AS origin, unnest(['one', 'two', 'three', 'four']) AS key")
+@query("SELECT DISTINCT 'file' AS origin, 'key-' || user_id AS key FROM events WHERE user_id % 3 <> 0 UNION ALL SELECT DISTINCT 'list', event_type FROM events")
 def key_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _written(spark, "keys", "# comment\n  one \n\n\ttwo\n#three\n")
+    """A key for each user on a line of its own, every third one commented out, and a list of the kinds of events."""
+    events = tables.table(spark, sf_dir, "events")
+    key = F.concat(F.lit("key-"), F.col("user_id").cast("string"))
+    lines = events.select("user_id").distinct().select(F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("#"), key)).when(F.col("user_id") % 3 == 1, F.concat(F.lit("\t "), key, F.lit("  "))).otherwise(key).alias("value"))
+    path = _written(spark, "keys", lines.unionByName(spark.createDataFrame([("# comment",), ("",), ("  ",)], "value string")))
+    kinds = ", ,".join(r.event_type for r in events.select("event_type").distinct().collect())  # a few names
     rows = files.read_keys(spark, path).select(F.lit("file").alias("origin"), "key")
-    return rows.unionByName(files.keys_from_list(spark, " three, ,four,").select(F.lit("list").alias("origin"), "key"))
+    return rows.unionByName(files.keys_from_list(spark, f" {kinds},").select(F.lit("list").alias("origin"), "key"))
 
 
 @query("""WITH c AS (SELECT doc_id, trim(coalesce(source, '') || '. ' || replace(text, chr(10), ' ')) AS t FROM documents), q AS (SELECT item_id, replace(text, chr(10), ' ') AS t FROM benchmark)
@@ -225,12 +240,13 @@ def prometheus_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("value", F.when(F.col("metric") == "engine_saved_usd", F.round("value", 9)).otherwise(F.col("value")))
 
 
-@query(f"""WITH {_FULL} SELECT CAST(unnest(range(0, 12)) AS INTEGER) AS at, unnest([rpad('requests', 22, ' ') || printf('%d (%d passed through, %d failed)', requests, passthrough, errors), rpad('items', 22, ' ') || items, rpad('  from the cache', 22, ' ') || hits,
+@query(f"""WITH {_FULL} SELECT CAST(unnest(range(0, 13)) AS INTEGER) AS at, unnest([rpad('requests', 22, ' ') || printf('%d (%d passed through, %d failed)', requests, passthrough, errors), rpad('items', 22, ' ') || items, rpad('  from the cache', 22, ' ') || hits,
 rpad('  shared in flight', 22, ' ') || coalesced, rpad('  sent upstream', 22, ' ') || printf('%d (%d calls, %d retries)', misses, upstream_calls, retries), rpad('circuit breaker', 22, ' ') || printf('open (%d failed fast)', fast_fails), rpad('over budget', 22, ' ') || budget_rejects,
 rpad('  near duplicates', 22, ' ') || semantic_hits, rpad('hit rate', 22, ' ') || printf('%.1f %%', (hits + coalesced) / items * 100), rpad('tokens spent', 22, ' ') || printf('%d ($%.4f)', spent_tokens, spent_usd), rpad('tokens saved', 22, ' ') || printf('%d ($%.4f)', saved_tokens, saved_usd),
-rpad('duplicate share', 22, ' ') || printf('%.1f %%', saved_tokens / (saved_tokens + spent_tokens) * 100)]) AS line FROM w""")
+rpad('duplicate share', 22, ' ') || printf('%.1f %%', saved_tokens / (saved_tokens + spent_tokens) * 100),
+rpad('cache', 22, ' ') || printf('%d entries, %.1f MB', cache_entries, cache_bytes / 1e6)]) AS line FROM w""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.lines(_full(spark, sf_dir)).where("line NOT LIKE 'cache%'")
+    return report.lines(_full(spark, sf_dir))
 
 
 @query(f"WITH {_EVENTS} SELECT left(sha256(caller), 8) AS caller, sum(tok)::BIGINT AS spent, CAST(43200 AS BIGINT) AS resets_in FROM items GROUP BY items.caller")

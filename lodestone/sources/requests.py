@@ -16,10 +16,11 @@ KNOWN = ("input", "model", "encoding_format", "dimensions", "user")
 ENVELOPES = ("body", "request", "payload", "kwargs", "request_kwargs", "json_data", "json", "data")
 
 
-def read_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_log(spark: SparkSession, paths: str | list[str], most_bytes: int = 64 << 20) -> DataFrame:
     """Lines of one or more logs (value) with a seq that follows the order of the paths, of files by name and of lines; blank
     lines are left out. Lines are numbered by the running number of lines in the parts of files before theirs, whatever order
-    the parts are read in."""
+    the parts are read in, which takes a read of its own (sources.lines numbers by bytes instead). A line of more than
+    `most_bytes` is an error."""
     found = None
     for place, path in enumerate([paths] if isinstance(paths, str) else paths):
         lines = spark.read.text(path).select("value", F.lit(place).alias("_place"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_n"))
@@ -29,6 +30,8 @@ def read_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     before = W.Window.orderBy(*part).rowsBetween(W.Window.unboundedPreceding, -1)  # a row for each part of a file
     parts = parts.withColumn("_base", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
     rows = found.join(parts, part).select("value", (F.col("_base") + F.col("_n") - F.col("_first")).alias("seq"))
+    long = F.raise_error(F.concat(F.lit("line "), F.col("seq").cast("string"), F.lit(f" is longer than {most_bytes} bytes"))).cast("string")
+    rows = rows.withColumn("value", F.when(F.octet_length("value") > most_bytes, long).otherwise(F.col("value")))
     return rows.where(F.regexp_replace("value", r"\s+", "") != "")
 
 

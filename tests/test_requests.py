@@ -157,6 +157,13 @@ def test_lines_follow_the_order_of_the_logs(spark, tmp_path):
     assert [r.value for r in rows[:3]] == ["a0", "a1", "a2"] and [r.seq for r in rows] == [0, 1, 2, *range(4, 40_004)]
 
 
+def test_lines_over_the_limit(spark, tmp_path):
+    (tmp_path / "log").write_text("a\n" + "x" * 50 + "\nb\n")
+    assert requests.read_log(spark, str(tmp_path / "log"), 50).count() == 3
+    with pytest.raises(Exception, match="line 1 is longer than 49 bytes"):
+        requests.read_log(spark, str(tmp_path / "log"), 49).collect()
+
+
 def test_report_of_an_analysis(spark):
     from lodestone.operators import analyze
 
