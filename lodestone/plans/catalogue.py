@@ -408,11 +408,11 @@ def active_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _served(tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("seq"), "text"), 0.3)
 
 
-@query(_sql_active(_by_role(_sql_grams("conv_id * 1000 + turn", "text", "conversations")), 0.4))
+@query(_sql_active(_by_role(_sql_grams("conv_id * 1000 + turn", "text", "conversations")), 0.5))
 def active_semantic_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of all conversations in order, each role apart."""
     rows = tables.conversation_items(spark, sf_dir).select(tables.turn_number(F.col("seq")).alias("id"), "seq", "text", "model")
-    return _served(rows, 0.4)
+    return _served(rows, 0.5)
 
 
 # --- retrieval ----------------------------------------------------------------------------------------------

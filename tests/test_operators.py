@@ -111,6 +111,20 @@ def test_pairs_match_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 1.0])
+def test_pairs_by_blocks_match_prefixes(spark, monkeypatch, threshold):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["red", "green", "blue", "cyan", "grey", "pink"]) for _ in range(rng.randrange(1, 9))) for _ in range(150)] + ["", "a", None, "漢字 red", "red 漢字"] * 2
+    df = spark.createDataFrame([(i, i, t, rng.choice(["m", "n", None])) for i, t in enumerate(texts)], "id int, seq int, text string, model string")
+    got = []
+    for meetings in (0, 10**9):  # blocks, then prefixes
+        monkeypatch.setattr(similar, "MEETINGS", meetings)
+        monkeypatch.setattr(similar, "GRID", 16)
+        monkeypatch.setattr(similar, "COLUMNS", 7)
+        got.append(sorted((r.q, r.c, round(r.similarity, 12)) for r in similar.pairs(df, threshold).collect()))
+    assert got[0] == got[1] and got[0]
+
+
 def long_conversations(spark, folder, rows):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
 
