@@ -6,11 +6,7 @@ import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +21,6 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Largest table, in bytes, that an operator hints to broadcast after measuring it.
 BROADCAST_BYTES = 32 << 20
 
-BITMAP_ROWS = 32_768  # rows of a bitmap, as Spark's bitmap functions have it
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,45 +52,6 @@ def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     return df.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names
 
 
-def _bit_reader(path: str):
-    """Whether a row (file, at) has no bit in the bitmaps at path; a task reads those of the files that it meets."""
-
-    @F.pandas_udf("boolean")
-    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        fs, place = pafs.FileSystem.from_uri(path)
-        held: dict[int, dict[int, np.ndarray]] = {}
-
-        def bits(file: int) -> dict[int, np.ndarray]:
-            if file not in held:
-                while len(held) >= 8:
-                    held.pop(next(iter(held)))
-                folder = f"{place}/file={file}"
-                found: dict[int, np.ndarray] = {}
-                if fs.get_file_info(folder).type == pafs.FileType.Directory:
-                    for f in fs.get_file_info(pafs.FileSelector(folder)):
-                        if f.path.endswith(".parquet"):
-                            with fs.open_input_file(f.path) as opened:
-                                t = pq.read_table(opened, columns=["bucket", "bits"])
-                            found |= {b: np.frombuffer(x, np.uint8) for b, x in zip(t["bucket"].to_pylist(), t["bits"].to_pylist(), strict=True)}
-                held[file] = found
-            return held[file]
-
-        for files, places in batches:
-            f, at = files.to_numpy(), places.to_numpy()
-            out = np.ones(len(f), bool)
-            for file in np.unique(f):
-                own = np.flatnonzero(f == file)
-                bucket, pos = at[own] // BITMAP_ROWS + 1, at[own] % BITMAP_ROWS
-                for b in np.unique(bucket):
-                    if (x := bits(int(file)).get(int(b))) is not None:
-                        k = own[bucket == b]
-                        p = pos[bucket == b]
-                        out[k] = (x[p >> 3] >> (p & 7)) & 1 == 0
-            yield pd.Series(out)
-
-    return kept
-
-
 def without_rows(rows: DataFrame, names: list[str], dropped: DataFrame) -> DataFrame:
     """numbered() rows without the dropped ones (file, at). While these are measured to be few they are broadcast; beyond that, a
     bitmap for each input file is written to the shared folder, and the task that reads a file looks its rows up in that
@@ -110,7 +65,9 @@ def without_rows(rows: DataFrame, names: list[str], dropped: DataFrame) -> DataF
     own = dropped.toDF("file", "at").select("file", (F.col("at") + 1).alias("at"))  # places in bitmaps begin at 1
     bits = own.groupBy("file", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     bits.repartition("file").write.partitionBy("file").parquet(path)
-    return rows.where(_bit_reader(path)(F.col(file), F.col(at)))
+    from lodestone.llm.dropped import bit_reader  # it needs pandas, which other workers need not load
+
+    return rows.where(bit_reader(path)(F.col(file), F.col(at)))
 
 
 def dealt(df: DataFrame) -> DataFrame:

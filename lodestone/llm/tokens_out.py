@@ -270,8 +270,7 @@ def _encoder(vocabulary: str, cuts: list[tuple[int, int, int, int]]):
                 yield pa.RecordBatch.from_arrays([doc_ids, *rest, pa.array(part, pa.int32()), pa.array(n, pa.int32()), ids.cast(pa.binary())], names=["doc_id", "digest", "file", "at", "part", "n", "ids"])
             if k % 8 == 7:
                 give_back_memory()
-        if vocabulary in _ENCODERS:
-            _ENCODERS[vocabulary].clear()
+        _ENCODERS.pop(vocabulary, None)  # the worker lives on, and the next task may be another's
         give_back_memory()
 
     return encode

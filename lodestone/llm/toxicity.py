@@ -22,7 +22,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,17 +120,20 @@ def held_out(doc_id: Column) -> Column:
 # --- training -----------------------------------------------------------------------------------------------
 
 
-def _count_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents of each fold and label that hold a unit, summed over parts of a partition."""
+_COUNTS = [f"c{k}" for k in range(2 * FOLDS)]
+
+
+def _counted(parts: Iterator[tuple[list, list, list]]) -> Iterator[list[tuple]]:
+    """Of texts, labels and folds: the documents of each fold and label that hold a unit, summed over parts of a partition."""
     found: dict[str, list[int]] = {}
 
-    def out() -> pd.DataFrame:
+    def out() -> list[tuple]:
         rows = [(u, *c) for u, c in found.items()]
         found.clear()
-        return pd.DataFrame(rows, columns=["unit", *(f"c{k}" for k in range(2 * FOLDS))])
+        return rows
 
-    for pdf in batches:
-        for text, y, fold in zip(pdf["text"], pdf["y"], pdf["fold"], strict=True):
+    for texts, labels, folds in parts:
+        for text, y, fold in zip(texts, labels, folds, strict=True):
             for u in units(set(_WORD.findall((text or "").lower()))):
                 found.setdefault(u, [0] * (2 * FOLDS))[2 * fold + y] += 1
             if len(found) > 200_000:
@@ -139,6 +141,22 @@ def _count_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
+def _count_units(batches):
+    """The counts of pandas frames with text, y and fold."""
+    import pandas as pd
+
+    for rows in _counted((pdf["text"], pdf["y"], pdf["fold"]) for pdf in batches):
+        yield pd.DataFrame(rows, columns=["unit", *_COUNTS])
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same of Arrow batches, for which a worker need not load pandas."""
+    schema = pa.schema([("unit", pa.string()), *((c, pa.int64()) for c in _COUNTS)])
+    for rows in _counted(tuple(b.column(c).to_pylist() for c in ("text", "y", "fold")) for b in batches):
+        columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
 def _strongest(counts: DataFrame, totals: list[int], skipped: int | None) -> dict[str, float]:
     """The units that mark toxic documents most clearly, over all folds but the skipped one, by the lower bound of their log-odds."""
     kept = [k for k in range(FOLDS) if k != skipped]
@@ -152,10 +170,10 @@ def _strongest(counts: DataFrame, totals: list[int], skipped: int | None) -> dic
 
 
 def _feature_rows(lexicons: list[dict[str, float]]):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = [features(t or "", lexicons[f]) for t, f in zip(pdf["text"], pdf["fold"], strict=True)]
-            yield pd.DataFrame({"id": pdf["doc_id"], "y": pdf["y"], "fold": pdf["fold"], "x": x})
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [features(t or "", lexicons[f]) for t, f in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), strict=True)]
+            yield pa.record_batch([b.column("doc_id"), b.column("y"), b.column("fold"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "fold", "x"])
 
     return rows
 
@@ -192,11 +210,12 @@ def _train(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
     toxic, clean = sum(totals[1::2]), sum(totals[::2])
     if not toxic or not clean:
         return Model(1.0 if toxic else 0.0)
-    names = [f"c{k}" for k in range(2 * FOLDS)]
-    counts = rows.mapInPandas(_count_units, "unit string, " + ", ".join(f"{c} long" for c in names)).groupBy("unit").agg(*[F.sum(c).alias(c) for c in names])
+    names = _COUNTS
+    counts = rows.select("text", "y", "fold").mapInArrow(_count_batches, "unit string, " + ", ".join(f"{c} long" for c in names)).groupBy("unit").agg(*[F.sum(c).alias(c) for c in names])
     counts = stored(counts.where(" + ".join(names[1::2]) + f" >= {LEAST_DOCS}"), "toxicity-units")
     lexicons = [_strongest(counts, totals, k) for k in range(FOLDS)]
-    table = rows.mapInPandas(_feature_rows(lexicons), "id long, y int, fold int, x array<double>").toPandas().sort_values(["id", "y"], kind="stable")
+    given = T.StructType([*rows.select("doc_id", "y", "fold").schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
+    table = rows.mapInArrow(_feature_rows(lexicons), given).toPandas().sort_values(["doc_id", "y"], kind="stable")
     x, y, fold = np.array(table["x"].tolist()), table["y"].to_numpy(float), table["fold"].to_numpy()
     model = Model()
     model.lexicon = _strongest(counts, totals, None)
