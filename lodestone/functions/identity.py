@@ -42,8 +42,8 @@ def token_key(model: Column, tokens: Column, dimensions: Column | None = None, e
 def params_digest(params: Column) -> Column:
     """Digest of a map of parameter names to canonical JSON values, in order of name; empty for none.
 
-    Values are as Spark's JSON functions write them, so two spellings of one number agree. Where the raw bytes of a value
-    have to count, sources.requests.raw_params gives them."""
+    Values count as they are given: those of sources.requests.parse are as Spark's JSON functions write them, so that two spellings of
+    one number agree; with its `line`, they are spelt as in the log, and two spellings differ."""
     entries = F.array_sort(F.map_entries(params))
     body = F.aggregate(entries, _bytes(b""), lambda acc, e: F.concat(acc, _utf8(e["key"]), _bytes(NUL), _utf8(e["value"]), _bytes(NUL)))
     return F.when(F.coalesce(F.size(params), F.lit(0)) < 1, "").otherwise(F.sha2(body, 256))

@@ -121,6 +121,7 @@ def test_pairs_by_blocks_match_prefixes(spark, monkeypatch, threshold):
         monkeypatch.setattr(similar, "MEETINGS", meetings)
         monkeypatch.setattr(similar, "GRID", 16)
         monkeypatch.setattr(similar, "COLUMNS", 7)
+        monkeypatch.setattr(similar, "PIVOTS", 3)
         got.append(sorted((r.q, r.c, round(r.similarity, 12)) for r in similar.pairs(df, threshold).collect()))
     assert got[0] == got[1] and got[0]
 
