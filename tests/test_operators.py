@@ -281,3 +281,19 @@ def test_workloads(spark):
     draws = mock.zipf(spark, 2000, 50).groupBy("rank").count().orderBy("rank").collect()
     assert draws[0]["count"] > draws[-1]["count"]
     assert mock.corpus(spark, 3, 5).select(F.size(F.split("text", " ")).alias("n")).where("n <> 5").count() == 0
+
+
+@pytest.mark.parametrize("meetings", [0, 10**9])
+def test_nearest_earlier_gathers_no_pairs(spark, monkeypatch, meetings):
+    """What comes back of two blocks grows with their sets, not with their similar pairs, and is the nearest of all pairs."""
+    monkeypatch.setattr(similar, "MEETINGS", meetings)
+    monkeypatch.setattr(similar, "GRID", 64)
+    words = "stone river paper light winter engine".split()
+    texts = [" ".join(words[(k * 7 + j) % (3 + k % 4)] for j in range(6)) + f" {k % 90}" for k in range(200)]
+    rows = spark.createDataFrame([(k, k, t, "mn"[k % 2]) for k, t in enumerate(texts)], "id long, seq long, text string, model string")
+    for by in ("model", None):
+        want = similar.nearest(similar.pairs(rows, 0.4, by=by))
+        got = similar.nearest_earlier(rows, 0.4, by=by)
+        assert sorted(map(tuple, got.collect())) == sorted((r.q, r.c, r.similarity) for r in want.collect())
+    q, c, s = similar.nearest_of(np.array([5, 1, 9, 5]), np.array([2, 5, 5, 3]), np.array([0.5, 0.5, 0.7, 0.4]))
+    assert (q.tolist(), c.tolist(), s.tolist()) == ([5, 9], [1, 5], [0.5, 0.7])
