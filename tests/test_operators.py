@@ -297,3 +297,22 @@ def test_nearest_earlier_gathers_no_pairs(spark, monkeypatch, meetings):
         assert sorted(map(tuple, got.collect())) == sorted((r.q, r.c, r.similarity) for r in want.collect())
     q, c, s = similar.nearest_of(np.array([5, 1, 9, 5]), np.array([2, 5, 5, 3]), np.array([0.5, 0.5, 0.7, 0.4]))
     assert (q.tolist(), c.tolist(), s.tolist()) == ([5, 9], [1, 5], [0.5, 0.7])
+
+
+def test_active_by_runs_of_sets_matches_all_pairs(spark, monkeypatch):
+    """Leaders are found without all pairs where prefixes meet everywhere: ties of seq, copies, ids that come again, no text."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["red", "green", "blue", "cyan", "grey", "pink"]) for _ in range(rng.randrange(1, 9))) for _ in range(150)] + ["", None, "red red"]
+    made = [(str(k % 140), k // 2, t, rng.choice("mn")) for k, t in enumerate(texts + texts[:30])]
+    rows = spark.createDataFrame(made, "id string, seq int, text string, model string")
+    monkeypatch.setattr(similar, "GRID", 64)
+    got = []
+    for meetings, most in ((0, 0), (10**9, 0), (0, 5), (10**9, 5)):
+        monkeypatch.setattr(similar, "MEETINGS", meetings)
+        paired = []
+        monkeypatch.setattr(similar, "pairs", lambda *a, own=similar.pairs, **k: paired.append(1) or own(*a, **k))
+        got.append(sorted((r.id, r.served_by, round(r.similarity, 9)) for r in similar.active(rows, 0.5, most_keys=most).collect()))
+        monkeypatch.undo()
+        monkeypatch.setattr(similar, "GRID", 64)
+        assert bool(paired) == (meetings > 0)
+    assert got[0] == got[1] and got[2] == got[3] and any(a != b for a, b, _ in got[0])
