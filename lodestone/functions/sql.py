@@ -34,4 +34,4 @@ def register(spark: SparkSession) -> None:
 
     for name, (parameters, kind, body) in EXPRESSIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
-    spark.udf.register("cdc_chunks", F.pandas_udf(place_batches(), PLACES))
+    spark.udf.register("cdc_chunks", F.arrow_udf(place_batches(), PLACES))

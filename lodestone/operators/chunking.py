@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,13 +89,26 @@ class Cutter:
         return [{"ordinal": k, "offset": a, "size": b - a, "data": data[a:b], "hash": hashlib.sha256(data[a:b]).hexdigest()} for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
 
 
+#: Texts whose chunks are held in Python at once.
+AT_ONCE = 64
+
+_PLACES = pa.struct([("ordinal", pa.int32()), ("offset", pa.int64()), ("size", pa.int32()), ("hash", pa.string())])
+
+
 def place_batches(least: int = 0, average: int = 0, most: int = 0):
-    """The chunks' places of batches of texts or bytes."""
+    """The chunks' places of batches of texts or bytes. A batch stays an Arrow buffer, of which AT_ONCE texts at a time are read and
+    given back, so that a worker's memory does not grow with the batches."""
     cutter = Cutter(least, average, most)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda d: [] if d is None else cutter.places(d.encode() if isinstance(d, str) else bytes(d)))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for k in range(0, max(1, len(batch)), AT_ONCE):
+                own = batch.slice(k, AT_ONCE).cast(pa.binary()).to_pylist()
+                cut = [[] if d is None else cutter.places(d) for d in own]
+                ends = np.cumsum([0, *map(len, cut)])
+                columns = zip(*(c for own in cut for c in own), strict=True) if ends[-1] else [[]] * len(_PLACES)
+                flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLACES, strict=True)], fields=list(_PLACES))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
     return run
 
@@ -104,7 +118,7 @@ def content_chunks(text: Column, least: int = 0, average: int = 0, most: int = 0
     `data`, their bytes too, which are cut out of the text where it is and do not come back from Python."""
     run = place_batches(least, average, most)
     whole = F.when(text.isNotNull(), text.cast("binary"))
-    places = F.pandas_udf(run, PLACES)(whole)
+    places = F.arrow_udf(run, PLACES).asNondeterministic()(whole)  # so that filters on the chunks do not cut the texts once more
     if not data:
         return places
     return F.transform(places, lambda c: F.struct(c["ordinal"].alias("ordinal"), c["offset"].alias("offset"), c["size"].alias("size"), F.substring(whole, (c["offset"] + 1).cast("int"), c["size"]).alias("data"), c["hash"].alias("hash")))

@@ -316,3 +316,14 @@ def test_active_by_runs_of_sets_matches_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(similar, "GRID", 64)
         assert bool(paired) == (meetings > 0)
     assert got[0] == got[1] and got[2] == got[3] and any(a != b for a, b, _ in got[0])
+
+
+def test_chunks_and_vectors_come_in_small_parts():
+    """A batch of very many texts is never held in Python as a whole, neither its texts nor what is made of them."""
+    import pyarrow as pa
+
+    texts = ["", None, "x" * 3000, "漢字" * 500, *("stone river paper " * (k % 40) for k in range(1000))]
+    parts = list(chunking.place_batches()(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert max(map(len, parts)) <= chunking.AT_ONCE and sum(map(len, parts)) == len(texts)
+    cutter = chunking.Cutter()
+    assert [[tuple(c.values()) for c in own] for p in parts for own in p.to_pylist()] == [[] if t is None else cutter.places(t.encode()) for t in texts]
