@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,10 @@ from lodestone.operators.scan import places
 from lodestone.sources.shared import stored
 
 
+#: Inputs whose texts and vectors are held in Python at once.
+AT_ONCE = 256
+
+
 def vector(model: str, seed: str, dim: int) -> np.ndarray:
     """A vector that model and seed determine: SHA-256 blocks, each the digest of the one before, read as eight unsigned
     integers and scaled to -1 to 1 in single precision."""
@@ -36,11 +41,15 @@ def embed(model: Column, seed: Column, dim: int = 384, asked: int = 0) -> Column
     """Vectors of inputs; a smaller asked dimension is honoured."""
     size = asked if 0 < asked < dim else dim
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for models, seeds in batches:
-            yield pd.Series([vector(m or "", s or "", size) for m, s in zip(models, seeds, strict=True)])
+            for k in range(0, max(1, len(seeds)), AT_ONCE):  # a batch stays an Arrow buffer, and few texts at a time are read
+                own = zip(models.slice(k, AT_ONCE).to_pylist(), seeds.slice(k, AT_ONCE).to_pylist(), strict=True)
+                made = [vector(m or "", s or "", size) for m, s in own]
+                flat = np.concatenate(made) if made else np.zeros(0, np.float32)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * size, pa.int32()), pa.array(flat, pa.float32()))
 
-    return F.pandas_udf(run, "array<float>")(model, seed)
+    return F.arrow_udf(run, "array<float>").asNondeterministic()(model, seed)  # so that it is not run again for filters on it
 
 
 @F.pandas_udf(T.StringType())
