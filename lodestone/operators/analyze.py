@@ -18,7 +18,7 @@ from lodestone.sources.shared import stored
 
 def parsed(lines: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
     """lines (seq, value) with the fields of their request and n_items, 0 for lines that are skipped."""
-    rows = requests.parse(requests.extract(lines), ignore=ignore, line="value")
+    rows = requests.read(lines, ignore)
     return rows.withColumn("n_items", F.when(F.col("request").isNotNull(), F.coalesce(requests.n_items(F.col("input")), F.lit(0))).otherwise(0))
 
 

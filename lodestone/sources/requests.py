@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,7 +87,8 @@ def enveloped(line: Column) -> Column:
         found = [F.when(_is_request(m), line)]
         for name in ENVELOPES:
             inner = F.when(_kind(m, name) == "STRING", F.variant_get(m[name], "$", "string")).otherwise(F.to_json(m[name]))
-            found.append(F.when(F.map_contains_key(m, F.lit(name)), F.get(F.transform(F.array(inner), lambda t: F.when(_is_request(_members(t)), t)), F.lit(0))))
+            once = F.transform(F.array(inner), lambda t: F.struct(t.alias("t"), _members(t).alias("m")))  # parsed once, looked at often
+            found.append(F.when(F.map_contains_key(m, F.lit(name)), F.get(F.transform(once, lambda x: F.when(_is_request(x["m"]), x["t"])), F.lit(0))))
         return F.coalesce(*found)
 
     return F.get(F.transform(F.array(whole), inside), F.lit(0))
@@ -112,17 +114,17 @@ def _search(value) -> dict | None:
 @F.pandas_udf(T.StringType())
 def nested(lines: pd.Series) -> pd.Series:
     """A request nested anywhere in a line, also inside strings, depth first in order of keys; else null."""
+    return lines.map(_nested)
 
-    def one(line):
-        try:
-            found = _search(json.loads(line))
-        except (TypeError, ValueError):
-            return None
-        if found is None or not _holds_request({k: json.dumps(found[k]) for k in KNOWN if k in found}):
-            return None
-        return json.dumps(found, ensure_ascii=False, sort_keys=True)
 
-    return lines.map(one)
+def _nested(line) -> str | None:
+    try:
+        found = _search(json.loads(line))
+    except (TypeError, ValueError):
+        return None
+    if found is None or not _holds_request({k: json.dumps(found[k]) for k in KNOWN if k in found}):
+        return None
+    return json.dumps(found, ensure_ascii=False, sort_keys=True)
 
 
 def extract(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -255,17 +257,56 @@ def _raw_request(line: str) -> dict[str, str] | None:
     return None
 
 
-def _raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def one(line):
-        try:
-            found = _raw_request(line) if isinstance(line, str) else None
-        except ValueError:
-            return None
-        return None if found is None else {k: v for k, v in found.items() if k not in KNOWN}
+def _raw_params(line) -> dict[str, str] | None:
+    try:
+        found = _raw_request(line) if isinstance(line, str) else None
+    except ValueError:
+        return None
+    return None if found is None else {k: v for k, v in found.items() if k not in KNOWN}
 
+
+def _raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for lines in batches:
-        yield lines.map(one)
+        yield lines.map(_raw_params)
 
 
 raw_params = F.pandas_udf(_raw, T.MapType(T.StringType(), T.StringType()))
 """Provider parameters of the request in a line with the exact text of their values, so that 1.50 and 1.5 differ."""
+
+
+#: Lines that are held in Python as objects at once.
+AT_ONCE = 512
+
+_READ = pa.struct([("request", pa.string()), ("params", pa.map_(pa.string(), pa.string()))])
+
+
+def _read_again(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """What is left to Python of lines and the requests that Spark found in them: requests nested elsewhere, and parameters as spelt."""
+
+    def one(line: str | None, first: str | None) -> dict | None:
+        request = None if line is None or first is not None else _nested(line)
+        own = first if request is None else request
+        if line is None or own is None:
+            return None
+        params = _raw_params(line)
+        params = _raw_params(own) if params is None else params
+        return {"request": request, "params": None if params is None else list(params.items())}
+
+    for lines, firsts in batches:
+        for k in range(0, max(1, len(lines)), AT_ONCE):
+            pairs = zip(lines.slice(k, AT_ONCE).to_pylist(), firsts.slice(k, AT_ONCE).to_pylist(), strict=True)
+            yield pa.array([one(*p) for p in pairs], _READ)
+
+
+_read = F.arrow_udf(_read_again, T.StructType().add("request", "string").add("params", T.MapType(T.StringType(), T.StringType()))).asNondeterministic()
+
+
+def read(lines: DataFrame, ignore: tuple[str, ...] = (), value: str = "value") -> DataFrame:
+    """parse(extract(lines), ignore=ignore, line=value) with one call of Python, which filters on the result do not repeat."""
+    skip = [*KNOWN, *ignore]
+    first = lines.withColumn("_first", enveloped(F.col(value)))
+    more = F.coalesce(F.size(F.array_except(F.json_object_keys("_first"), F.array(*[F.lit(k) for k in skip]))) > 0, F.lit(True))
+    again = first.withColumn("_py", _read(F.when(more, F.col(value)), F.col("_first")))
+    rows = parse(again.withColumn("request", F.coalesce("_first", "_py.request")).drop("_first"), ignore=ignore)
+    spelt = F.map_filter(F.col("_py.params"), lambda k, v: ~k.isin(skip))
+    return rows.withColumn("params", F.when(F.col("params").isNotNull(), spelt)).drop("_py")

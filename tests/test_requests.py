@@ -187,3 +187,18 @@ def test_inputs_of_two_requests_with_other_dimensions_differ(spark):
     lines = [json.dumps({"model": "m", "input": "x"} | more) for more in ({}, {"dimensions": 8}, {"encoding_format": "base64"}, {"t": 1}, {"user": "u"})]
     rows = analyze.items(analyze.parsed(spark.createDataFrame(list(enumerate(lines)), "seq long, value string")))
     assert len({r.key for r in rows.collect()}) == 4
+
+
+def test_lines_are_read_by_python_once(spark):
+    """One call of Python for a line, also below a filter on what it gives, with the rows of extract and parse."""
+    from lodestone.operators import analyze
+
+    body = '{"model":"m","input":"x","t":1.50,"u":[1, 2]}'
+    made = [body, '{"body":%s}' % body, '{"request":%s}' % json.dumps(body), '{"a":[{"b":%s}]}' % body, '{"a":{"model":"m","input":"x"}}', '{"model":"m","input":"x","at":7}', "junk", None, '{"model":5,"input":1}', '{"data":{"model":"n","input":["a"],"dimensions":3,"p":"q"}}']
+    lines = spark.createDataFrame(list(enumerate(made)), "seq long, value string")
+    columns = ["seq", "request", "model", "input", "dimensions", "encoding_format", "user", "params"]
+    want = requests.parse(requests.extract(lines), ignore=("at",), line="value").select(columns)
+    got = requests.read(lines, ignore=("at",)).select(columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = analyze.parsed(lines).where("params IS NOT NULL AND model = 'm'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
