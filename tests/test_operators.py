@@ -126,6 +126,53 @@ def test_pairs_by_blocks_match_prefixes(spark, monkeypatch, threshold):
     assert got[0] == got[1] and got[0]
 
 
+def test_gram_sets_match_the_columns(spark):
+    from lodestone.functions.text import trigram_codes
+
+    texts = ["", "a", " A  b ", "漢字 😀 red", "Ünï\u2003code\tText " * 9, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = similar._sets(df).select("id", "text", "grams", "n", "digest").withColumn("want", F.sort_array(trigram_codes(F.col("text")))).collect()
+    assert all(r.grams == r.want and (r.digest is None) == (r.text is None) for r in got) and len({r.digest for r in got}) == len(texts)
+
+
+def block_of(sets):
+    """The sets by size, as blocks are written."""
+    sets.sort(key=len)
+    own, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    return similar._Block({"ids": list(range(len(sets))), "sizes": np.array([len(s) for s in sets], "<i4").tobytes(), "own": own.astype("<i8").tobytes(), "codes": codes.astype("<i4").tobytes()})
+
+
+@pytest.mark.parametrize(("threshold", "sketches", "many"), [(0.6, ((0, 16), (24, 32)), 0.02), (0.3, ((8, 8),), 1.0), (1.0, ((0, 4),), 0.0), (0.6, ((500, 3),), 1.0)])
+def test_sketches_lose_no_pair(monkeypatch, threshold, sketches, many):
+    """Sets of like grams, near copies among them, against all pairs."""
+    monkeypatch.setattr(similar, "SKETCHES", sketches)
+    monkeypatch.setattr(similar, "MANY", many)
+    monkeypatch.setattr(similar, "SLAB", 32)
+    monkeypatch.setattr(similar, "TILE", 48)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.zipf(1.4, rng.integers(5, 90)) % 97) for _ in range(150)]
+    sets += [np.unique(np.append(s[rng.random(len(s)) > 0.1], 3)) for s in sets[:60]]
+    them = [s[::2] if k % 3 else s for k, s in enumerate(sets)]
+    a, b = block_of(sets), block_of(them)
+    for other, same, them in ((a, True, sets), (b, False, them)):
+        got = {(i, j): s for own in similar.similar_slabs(a, other, same, threshold) for i, j, s in zip(*own, strict=True)}
+        want = {(i, j): s for i, x in enumerate(sets) for j, y in enumerate(them) if (j < i or not same) and (s := len(np.intersect1d(x, y)) / len(np.union1d(x, y))) >= threshold}
+        assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_blocks_of_like_sets_are_not_multiplied_out(monkeypatch):
+    """Sets of one language, few of them similar: exact products are left to where many pairs may be."""
+    counted = []
+    monkeypatch.setattr(similar, "_overlap", lambda a, b, shared, own=similar._overlap: counted.append(len(a.ids) * len(b.ids)) or own(a, b, shared))
+    rng = np.random.default_rng(6)
+    weights = 1 / (20.0 + np.arange(3000))
+    sets = [np.unique(rng.choice(3000, rng.integers(150, 400), p=weights / weights.sum())) for _ in range(500)]
+    sets += [s[5:] for s in sets[:20]]
+    block = block_of(sets)
+    found = [s for own in similar.similar_slabs(block, block, True, 0.6) for s in own[2]]
+    assert len(found) >= 20 and not counted
+
+
 def long_conversations(spark, folder, rows):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
 
