@@ -532,7 +532,7 @@ SELECT doc_id, CAST({_filled(_TOKENS, text='text')} AS BIGINT) AS est_tokens, {_
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered functions from a SQL text; the sizes of the content-defined chunks sum to the text's."""
     sql.register(spark)
-    tables.spread(tables.table(spark, sf_dir, "documents")).createOrReplaceTempView("lodestone_documents")
+    tables.spread(tables.table(spark, sf_dir, "documents"), task_bytes=8 << 20).createOrReplaceTempView("lodestone_documents")
     return spark.sql("""SELECT doc_id, estimate_tokens(text) AS est_tokens, fingerprint('m', text) AS key, CAST(size(char_trigrams(text)) AS BIGINT) AS n_trigrams,
         round(cosine_similarity(CASE WHEN length(text) > 0 THEN array(CAST(length(text) AS DOUBLE), 1D) END, array(1D, 2D)), 9) AS cosine,
         aggregate(cdc_chunks(text), 0L, (n, c) -> n + c.size) AS bytes FROM lodestone_documents""")

@@ -251,3 +251,28 @@ def test_exact_edits_with_repeated_ids(spark):
         if share < 0.9:
             whole = mock.edited_exactly(rows.na.fill({"text": "d"}), "id", "text", share, 3).where("text LIKE '% edited'").count()
             assert whole == int(18 * share)
+
+
+def test_sql_trigrams_are_made_in_arrow_and_keep_their_order(spark):
+    """An array of a text's characters, made by Spark's expressions, cost most of sql_functions."""
+    from lodestone.functions import sql, text
+
+    sql.register(spark)
+    texts = ["", "a", "abcabcab", " A  b\u2003C ", "漢字 😀 Red 漢字 😀", "x" * 500, None] * 30
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    df.createOrReplaceTempView("ordered_trigrams")
+    got = spark.sql("SELECT i, t, char_trigrams(t) AS g FROM ordered_trigrams")
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = got.withColumn("want", text.trigrams(F.col("t"))).collect()
+    assert len(rows) == len(texts) and all(r.g == r.want for r in rows) and rows[2].g == [" ab", "abc", "bca", "cab", "ab "]
+
+
+def test_spread_tasks_do_not_grow_with_the_input(spark, tmp_path):
+    from lodestone.sources import tables
+
+    spark.range(0, 200_000, 1, 40).write.parquet(f"{tmp_path}/numbers.parquet")
+    rows = tables.table(spark, str(tmp_path), "numbers")
+    few = tables.spread(rows).rdd.getNumPartitions()
+    many = tables.spread(rows, task_bytes=4096)
+    assert many.rdd.getNumPartitions() > 2 * few and many.count() == 200_000
+    assert tables.spread(rows, task_bytes=1 << 40).rdd.getNumPartitions() == few
