@@ -173,6 +173,14 @@ def test_blocks_of_like_sets_are_not_multiplied_out(monkeypatch):
     assert len(found) >= 20 and not counted
 
 
+def test_texts_of_one_language_lean_to_one_pivot(spark):
+    """Blocks are cut by pivots, so as many pivots as languages keep these apart; more of them mixed languages and sizes."""
+    rng = np.random.default_rng(8)
+    rows = [(k, np.unique(rng.choice(300, rng.integers(60, 200)) + 1000 * (k % 3)).tolist()) for k in range(300)]
+    pivots = similar._pivots(spark.createDataFrame(rows, "id long, grams array<long>"), 60)
+    assert sorted(int(p.min()) // 1000 for p in pivots) == [0, 1, 2]
+
+
 def long_conversations(spark, folder, rows):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
 
