@@ -181,6 +181,23 @@ def test_texts_of_one_language_lean_to_one_pivot(spark):
     assert sorted(int(p.min()) // 1000 for p in pivots) == [0, 1, 2]
 
 
+def test_nearest_of_blocks_where_all_are_alike(monkeypatch):
+    """Where most pairs are similar, no more come out of a tile than its sets and ties, the nearest among them."""
+    monkeypatch.setattr(similar, "SLAB", 64)
+    monkeypatch.setattr(similar, "TILE", 128)
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.choice(200, rng.integers(150, 400))) for _ in range(400)]
+    sets += [s[1:] for s in sets[:30]]
+    a = block_of(sets)
+    a.ids = 2 * rng.permutation(len(a.ids))
+    b = block_of([s[2:] for s in sets])
+    b.ids = 2 * rng.permutation(len(b.ids)) + 1
+    for other, same in ((a, True), (b, False)):
+        all_, some = ([np.concatenate(x) for x in zip(*((a.ids[i], other.ids[j], s) for i, j, s in similar.similar_slabs(a, other, same, 0.4, near)), strict=True)] for near in (False, True))
+        assert len(some[0]) < len(all_[0]) / 6
+        assert all(np.array_equal(x, y) for x, y in zip(similar.nearest_of(*all_), similar.nearest_of(*some), strict=True))
+
+
 def long_conversations(spark, folder, rows):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
 
