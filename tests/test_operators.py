@@ -193,11 +193,30 @@ def test_nearest_of_blocks_where_all_are_alike(monkeypatch):
     b = block_of([s[2:] for s in sets])
     b.ids = 2 * rng.permutation(len(b.ids)) + 1
     for other, same in ((a, True), (b, False)):
-        all_, some = ([np.concatenate(x) for x in zip(*((a.ids[i], other.ids[j], s) for i, j, s in similar.similar_slabs(a, other, same, 0.4, near)), strict=True)] for near in (False, True))
+        all_, some = ([np.concatenate(x) for x in zip(*((a.ids[i], other.ids[j], s) for i, j, s in similar.similar_slabs(a, other, same, 0.4, keep)), strict=True)] for keep in ("all", "nearest"))
         assert len(some[0]) < len(all_[0]) / 6
         assert all(np.array_equal(x, y) for x, y in zip(similar.nearest_of(*all_), similar.nearest_of(*some), strict=True))
 
 
+def test_leaders_of_blocks_that_more_similar_earlier_ones_outdo(monkeypatch):
+    """Where most pairs are similar, those come out that may be nearest among the leaders up to some time, and few others."""
+    monkeypatch.setattr(similar, "SLAB", 64)
+    monkeypatch.setattr(similar, "TILE", 128)
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.choice(200, rng.integers(150, 400))) for _ in range(300)]
+    a, b = block_of(sets), block_of([s[k % 3 :] for k, s in enumerate(sets)])
+    a.ids, b.ids = 2 * rng.permutation(300), 2 * rng.permutation(300) + 1
+    every, some = ([np.concatenate(x) for x in zip(*((a.ids[i], b.ids[j], s) for i, j, s in similar.similar_slabs(a, b, False, 0.4, keep)), strict=True)] for keep in ("all", "rising"))
+    assert len(some[0]) < len(every[0]) / 4
+    got = set(zip(*(x.tolist() for x in similar.rising(*some)), strict=True))
+    want, most = set(), {}
+    for c, q, s in sorted(zip(*(every[k].tolist() for k in (1, 0, 2)), strict=True)):
+        if s >= most.get(q, 0):
+            want.add((q, c, s))
+            most[q] = s
+    assert got == want
+
+
 def long_conversations(spark, folder, rows):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
 
